@@ -63,12 +63,23 @@ def _entry_bytes() -> Column:
     return F.octet_length(F.col("key").cast("string")) + F.octet_length(value)
 
 
-def fits_inline(table: KeyTable, max_rows: int = INLINE_ROWS, max_bytes: int = INLINE_BYTES) -> bool:
-    """Whether the whole table may be held by every task: one small aggregation answers."""
-    size = table.entries().agg(
+@dataclass(frozen=True)
+class Size:
+    rows: int
+    bytes: int
+
+
+def measure(entries: DataFrame) -> Size:
+    """Rows and bytes of (key, value) entries, by one small aggregation."""
+    size = entries.agg(
         F.count("*").alias("rows"), F.coalesce(F.sum(_entry_bytes()), F.lit(0)).alias("bytes")
     ).first()
-    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
+    return Size(size["rows"], size["bytes"])
+
+
+def _slots_for(rows: int) -> int:
+    """A power of two that leaves about one entry to a slot."""
+    return 1 << max(4, rows.bit_length())
 
 
 def _slot(key: Column, slots: int) -> Column:
@@ -89,13 +100,14 @@ def _slot_array(entries: DataFrame, slots: int) -> DataFrame:
 
 
 def lookup_inline(
-    df: DataFrame, keys: str, entries: DataFrame, out: str = "pairs", slots: int = INLINE_ROWS
+    df: DataFrame, keys: str, entries: DataFrame, out: str = "pairs", rows: int = INLINE_ROWS
 ) -> DataFrame:
     """Swap array column ``keys`` for ``out``: array<struct<key, value>>, value null if absent.
 
-    ``entries`` (key, value) has to be small; see ``fits_inline``. The slot array is used in one
+    ``entries`` (key, value) has to be small, about ``rows`` rows. The slot array is used in one
     place only, so the optimizer moves it into that expression and no row ever carries it.
     """
+    slots = _slots_for(rows)
     others = [c for c in df.columns if c != keys]
     held = df.withColumn("_slots", _slot_array(entries, slots).scalar())
 
@@ -173,6 +185,7 @@ def lookup(
     inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Choose the plan by the measured size of the table."""
-    if fits_inline(table, inline_rows):
-        return lookup_inline(df, keys, table.entries(), out, inline_rows)
+    size = measure(table.entries())
+    if size.rows <= inline_rows and size.bytes <= INLINE_BYTES:
+        return lookup_inline(df, keys, table.entries(), out, size.rows)
     return lookup_joined(df, keys, row_key, table, out, inline_rows)

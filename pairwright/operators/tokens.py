@@ -109,7 +109,8 @@ def tokenize(
 
 def _with_pieces(df: DataFrame, vocabulary: Vocabulary, ids: str) -> DataFrame:
     kept = df.withColumn("_ids", F.col(ids))
-    return lookup_inline(kept, "_ids", vocabulary.pieces().select(F.col("id").alias("key"), F.col("hex").alias("value")), "_pairs")
+    pieces = KeyTable(vocabulary.pieces(), "id", "hex").entries()
+    return lookup_inline(kept, "_ids", pieces, "_pairs", vocabulary.checked_size())
 
 
 def _piece(pair: Column) -> Column:

@@ -25,11 +25,17 @@ class Vocabulary:
     pattern: str = GPT2_PATTERN
     special: dict[str, int] = field(default_factory=lambda: {END_OF_TEXT: END_OF_TEXT_ID})
 
+    def checked_size(self) -> int:
+        """Number of ordinary tokens; a table that is too large for a vocabulary is an error."""
+        size = self.frame.count()
+        if size > MAX_ENTRIES:
+            raise ValueError(f"a vocabulary holds at most {MAX_ENTRIES} tokens")
+        return size
+
     def merge_ranks(self) -> dict[bytes, int]:
         """The table on the driver, for broadcast; its size is checked first."""
-        rows = self.frame.select("id", "token").limit(MAX_ENTRIES + 1).collect()
-        if len(rows) > MAX_ENTRIES:
-            raise ValueError(f"a vocabulary holds at most {MAX_ENTRIES} tokens")
+        self.checked_size()
+        rows = self.frame.select("id", "token").collect()
         ranks = {bytes(r["token"]): r["id"] for r in rows}
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a vocabulary has to hold every single byte")
