@@ -33,7 +33,7 @@ swapped AS (
   SELECT row_id, string_agg(around[i] || coalesce(label, found[i]), '' ORDER BY i) AS head
   FROM places LEFT JOIN dictionary ON eid = found[i] GROUP BY row_id
 ),
-encoded AS (
+encoded AS MATERIALIZED (
   SELECT p.row_id, p.paraphrased_question AS question, p.sparql_wikidata AS sparql,
     coalesce(s.head, '') || around[len(around)] AS sparql_modf
   FROM pairs p LEFT JOIN pieces c ON c.row_id = p.row_id LEFT JOIN swapped s ON s.row_id = p.row_id
@@ -106,7 +106,7 @@ FOLLOWERS = """steps AS (
   SELECT unnest(list_zip(ids[1:len(ids) - 1], ids[2:len(ids)])) AS s FROM sequences WHERE len(ids) > 1
 ),
 counted AS (SELECT s[1] AS prev, s[2] AS next, count(*) AS uses FROM steps GROUP BY 1, 2),
-followers AS (
+followers AS MATERIALIZED (
   SELECT prev, next FROM (
     SELECT *, row_number() OVER (PARTITION BY prev ORDER BY uses DESC, next) AS place FROM counted
   ) WHERE place = 1

@@ -30,6 +30,7 @@ from pairwright.operators.tokens import detokenize, token_texts, tokenize
 from pairwright.plans.infer import answer
 from pairwright.sources.dictionary_files import read_dictionary, write_dictionary
 from pairwright.sources.pairs import read_csv, rename_pairs, write_csv
+from pairwright.sources.tables import spread
 from pairwright.sources.vocabulary import get_vocabulary
 from pairwright.workspace import fresh_path, materialize
 
@@ -42,8 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows mean much work each, over all cores even if it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAIRS_SQL.replace("FROM orders", f"FROM parquet.`{sf_dir}/orders.parquet`"))
+    sql = PAIRS_SQL.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}")
+    return spark.sql(sql, orders=texts(spark, sf_dir, "orders"))
 
 
 def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,7 +154,7 @@ def q_csv_roundtrip(spark, sf_dir):
 
 def _documents(spark, sf_dir, **options):
     vocabulary = get_vocabulary(spark, "bytes")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("org_text"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("org_text"))
     return vocabulary, tokenize(rows, vocabulary, ["doc_id"], **options)
 
 
@@ -166,7 +173,7 @@ def q_token_texts(spark, sf_dir):
 def q_tokenize_special(spark, sf_dir):
     vocabulary = get_vocabulary(spark, "bytes")
     marked = F.concat_ws("<|endoftext|>", "role", "text", F.lit(""))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", marked.alias("org_text"))
+    rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", marked.alias("org_text"))
     tokens = tokenize(rows, vocabulary, ["conv_id", "turn"], on_special="allow", texts=False)
     return tokens.select("conv_id", "turn", joined(F.col("encoded_text")).alias("encoded_text"))
 
@@ -179,16 +186,16 @@ def q_detokenize(spark, sf_dir):
 # Batches.
 
 
-def _turns(spark, sf_dir, texts=False, name="ord"):
+def _turns(spark, sf_dir, with_texts=False):
     vocabulary = get_vocabulary(spark, "bytes")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("org_text"))
-    tokens = tokenize(rows, vocabulary, ["conv_id", "turn"], texts=texts)
-    return contiguous_index(tokens, ["conv_id", "turn"], name=name)
+    rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("org_text"))
+    tokens = tokenize(rows, vocabulary, ["conv_id", "turn"], texts=with_texts)
+    return contiguous_index(tokens, ["conv_id", "turn"])
 
 
-def _batches(spark, sf_dir, texts=False):
+def _batches(spark, sf_dir, with_texts=False):
     size = SETTINGS.batch_size("train")
-    return _turns(spark, sf_dir, texts).withColumn("batch_id", batch_of(size))
+    return _turns(spark, sf_dir, with_texts).withColumn("batch_id", batch_of(size))
 
 
 def q_collate(spark, sf_dir):
@@ -204,7 +211,7 @@ def q_collate(spark, sf_dir):
 
 
 def q_collate_text(spark, sf_dir):
-    rows = collate(_batches(spark, sf_dir, texts=True), SETTINGS, texts=True)
+    rows = collate(_batches(spark, sf_dir, with_texts=True), SETTINGS, texts=True)
     return rows.select(
         "batch_id",
         "ord",

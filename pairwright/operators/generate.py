@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.config import Settings
 from pairwright.functions.arrays import drop_first, drop_last
 
-# A scorer takes the current windows and returns either a (windows x vocabulary) matrix of
-# last-position logits or one chosen id per window, negative where it has no continuation.
-Scorer = Callable[[Sequence[np.ndarray]], np.ndarray]
+# A scorer takes a (prompts x window) matrix of ids, right-aligned and filled with -1 on the left,
+# and returns either a (prompts x vocabulary) matrix of logits for the next position or one chosen
+# id per prompt, negative where it has no continuation.
+Scorer = Callable[[np.ndarray], np.ndarray]
 MAX_SUCCESSORS = 500_000
 
 
@@ -33,42 +34,57 @@ def next_token_table(tokens: DataFrame, ids: str = "encoded_text") -> DataFrame:
 
 def table_scorer(successors: DataFrame) -> Callable[[], Scorer]:
     """A scorer that follows a next-token table of checked size (one row per vocabulary entry)."""
-    rows = successors.select("prev", "next").limit(MAX_SUCCESSORS + 1).collect()
-    if len(rows) > MAX_SUCCESSORS:
+    if successors.count() > MAX_SUCCESSORS:
         raise ValueError(f"a next-token table holds at most {MAX_SUCCESSORS} rows")
-    held = successors.sparkSession.sparkContext.broadcast({r["prev"]: r["next"] for r in rows})
+    rows = sorted((r["prev"], r["next"]) for r in successors.select("prev", "next").collect())
+    held = successors.sparkSession.sparkContext.broadcast(np.array(rows, dtype=np.int64).reshape(-1, 2))
 
     def build() -> Scorer:
-        table = held.value
-        return lambda windows: np.array(
-            [table.get(int(w[-1]), -1) if len(w) else -1 for w in windows], dtype=np.int64
-        )
+        prev, following = held.value[:, 0], np.append(held.value[:, 1], -1)
 
-    return build
+        def score(windows: np.ndarray) -> np.ndarray:
+            last = windows[:, -1]
+            place = np.searchsorted(prev, last)
+            hit = np.append(prev, -2)[place] == last
+            return following[np.where(hit, place, len(prev))]
 
+        return score
 
-def _chosen(scores: np.ndarray) -> np.ndarray:
-    return scores.argmax(axis=-1) if scores.ndim == 2 else scores
+    return build
 
 
 def extend(
-    prompts: list[np.ndarray], score: Scorer, window: int, steps: int, stop_id: int
+    values: np.ndarray, offsets: np.ndarray, score: Scorer, window: int, steps: int, stop_id: int
 ) -> list[np.ndarray]:
-    """Grow every prompt; a stop leaves the sequence as it was before the step."""
-    grown = list(prompts)
-    alive = list(range(len(grown)))
-    for _ in range(steps):
-        if not alive:
+    """Grow every prompt of a batch; a stop leaves a sequence as it was before the step.
+
+    The last ``window`` ids of each prompt are the left part of one matrix and each step fills one
+    more column, so the windows of a step are a slice of it.
+    """
+    n, lengths = len(offsets) - 1, np.diff(offsets)
+    source = offsets[1:, None] + np.arange(-window, 0)
+    held = np.full((n, window + steps), -1, dtype=np.int32)
+    if len(values):
+        inside = source >= offsets[:-1, None]
+        held[:, :window] = np.where(inside, values[np.maximum(source, 0)], -1)
+    made = np.zeros(n, dtype=np.int64)
+    alive = np.arange(n)
+    for step in range(steps):
+        if not len(alive):
             break
-        seen = [grown[i][-window:] for i in alive]
-        picks = _chosen(np.asarray(score(seen)))
-        still = []
-        for i, trimmed, pick in zip(alive, seen, picks):
-            if pick >= 0 and pick != stop_id:
-                grown[i] = np.append(trimmed, pick)
-                still.append(i)
-        alive = still
-    return grown
+        scores = np.asarray(score(held[alive, step : step + window]))
+        picks = scores.argmax(axis=-1) if scores.ndim == 2 else scores
+        going = (picks >= 0) & (picks != stop_id)
+        alive = alive[going]
+        held[alive, window + step] = picks[going]
+        made[alive] += 1
+    kept = np.minimum(lengths + made - 1, window) + 1
+    return [
+        held[i, window + made[i] - kept[i] : window + made[i]]
+        if made[i]
+        else values[offsets[i] : offsets[i + 1]]
+        for i in range(n)
+    ]
 
 
 def greedy_decode(
@@ -80,15 +96,19 @@ def greedy_decode(
 ) -> DataFrame:
     """Add ``out``: the last ``context_length`` ids and what was generated after them.
 
-    ``scorer`` is called once per task, so it may load a model.
+    ``scorer`` is called once per task, so it may load a model; it sees one Arrow batch at a time.
     """
     window, steps, stop_id = settings.context_length, settings.max_new_tokens, settings.pad_id
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for frame in frames:
-            starts = [np.asarray(v, dtype=np.int64) for v in frame[ids]]
-            yield frame.assign(**{out: [g.tolist() for g in extend(starts, score, window, steps, stop_id)]})
+        for batch in batches:
+            lists = batch.column(ids)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            grown = extend(values, offsets, score, window, steps, stop_id)
+            added = pa.array(grown, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, added], [*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
-    return prompts.mapInPandas(run, f"{fields}, `{out}` array<int>")
+    return prompts.mapInArrow(run, f"{fields}, `{out}` array<int>")

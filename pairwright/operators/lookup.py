@@ -6,7 +6,7 @@ many keys per row, one table, values back in the order of the keys. Two plans do
 * A table of checked, small size becomes one array of hash slots, a scalar subquery that
   expressions index directly: no shuffle, no row key, rows never leave their partition.
 * A larger table has its most used keys looked up that way, and only the keys left open travel,
-  as (row key, place, key), to a join and back. Keys are spread by a salt taken from the row
+  as (row key, place, key), written once, to a join and back. Keys are spread by a salt taken from the row
   key; the table side is joined to the distinct (salt, key) pairs first, so that a key which
   holds a third of all rows reaches the table at most once per salt and is spread over as many
   groups on the way back.
@@ -20,9 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INLINE_ROWS = 50_000
-INLINE_BYTES = 8 << 20
-HEAD_ENTRY_BYTES = 160
+from pairwright.workspace import materialize
+
+INLINE_ROWS = 200_000
+INLINE_BYTES = 16 << 20
 SALTS = 256
 
 
@@ -36,50 +37,40 @@ class KeyTable:
     uses: str | None = None
 
     def entries(self) -> DataFrame:
+        """(key, value, level): levels are steps of the logarithm of the frequency."""
+        uses = F.lit(1) if self.uses is None else F.greatest(F.col(self.uses), F.lit(1))
         return self.frame.where(F.col(self.key).isNotNull()).select(
-            F.col(self.key).alias("key"), F.col(self.value).alias("value")
-        )
-
-    def head(self, rows: int) -> DataFrame | None:
-        """The most used entries, bounded in number and in size; None without frequencies."""
-        if self.uses is None:
-            return None
-        return (
-            self.frame.where(F.col(self.key).isNotNull())
-            .select(
-                F.col(self.key).alias("key"),
-                F.col(self.value).alias("value"),
-                F.col(self.uses).alias("uses"),
-            )
-            .where(_entry_bytes() <= HEAD_ENTRY_BYTES)
-            .orderBy(F.desc("uses"), "key")
-            .limit(rows)
-            .select("key", "value")
+            F.col(self.key).alias("key"),
+            F.col(self.value).alias("value"),
+            F.floor(F.log2(uses) * 4).cast("int").alias("level"),
         )
 
 
-def _entry_bytes() -> Column:
-    value = F.to_json(F.struct("value"))
-    return F.octet_length(F.col("key").cast("string")) + F.octet_length(value)
-
-
 @dataclass(frozen=True)
-class Size:
+class Head:
+    """The entries at or above a level: how many they are and whether they are all."""
+
+    level: int | None
     rows: int
-    bytes: int
+    whole: bool
 
 
-def measure(entries: DataFrame) -> Size:
-    """Rows and bytes of (key, value) entries, by one small aggregation."""
-    size = entries.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(_entry_bytes()), F.lit(0)).alias("bytes")
-    ).first()
-    return Size(size["rows"], size["bytes"])
+def find_head(entries: DataFrame, max_rows: int = INLINE_ROWS, max_bytes: int = INLINE_BYTES) -> Head:
+    """The most used entries that every task may hold, from one aggregation of a row per level."""
+    size = F.octet_length(F.col("key").cast("string")) + F.octet_length(F.to_json(F.struct("value")))
+    levels = entries.groupBy("level").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
+    rows = used = 0
+    cut = None
+    for step in levels.orderBy(F.desc("level")).collect():
+        if rows + step["rows"] > max_rows or used + step["bytes"] > max_bytes:
+            return Head(cut, rows, False)
+        cut, rows, used = step["level"], rows + step["rows"], used + step["bytes"]
+    return Head(cut, rows, True)
 
 
 def _slots_for(rows: int) -> int:
-    """A power of two that leaves about one entry to a slot."""
-    return 1 << max(4, rows.bit_length())
+    """A power of two that leaves two to four entries to a slot."""
+    return 1 << max(4, rows.bit_length() - 2)
 
 
 def _slot(key: Column, slots: int) -> Column:
@@ -104,7 +95,7 @@ def lookup_inline(
 ) -> DataFrame:
     """Swap array column ``keys`` for ``out``: array<struct<key, value>>, value null if absent.
 
-    ``entries`` (key, value) has to be small, about ``rows`` rows. The slot array is used in one
+    ``entries`` (key, value) has to be small, about ``rows`` rows; ``find_head`` tells. The slot array is used in one
     place only, so the optimizer moves it into that expression and no row ever carries it.
     """
     slots = _slots_for(rows)
@@ -131,25 +122,25 @@ def lookup_joined(
     row_key: Sequence[str],
     table: KeyTable,
     out: str = "pairs",
-    head_rows: int = INLINE_ROWS,
     salts: int = SALTS,
+    head: Head = Head(None, 0, False),
 ) -> DataFrame:
     """The same result as ``lookup_inline`` for a table of any size.
 
-    ``row_key`` has to be unique and not null.
+    ``row_key`` has to be unique and not null. Entries of ``head`` are looked up inline first.
     """
-    head = table.head(head_rows)
     entries = table.entries()
-    if head is not None:
-        begun = lookup_inline(df, keys, head, out, head_rows)
-    else:
+    if head.level is None:
         begun = _unanswered(df, keys, entries.schema["value"].dataType.simpleString(), out)
+    else:
+        begun = lookup_inline(df, keys, entries.where(F.col("level") >= head.level), out, head.rows)
+        entries = entries.where(F.col("level") < head.level)
 
     numbered = F.transform(
         out, lambda p, i: F.struct(i.alias("place"), p["key"].alias("key"), p["value"].alias("value"))
     )
     is_open = lambda p: p["value"].isNull() & p["key"].isNotNull()
-    open_keys = (
+    open_keys = materialize(
         begun.select(*row_key, F.explode_outer(F.filter(numbered, is_open)).alias("p"))
         .where(F.col("p").isNotNull())
         .select(
@@ -157,11 +148,11 @@ def lookup_joined(
             F.col("p.place").alias("place"),
             F.col("p.key").alias("key"),
             _slot(F.struct(*row_key), salts).alias("salt"),
-        )
-        .repartition("salt", "key")
+        ),
+        "open-keys",
     )
     wanted = open_keys.select("salt", "key").distinct()
-    known = wanted.join(entries, "key")
+    known = wanted.join(entries.select("key", "value"), "key")
     answers = (
         open_keys.join(known, ["salt", "key"], "left")
         .groupBy(*row_key)
@@ -185,7 +176,7 @@ def lookup(
     inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Choose the plan by the measured size of the table."""
-    size = measure(table.entries())
-    if size.rows <= inline_rows and size.bytes <= INLINE_BYTES:
-        return lookup_inline(df, keys, table.entries(), out, size.rows)
-    return lookup_joined(df, keys, row_key, table, out, inline_rows)
+    head = find_head(table.entries(), inline_rows)
+    if head.whole:
+        return lookup_inline(df, keys, table.entries(), out, head.rows)
+    return lookup_joined(df, keys, row_key, table, out, head=head)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +13,6 @@ from pairwright.operators.lookup import INLINE_ROWS, KeyTable, lookup, lookup_in
 from pairwright.sources.vocabulary import Vocabulary
 from pairwright.workspace import materialize
 
-_WORD_SCHEMA = "word string, code struct<ids:array<int>,texts:array<string>>, uses long"
-
-
 def _quoted(literal: str) -> str:
     return "\\Q" + literal + "\\E"
 
@@ -49,22 +46,30 @@ def split_words(text: Column, vocabulary: Vocabulary, on_special: str = "error")
     raise ValueError(f"on_special is error, text or allow, not {on_special!r}")
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, uses) -> (word, code, uses): ids of every distinct word and the text of each id."""
+def encode_words(words: DataFrame, vocabulary: Vocabulary, texts: bool = True) -> DataFrame:
+    """(word, uses) -> (word, uses, ids): the ids of every distinct word.
+
+    With ``texts`` also the text of each id, as (word, uses, ids, texts).
+    """
     ranks = words.sparkSession.sparkContext.broadcast(vocabulary.merge_ranks())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
-        texts = {i: t.decode("utf-8", "replace") for t, i in table.items()}
-        for frame in frames:
-            coded = [merge_word(w.encode("utf-8"), table) for w in frame["word"]]
-            code = [{"ids": ids, "texts": [texts[i] for i in ids]} for ids in coded]
-            yield pd.DataFrame({"word": frame["word"], "code": code, "uses": frame["uses"]})
+        shown = {i: t.decode("utf-8", "replace") for t, i in table.items()}
+        for batch in batches:
+            ids = [merge_word(w.encode("utf-8"), table) for w in batch.column("word").to_pylist()]
+            columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
+            names = ["word", "uses", "ids"]
+            if texts:
+                columns.append(pa.array([[shown[i] for i in w] for w in ids], pa.list_(pa.string())))
+                names.append("texts")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return words.select("word", "uses").mapInPandas(run, _WORD_SCHEMA)
+    schema = "word string, uses long, ids array<int>" + (", texts array<string>" if texts else "")
+    return words.select("word", "uses").mapInArrow(run, schema)
 
 
-def word_table(df: DataFrame, words: str, vocabulary: Vocabulary) -> KeyTable:
+def word_table(df: DataFrame, words: str, vocabulary: Vocabulary, texts: bool = True) -> KeyTable:
     """Every distinct word of an array column, counted, encoded once, written once."""
     counted = (
         df.select(F.explode_outer(words).alias("word"))
@@ -72,7 +77,10 @@ def word_table(df: DataFrame, words: str, vocabulary: Vocabulary) -> KeyTable:
         .groupBy("word")
         .agg(F.count("*").alias("uses"))
     )
-    return KeyTable(materialize(encode_words(counted, vocabulary), "words"), "word", "code", "uses")
+    frame = materialize(encode_words(counted, vocabulary, texts), "words")
+    if texts:
+        return KeyTable(frame.select("word", "uses", F.struct("ids", "texts").alias("code")), "word", "code", "uses")
+    return KeyTable(frame, "word", "ids", "uses")
 
 
 def tokenize(
@@ -86,9 +94,7 @@ def tokenize(
 ) -> DataFrame:
     """Add ``encoded_text`` (ids) and, with ``texts``, ``decoded_text`` (the text of each id)."""
     split = df.withColumn("_words", split_words(F.col(text), vocabulary, on_special))
-    table = word_table(split, "_words", vocabulary)
-    if not texts:
-        table = KeyTable(table.frame.select("word", F.col("code.ids").alias("ids"), "uses"), "word", "ids", "uses")
+    table = word_table(split, "_words", vocabulary, texts)
     found = lookup(split, "_words", row_key, table, "_pairs", inline_rows)
     ((special, special_id),) = vocabulary.special.items()
 
