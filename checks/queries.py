@@ -155,7 +155,7 @@ def q_csv_roundtrip(spark, sf_dir):
 def _documents(spark, sf_dir, **options):
     vocabulary = get_vocabulary(spark, "bytes")
     rows = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("org_text"))
-    return vocabulary, tokenize(rows, vocabulary, ["doc_id"], **options)
+    return vocabulary, tokenize(rows, vocabulary, **options)
 
 
 def q_tokenize(spark, sf_dir):
@@ -174,7 +174,7 @@ def q_tokenize_special(spark, sf_dir):
     vocabulary = get_vocabulary(spark, "bytes")
     marked = F.concat_ws("<|endoftext|>", "role", "text", F.lit(""))
     rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", marked.alias("org_text"))
-    tokens = tokenize(rows, vocabulary, ["conv_id", "turn"], on_special="allow", texts=False)
+    tokens = tokenize(rows, vocabulary, on_special="allow", texts=False)
     return tokens.select("conv_id", "turn", joined(F.col("encoded_text")).alias("encoded_text"))
 
 
@@ -189,7 +189,7 @@ def q_detokenize(spark, sf_dir):
 def _turns(spark, sf_dir, with_texts=False):
     vocabulary = get_vocabulary(spark, "bytes")
     rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("org_text"))
-    tokens = tokenize(rows, vocabulary, ["conv_id", "turn"], texts=with_texts)
+    tokens = tokenize(rows, vocabulary, texts=with_texts)
     return contiguous_index(tokens, ["conv_id", "turn"])
 
 
@@ -310,7 +310,7 @@ def q_greedy_decode(spark, sf_dir):
     dictionary = corpus_dictionary(spark, sf_dir)
     coded = materialize(encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary), "encoded")
     prompts = coded.select("row_id", render_prompt("train", F.col("question"), F.col("sparql_modf")).alias("org_text"))
-    successors = next_token_table(tokenize(prompts, vocabulary, ["row_id"], texts=False))
+    successors = next_token_table(tokenize(prompts, vocabulary, texts=False))
     questions = coded.select("row_id", F.col("sparql_modf").alias("question"), F.col("sparql").alias("org_sparql"))
     settings = Settings(context_length=GREEDY_WINDOW)
     rows = answer(questions, vocabulary, table_scorer(successors), dictionary, settings=settings)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.bpe import merge_word
-from pairwright.operators.lookup import INLINE_ROWS, KeyTable, lookup, lookup_inline
+from pairwright.operators.lookup import INLINE_BYTES, INLINE_ROWS, KeyTable, find_head, lookup_inline
 from pairwright.sources.vocabulary import Vocabulary
 from pairwright.workspace import materialize
 
+CODE = "struct<ids:array<int>,texts:array<string>>"
+COUNTED_BYTES = 1 << 30
+
+
 def _quoted(literal: str) -> str:
     return "\\Q" + literal + "\\E"
 
@@ -46,71 +52,107 @@ def split_words(text: Column, vocabulary: Vocabulary, on_special: str = "error")
     raise ValueError(f"on_special is error, text or allow, not {on_special!r}")
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary, texts: bool = True) -> DataFrame:
-    """(word, uses) -> (word, uses, ids): the ids of every distinct word.
+def _codes(words: pa.Array, ranks: dict[bytes, int], texts: dict[int, str]) -> pa.Array:
+    """A struct of ids and of the text of each id, for every word of an Arrow array."""
+    ids = [merge_word(w.encode("utf-8"), ranks) for w in words.to_pylist()]
+    shown = [[texts[i] for i in w] for w in ids]
+    return pa.StructArray.from_arrays(
+        [pa.array(ids, pa.list_(pa.int32())), pa.array(shown, pa.list_(pa.string()))], ["ids", "texts"]
+    )
+
 
-    With ``texts`` also the text of each id, as (word, uses, ids, texts).
-    """
-    ranks = words.sparkSession.sparkContext.broadcast(vocabulary.merge_ranks())
+def _encoder(spark: SparkSession, vocabulary: Vocabulary) -> Callable[[pa.Array], pa.Array]:
+    """A function of one Arrow array of words that finds its merge ranks by broadcast."""
+    held = spark.sparkContext.broadcast(vocabulary.merge_ranks())
+    shown: dict[int, str] = {}
+
+    def encode(words: pa.Array) -> pa.Array:
+        ranks = held.value
+        if not shown:
+            shown.update((i, t.decode("utf-8", "replace")) for t, i in ranks.items())
+        return _codes(words, ranks, shown)
+
+    return encode
+
+
+def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, …) -> (word, code) for a table of distinct words."""
+    encode = _encoder(words.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
-        shown = {i: t.decode("utf-8", "replace") for t, i in table.items()}
         for batch in batches:
-            ids = [merge_word(w.encode("utf-8"), table) for w in batch.column("word").to_pylist()]
-            columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
-            names = ["word", "uses", "ids"]
-            if texts:
-                columns.append(pa.array([[shown[i] for i in w] for w in ids], pa.list_(pa.string())))
-                names.append("texts")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "word string, uses long, ids array<int>" + (", texts array<string>" if texts else "")
-    return words.select("word", "uses").mapInArrow(run, schema)
-
-
-def word_table(df: DataFrame, words: str, vocabulary: Vocabulary, texts: bool = True) -> KeyTable:
-    """Every distinct word of an array column, counted, encoded once, written once."""
-    counted = (
-        df.select(F.explode_outer(words).alias("word"))
+            held = batch.column("word")
+            yield pa.RecordBatch.from_arrays([held, encode(held)], ["word", "code"])
+
+    return words.select("word").mapInArrow(run, f"word string, code {CODE}")
+
+
+def frequent_words(df: DataFrame, words: str, vocabulary: Vocabulary, max_rows: int) -> tuple[DataFrame, int]:
+    """The most used words of an array column, encoded once each: (key, value) and their number.
+
+    Words are counted on a share of the rows that is bounded in bytes. Any set of words would
+    do: a word that is not in it is encoded where it stands, with the same result.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    share = min(1.0, COUNTED_BYTES / max(size, 1))
+    rows = df if share == 1.0 else df.sample(share, seed=0)
+    counted = materialize(
+        rows.select(F.explode_outer(words).alias("word"))
         .where(F.col("word").isNotNull())
         .groupBy("word")
-        .agg(F.count("*").alias("uses"))
+        .agg(F.count("*").alias("uses")),
+        "words",
     )
-    frame = materialize(encode_words(counted, vocabulary, texts), "words")
-    if texts:
-        return KeyTable(frame.select("word", "uses", F.struct("ids", "texts").alias("code")), "word", "code", "uses")
-    return KeyTable(frame, "word", "ids", "uses")
+    ranked = KeyTable(counted, "word", "word", "uses").entries()
+    head = find_head(ranked, max_rows, INLINE_BYTES // 4)
+    kept = ranked.where(F.col("level") >= head.level) if head.level is not None else ranked.limit(0)
+    coded = encode_words(kept.select(F.col("key").alias("word")), vocabulary)
+    return KeyTable(materialize(coded, "frequent-words"), "word", "code").entries(), head.rows
 
 
 def tokenize(
     df: DataFrame,
     vocabulary: Vocabulary,
-    row_key: Sequence[str],
     text: str = "org_text",
     on_special: str = "error",
     texts: bool = True,
-    inline_rows: int = INLINE_ROWS,
+    max_frequent: int = INLINE_ROWS,
 ) -> DataFrame:
-    """Add ``encoded_text`` (ids) and, with ``texts``, ``decoded_text`` (the text of each id)."""
+    """Add ``encoded_text`` (ids) and, with ``texts``, ``decoded_text`` (the text of each id).
+
+    Frequent words are encoded once for the corpus and looked up; only the words left over go
+    to Python, in Arrow batches. Rows stay where they are: nothing is shuffled.
+    """
     split = df.withColumn("_words", split_words(F.col(text), vocabulary, on_special))
-    table = word_table(split, "_words", vocabulary, texts)
-    found = lookup(split, "_words", row_key, table, "_pairs", inline_rows)
+    frequent, rows = frequent_words(split, "_words", vocabulary, max_frequent)
+    found = lookup_inline(split, "_words", frequent, "_pairs", rows)
+    encode = _encoder(df.sparkSession, vocabulary)
+
+    def encode_lists(words: pa.Array) -> pa.Array:
+        ends = np.append(0, np.cumsum(pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), encode(words.flatten()))
+
+    # Not marked deterministic, so that no filter on its result runs it a second time.
+    rare = F.arrow_udf(encode_lists, f"array<{CODE}>").asNondeterministic()
+    numbered = F.transform("_pairs", lambda p, i: F.struct(i.alias("place"), p["key"].alias("key"), p["value"].alias("code")))
+    late = F.filter(numbered, lambda p: p["code"].isNull() & p["key"].isNotNull())
+    open_words = F.coalesce(F.transform(late, lambda p: p["key"]), F.array().cast("array<string>"))
     ((special, special_id),) = vocabulary.special.items()
-
-    def parts(ordinary, extra: Column) -> Column:
-        return F.flatten(
-            F.transform("_pairs", lambda p: F.when(p["key"].isNull(), extra).otherwise(ordinary(p["value"])))
-        )
-
-    if not texts:
-        ids = parts(lambda v: v, F.array(F.lit(special_id)))
-        return found.select(*df.columns, ids.alias("encoded_text"))
-    return found.select(
-        *df.columns,
-        parts(lambda v: v["ids"], F.array(F.lit(special_id))).alias("encoded_text"),
-        parts(lambda v: v["texts"], F.array(F.lit(special))).alias("decoded_text"),
+    mark = F.struct(
+        F.array(F.lit(special_id)).alias("ids"), F.array(F.lit(special)).alias("texts")
     )
+    placed = F.transform(
+        F.filter(numbered, lambda p: p["code"].isNotNull() | p["key"].isNull()),
+        lambda p: F.struct(p["place"].alias("place"), F.coalesce(p["code"], mark).alias("code")),
+    )
+    coded = found.withColumn("_coded", rare(open_words))
+    filled = F.zip_with(late, F.col("_coded"), lambda p, c: F.struct(p["place"].alias("place"), c.alias("code")))
+    codes = F.when(F.size("_coded") == 0, placed).otherwise(F.sort_array(F.concat(placed, filled)))
+    made = coded.select(*df.columns, codes.alias("_codes"))
+    columns = [F.flatten(F.col("_codes.code.ids")).alias("encoded_text")]
+    if texts:
+        columns.append(F.flatten(F.col("_codes.code.texts")).alias("decoded_text"))
+    return made.select(*df.columns, *columns)
 
 
 def _with_pieces(df: DataFrame, vocabulary: Vocabulary, ids: str) -> DataFrame:

@@ -28,7 +28,7 @@ def answer(
     Labels are restored in the whole generated text, prompt included.
     """
     prompts = questions.withColumn("_prompt", render_prompt("test", F.col("question")))
-    coded = tokenize(prompts, vocabulary, row_key, "_prompt", on_special="allow", texts=False)
+    coded = tokenize(prompts, vocabulary, "_prompt", on_special="allow", texts=False)
     grown = greedy_decode(coded, scorer, settings=settings)
     read = detokenize(grown, vocabulary, "generated", "decoded_text")
     restored = decode_labels(read, dictionary, row_key, "decoded_text", "decoded_sparql")

@@ -61,7 +61,7 @@ def token_records(
         "row_id",
         render_prompt("train", F.col("question"), F.col("sparql_modf"), null_text).alias("org_text"),
     )
-    return tokenize(prompts, vocabulary, ["split", "ord"], on_special=on_special)
+    return tokenize(prompts, vocabulary, on_special=on_special)
 
 
 def prepare(
