@@ -15,7 +15,6 @@ from pairwright.operators.lookup import INLINE_BYTES, INLINE_ROWS, KeyTable, fin
 from pairwright.sources.vocabulary import Vocabulary
 from pairwright.workspace import materialize
 
-CODE = "struct<ids:array<int>,texts:array<string>>"
 COUNTED_BYTES = 1 << 30
 
 
@@ -52,42 +51,51 @@ def split_words(text: Column, vocabulary: Vocabulary, on_special: str = "error")
     raise ValueError(f"on_special is error, text or allow, not {on_special!r}")
 
 
-def _codes(words: pa.Array, ranks: dict[bytes, int], texts: dict[int, str]) -> pa.Array:
-    """A struct of ids and of the text of each id, for every word of an Arrow array."""
-    ids = [merge_word(w.encode("utf-8"), ranks) for w in words.to_pylist()]
-    shown = [[texts[i] for i in w] for w in ids]
-    return pa.StructArray.from_arrays(
-        [pa.array(ids, pa.list_(pa.int32())), pa.array(shown, pa.list_(pa.string()))], ["ids", "texts"]
-    )
+def _code_type(texts: bool) -> str:
+    return "struct<ids:array<int>,texts:array<string>>" if texts else "array<int>"
+
 
+def _encoder(
+    spark: SparkSession, vocabulary: Vocabulary, texts: bool
+) -> Callable[[pa.Array], pa.Array]:
+    """A function from an Arrow array of words to their codes; a null word has a null code.
 
-def _encoder(spark: SparkSession, vocabulary: Vocabulary) -> Callable[[pa.Array], pa.Array]:
-    """A function of one Arrow array of words that finds its merge ranks by broadcast."""
+    A code is the ids of a word or, with ``texts``, a struct of the ids and the text of each.
+    The merge ranks come by broadcast, and a batch encodes each of its distinct words once.
+    """
     held = spark.sparkContext.broadcast(vocabulary.merge_ranks())
     shown: dict[int, str] = {}
 
     def encode(words: pa.Array) -> pa.Array:
         ranks = held.value
-        if not shown:
+        if texts and not shown:
             shown.update((i, t.decode("utf-8", "replace")) for t, i in ranks.items())
-        return _codes(words, ranks, shown)
+        distinct = words.dictionary_encode()
+        ids = [merge_word(w.encode("utf-8"), ranks) for w in distinct.dictionary.to_pylist()]
+        codes = pa.array(ids, pa.list_(pa.int32()))
+        if texts:
+            spelled = pa.array([[shown[i] for i in w] for w in ids], pa.list_(pa.string()))
+            codes = pa.StructArray.from_arrays([codes, spelled], ["ids", "texts"])
+        return codes.take(distinct.indices)
 
     return encode
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encode_words(words: DataFrame, vocabulary: Vocabulary, texts: bool = True) -> DataFrame:
     """(word, …) -> (word, code) for a table of distinct words."""
-    encode = _encoder(words.sparkSession, vocabulary)
+    encode = _encoder(words.sparkSession, vocabulary, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column("word")
             yield pa.RecordBatch.from_arrays([held, encode(held)], ["word", "code"])
 
-    return words.select("word").mapInArrow(run, f"word string, code {CODE}")
+    return words.select("word").mapInArrow(run, f"word string, code {_code_type(texts)}")
 
 
-def frequent_words(df: DataFrame, words: str, vocabulary: Vocabulary, max_rows: int) -> tuple[DataFrame, int]:
+def frequent_words(
+    df: DataFrame, words: str, vocabulary: Vocabulary, texts: bool, max_rows: int = INLINE_ROWS
+) -> tuple[DataFrame, int]:
     """The most used words of an array column, encoded once each: (key, value) and their number.
 
     Words are counted on a share of the rows that is bounded in bytes. Any set of words would
@@ -106,7 +114,7 @@ def frequent_words(df: DataFrame, words: str, vocabulary: Vocabulary, max_rows:
     ranked = KeyTable(counted, "word", "word", "uses").entries()
     head = find_head(ranked, max_rows, INLINE_BYTES // 4)
     kept = ranked.where(F.col("level") >= head.level) if head.level is not None else ranked.limit(0)
-    coded = encode_words(kept.select(F.col("key").alias("word")), vocabulary)
+    coded = encode_words(kept.select(F.col("key").alias("word")), vocabulary, texts)
     return KeyTable(materialize(coded, "frequent-words"), "word", "code").entries(), head.rows
 
 
@@ -124,35 +132,32 @@ def tokenize(
     to Python, in Arrow batches. Rows stay where they are: nothing is shuffled.
     """
     split = df.withColumn("_words", split_words(F.col(text), vocabulary, on_special))
-    frequent, rows = frequent_words(split, "_words", vocabulary, max_frequent)
+    frequent, rows = frequent_words(split, "_words", vocabulary, texts, max_frequent)
     found = lookup_inline(split, "_words", frequent, "_pairs", rows)
-    encode = _encoder(df.sparkSession, vocabulary)
+    encode = _encoder(df.sparkSession, vocabulary, texts)
 
     def encode_lists(words: pa.Array) -> pa.Array:
-        ends = np.append(0, np.cumsum(pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), encode(words.flatten()))
+        lengths = pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+        return pa.ListArray.from_arrays(ends, encode(words.flatten()))
 
     # Not marked deterministic, so that no filter on its result runs it a second time.
-    rare = F.arrow_udf(encode_lists, f"array<{CODE}>").asNondeterministic()
-    numbered = F.transform("_pairs", lambda p, i: F.struct(i.alias("place"), p["key"].alias("key"), p["value"].alias("code")))
-    late = F.filter(numbered, lambda p: p["code"].isNull() & p["key"].isNotNull())
-    open_words = F.coalesce(F.transform(late, lambda p: p["key"]), F.array().cast("array<string>"))
+    rare = F.arrow_udf(encode_lists, f"array<{_code_type(texts)}>").asNondeterministic()
+    left_over = F.transform("_pairs", lambda p: F.when(p["value"].isNull(), p["key"]))
     ((special, special_id),) = vocabulary.special.items()
-    mark = F.struct(
-        F.array(F.lit(special_id)).alias("ids"), F.array(F.lit(special)).alias("texts")
-    )
-    placed = F.transform(
-        F.filter(numbered, lambda p: p["code"].isNotNull() | p["key"].isNull()),
-        lambda p: F.struct(p["place"].alias("place"), F.coalesce(p["code"], mark).alias("code")),
-    )
-    coded = found.withColumn("_coded", rare(open_words))
-    filled = F.zip_with(late, F.col("_coded"), lambda p, c: F.struct(p["place"].alias("place"), c.alias("code")))
-    codes = F.when(F.size("_coded") == 0, placed).otherwise(F.sort_array(F.concat(placed, filled)))
-    made = coded.select(*df.columns, codes.alias("_codes"))
-    columns = [F.flatten(F.col("_codes.code.ids")).alias("encoded_text")]
+    mark = F.array(F.lit(special_id))
     if texts:
-        columns.append(F.flatten(F.col("_codes.code.texts")).alias("decoded_text"))
-    return made.select(*df.columns, *columns)
+        mark = F.struct(mark.alias("ids"), F.array(F.lit(special)).alias("texts"))
+    coded = found.withColumn("_rare", rare(left_over))
+    codes = F.zip_with("_pairs", "_rare", lambda p, late: F.coalesce(p["value"], late, mark))
+    made = coded.select(*df.columns, F.when(F.col("_pairs").isNotNull(), codes).alias("_codes"))
+    if not texts:
+        return made.select(*df.columns, F.flatten("_codes").alias("encoded_text"))
+    return made.select(
+        *df.columns,
+        F.flatten("_codes.ids").alias("encoded_text"),
+        F.flatten("_codes.texts").alias("decoded_text"),
+    )
 
 
 def _with_pieces(df: DataFrame, vocabulary: Vocabulary, ids: str) -> DataFrame:
