@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from checks.queries import QUERIES
+from pairwright.workspace import release
 
 HEADLINE = [
     "q_extract_ids",
@@ -65,6 +66,7 @@ def main() -> None:
         ),
         flush=True,
     )
+    release(spark)
     spark.stop()
 
 

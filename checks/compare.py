@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from pairwright.workspace import release
 
 TABLES = ["orders", "documents", "embeddings", "benchmark", "conversations"]
 
@@ -64,6 +65,7 @@ def main() -> int:
                     print("  spark ", repr(a)[:400])
                     print("  duckdb", repr(b)[:400])
         print(f"{name:24s} {len(ours):8d} rows {verdict:10s} spark {middle - start:6.2f}s duckdb {end - middle:6.2f}s", flush=True)
+    release(spark)
     return bad
 
 

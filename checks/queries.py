@@ -188,9 +188,9 @@ def q_detokenize(spark, sf_dir):
 
 def _turns(spark, sf_dir, with_texts=False):
     vocabulary = get_vocabulary(spark, "bytes")
-    rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("org_text"))
-    tokens = tokenize(rows, vocabulary, texts=with_texts)
-    return contiguous_index(tokens, ["conv_id", "turn"])
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("org_text"))
+    numbered = contiguous_index(rows, ["conv_id", "turn"])
+    return tokenize(numbered, vocabulary, texts=with_texts)
 
 
 def _batches(spark, sf_dir, with_texts=False):

@@ -41,7 +41,7 @@ def build_dictionary(queries: DataFrame, column: str = "sparql_wikidata") -> Dat
     known = numbered.select(
         "eid", numbered_label(F.col("number") + 1, width).alias("label"), "uses"
     )
-    unknown = queries.sparkSession.range(1).select(
+    unknown = queries.sparkSession.range(0, 1, 1, 1).select(
         F.lit(UNKNOWN_EID).alias("eid"),
         F.lit(LABEL_PREFIX + "0" * width).alias("label"),
         F.lit(0).cast("long").alias("uses"),

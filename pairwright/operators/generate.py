@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright.config import Settings
 from pairwright.functions.arrays import drop_first, drop_last
+from pairwright.workspace import materialize
 
 # A scorer takes a (prompts x window) matrix of ids, right-aligned and filled with -1 on the left,
 # and returns either a (prompts x vocabulary) matrix of logits for the next position or one chosen
@@ -34,9 +35,10 @@ def next_token_table(tokens: DataFrame, ids: str = "encoded_text") -> DataFrame:
 
 def table_scorer(successors: DataFrame) -> Callable[[], Scorer]:
     """A scorer that follows a next-token table of checked size (one row per vocabulary entry)."""
-    if successors.count() > MAX_SUCCESSORS:
+    kept = materialize(successors.select("prev", "next"), "successors")
+    if kept.count() > MAX_SUCCESSORS:
         raise ValueError(f"a next-token table holds at most {MAX_SUCCESSORS} rows")
-    rows = sorted((r["prev"], r["next"]) for r in successors.select("prev", "next").collect())
+    rows = sorted((r["prev"], r["next"]) for r in kept.collect())
     held = successors.sparkSession.sparkContext.broadcast(np.array(rows, dtype=np.int64).reshape(-1, 2))
 
     def build() -> Scorer:

@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,13 @@ _SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
 
 
+@cache
+def _private_root() -> str:
+    root = tempfile.mkdtemp(prefix="pairwright-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_root(spark: SparkSession) -> str:
     """The session's checkpoint folder; a private one is made only in local mode without it."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
@@ -25,10 +33,7 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
-    root = tempfile.mkdtemp(prefix="pairwright-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set(_SETTING, root)
-    return root
+    return _private_root()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

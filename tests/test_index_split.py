@@ -23,6 +23,20 @@ def test_numbers_follow_the_order_within_groups(spark, partitions):
     assert whole.columns == ["g", "k", "t", "n"]
 
 
+def test_many_groups_are_numbered_without_the_driver(spark, monkeypatch, plan_of):
+    df = spark.range(300).selectExpr("id % 90 AS g", "id AS k").repartition(5)
+    expected = sorted((i % 90, i, i // 90) for i in range(300))
+    assert sorted(map(tuple, contiguous_index(df, ["k"], within=["g"]).collect())) == expected
+    monkeypatch.setattr("pairwright.operators.index.MAX_RUNS", 3)
+    apart = contiguous_index(df, ["k"], within=["g"])
+    assert sorted(map(tuple, apart.collect())) == expected
+    assert "SinglePartition" not in plan_of(apart)
+
+
+def test_nothing_to_number(spark):
+    assert contiguous_index(spark.range(0), ["id"]).collect() == []
+
+
 @pytest.mark.parametrize("n", [2, 10, 101, 1000])
 def test_split_is_exact_and_follows_the_hash(spark, n):
     df = spark.range(n).withColumnRenamed("id", "row_id")
