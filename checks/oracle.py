@@ -191,6 +191,12 @@ SELECT 0 AS epoch, batch_id, round(t, 6) AS train_loss, round(v, 6) AS val_loss,
     || ' Val loss:- ' || printf('%.6f', v) AS report
 FROM means""",
     "q_argmax": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::int AS choice FROM embeddings",
+    "q_last_choice": """SELECT vec_id // 8 AS sequence,
+  arg_max((list_position(embedding, list_max(embedding)) - 1)::int, vec_id) AS choice
+FROM embeddings GROUP BY 1""",
+    "q_stored_loss": f"""WITH {SCORED},
+losses AS (SELECT vec_id // 16 AS batch_id, coalesce(avg(nll), 'nan'::double) AS batch_loss FROM positions GROUP BY 1)
+SELECT round(avg(batch_loss), 6) AS loss FROM losses""",
     "q_softmax": f"""WITH {SCORED},
 powers AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM scored),
 shares AS (SELECT vec_id, e, list_sum(e) AS total FROM powers)

@@ -22,11 +22,12 @@ from pairwright.operators.batches import (
 from pairwright.operators.dictionary import all_queries, build_dictionary
 from pairwright.operators.generate import next_token_table, table_scorer
 from pairwright.operators.index import contiguous_index
-from pairwright.operators.loss import batch_losses, checkpoint_losses, mean_of_batches
+from pairwright.operators.loss import batch_losses, checkpoint_losses, mean_of_batches, next_choice
 from pairwright.operators.preview import first_rows, record_at, shape
 from pairwright.operators.rewrite import decode_labels, encode_ids
 from pairwright.operators.split import exact_split
 from pairwright.operators.tokens import detokenize, token_texts, tokenize
+from pairwright.plans.evaluate import stored_loss
 from pairwright.plans.infer import answer
 from pairwright.sources.dictionary_files import read_dictionary, write_dictionary
 from pairwright.sources.pairs import read_csv, rename_pairs, write_csv
@@ -290,6 +291,28 @@ def q_argmax(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", argmax(F.col("embedding")).alias("choice"))
 
 
+def q_last_choice(spark, sf_dir):
+    """Runs of eight vectors as the positions of a sequence."""
+    rows = _scored(spark, sf_dir).select(
+        batch_of(8, "vec_id").alias("sequence"), (F.col("vec_id") % 8).alias("pos"), "logits"
+    )
+    return next_choice(rows, ["sequence"])
+
+
+def q_stored_loss(spark, sf_dir):
+    """Four vectors to a sequence, a matrix of logits and an array of targets per row."""
+    position = F.struct("vec_id", "logits", "target")
+    held = _scored(spark, sf_dir).groupBy(batch_of(4, "vec_id").alias("ord")).agg(
+        F.sort_array(F.collect_list(position)).alias("p")
+    )
+    rows = held.select(
+        batch_of(SETTINGS.batch_size("test")).alias("batch_id"),
+        F.col("p.logits").alias("logits"),
+        F.col("p.target").alias("targets"),
+    )
+    return stored_loss(rows, SETTINGS).select(F.round("loss", 6).alias("loss"))
+
+
 def q_softmax(spark, sf_dir):
     probabilities = softmax(F.col("logits"))
     rows = _scored(spark, sf_dir).select("vec_id", F.posexplode(probabilities).alias("pos", "p"))

@@ -19,7 +19,7 @@ from pairwright.functions.arrays import (
 
 def batch_of(size: int, ord_column: str = "ord") -> Column:
     """Batch number of a row from its contiguous position."""
-    return F.floor(F.col(ord_column) / F.lit(size)).cast("long")
+    return F.expr(f"`{ord_column}` div {int(size)}")
 
 
 def load_batches(tokens: DataFrame, split: str, settings: Settings = Settings()) -> DataFrame:
