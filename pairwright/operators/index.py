@@ -20,6 +20,7 @@ def contiguous_index(
     order_by: Sequence[str],
     within: Sequence[str] = (),
     name: str = "ord",
+    row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``name``: 0, 1, 2, … by ``order_by``, restarting for every value of ``within``.
 
@@ -28,7 +29,14 @@ def contiguous_index(
     Counts are one row per partition and group. For as many as fit the driver they are summed up
     there and broadcast; for a ``within`` of very many values that too is a distributed join.
     ``order_by`` has to tell rows of a group apart and ``within`` has to be free of nulls.
+
+    With a unique, non-null ``row_key`` only the key columns are sampled, sorted and written, and
+    the numbers are joined to the rows afterwards: the way for rows much wider than their keys.
     """
+    if row_key:
+        narrow = df.select(*dict.fromkeys([*row_key, *within, *order_by]))
+        numbers = contiguous_index(narrow, order_by, within, name)
+        return df.join(numbers.select(*row_key, name), list(row_key)).select(*df.columns, name)
     keys = [*within, *order_by]
     staged = materialize(
         df.repartitionByRange(*keys)

@@ -112,7 +112,7 @@ def frequent_words(
         "words",
     )
     ranked = KeyTable(counted, "word", "word", "uses").entries()
-    head = find_head(ranked, max_rows, INLINE_BYTES // 4)
+    head = find_head(ranked, max_rows, INLINE_BYTES // 8)
     kept = ranked.where(F.col("level") >= head.level) if head.level is not None else ranked.limit(0)
     coded = encode_words(kept.select(F.col("key").alias("word")), vocabulary, texts)
     return KeyTable(materialize(coded, "frequent-words"), "word", "code").entries(), head.rows

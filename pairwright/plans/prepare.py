@@ -79,7 +79,7 @@ def prepare(
     write_dictionary(dictionary, f"{out}/dictionary")
     parted = split_pairs(train, test, settings)
     renamed = parted.withColumnsRenamed({"paraphrased_question": "question", "sparql_wikidata": "sparql"})
-    numbered = contiguous_index(renamed, ["place", "row_id"], within=["split"])
+    numbered = contiguous_index(renamed, ["place", "row_id"], ["split"], row_key=["split", "row_id"])
     encoded = encode_pairs(numbered, dictionary)
     columns = ["split", "ord", "row_id", "question", "sparql", "sparql_modf"]
     encoded.select(*columns).write.partitionBy("split").parquet(f"{out}/pairs")

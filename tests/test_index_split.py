@@ -18,6 +18,8 @@ def test_numbers_follow_the_order_within_groups(spark, partitions):
     for g in "abc":
         keys = sorted(k for h, k, _ in rows if h == g)
         assert [got[g, k] for k in keys] == list(range(len(keys)))
+    apart = contiguous_index(df, ["k"], within=["g"], row_key=["t"])
+    assert {(r["g"], r["k"]): r["ord"] for r in apart.collect()} == got and apart.columns == [*df.columns, "ord"]
     whole = contiguous_index(df, ["g", "k"], name="n")
     assert [r["n"] for r in whole.orderBy("g", "k").collect()] == list(range(len(rows)))
     assert whole.columns == ["g", "k", "t", "n"]
