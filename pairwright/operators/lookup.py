@@ -14,7 +14,7 @@ many keys per row, one table, values back in the order of the keys. Two plans do
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -77,17 +77,41 @@ def _slot(key: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
+def _in_order(placed: DataFrame, slots: int, taken: Callable[[Column], Column]) -> DataFrame:
+    """(slot, held) rows -> one row with the array of ``taken(held)`` by slot, null in the gaps."""
+    spark = placed.sparkSession
+    every = spark.range(slots).select(F.col("id").cast("int").alias("slot"))
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "held")))
+    return every.join(placed, "slot", "left").agg(
+        F.transform(ordered, lambda s: taken(s["held"])).alias("slots")
+    )
+
+
 def _slot_array(entries: DataFrame, slots: int) -> DataFrame:
     """One row with an array: slot number -> map of the entries that hash to it."""
-    spark = entries.sparkSession
     placed = entries.groupBy(_slot(F.col("key"), slots).alias("slot")).agg(
         F.sort_array(F.collect_list(F.struct("key", "value"))).alias("held")
     )
-    every = spark.range(slots).select(F.col("id").cast("int").alias("slot"))
-    ordered = F.sort_array(F.collect_list(F.struct("slot", "held")))
-    return every.join(placed, "slot", "left").agg(
-        F.transform(ordered, lambda s: F.map_from_entries(s["held"])).alias("slots")
-    )
+    return _in_order(placed, slots, F.map_from_entries)
+
+
+def values_by_number(
+    df: DataFrame, keys: str, entries: DataFrame, size: int, out: str, message: str
+) -> DataFrame:
+    """Swap array column ``keys`` for ``out``, the values of keys from 0 to ``size`` - 1.
+
+    The number itself is the slot. A key without a value is an error that says ``message``.
+    """
+    placed = entries.select(F.col("key").cast("int").alias("slot"), F.col("value").alias("held"))
+    others = [c for c in df.columns if c != keys]
+    held = df.withColumn("_slots", _in_order(placed, size, lambda value: value).scalar())
+    value_type = entries.schema["value"].dataType.simpleString()
+
+    def value(key: Column) -> Column:
+        missing = F.raise_error(F.concat(F.lit(message), key.cast("string"))).cast(value_type)
+        return F.coalesce(F.get(F.col("_slots"), key), missing)
+
+    return held.select(*others, F.transform(keys, value).alias(out))
 
 
 def lookup_inline(

@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.bpe import merge_word
-from pairwright.operators.lookup import INLINE_BYTES, INLINE_ROWS, KeyTable, find_head, lookup_inline
+from pairwright.operators.lookup import (
+    INLINE_BYTES,
+    INLINE_ROWS,
+    KeyTable,
+    find_head,
+    lookup_inline,
+    values_by_number,
+)
 from pairwright.sources.vocabulary import Vocabulary
 from pairwright.workspace import materialize
 
@@ -160,33 +167,24 @@ def tokenize(
     )
 
 
-def _with_pieces(df: DataFrame, vocabulary: Vocabulary, ids: str) -> DataFrame:
+def _pieces(df: DataFrame, vocabulary: Vocabulary, ids: str, piece: str) -> DataFrame:
     kept = df.withColumn("_ids", F.col(ids))
-    pieces = KeyTable(vocabulary.pieces(), "id", "hex").entries()
-    return lookup_inline(kept, "_ids", pieces, "_pairs", vocabulary.checked_size())
-
-
-def _piece(pair: Column) -> Column:
-    message = F.concat(F.lit("no token with id "), pair["key"].cast("string"))
-    return F.when(pair["value"].isNull(), F.raise_error(message).cast("string")).otherwise(pair["value"])
-
-
-def _readable(hexed: Column) -> Column:
-    return F.make_valid_utf8(F.unhex(hexed).cast("string"))
+    pieces = vocabulary.pieces().select(F.col("id").alias("key"), F.col(piece).alias("value"))
+    return values_by_number(kept, "_ids", pieces, vocabulary.checked_size(), "_pieces", "no token with id ")
 
 
 def token_texts(
     df: DataFrame, vocabulary: Vocabulary, ids: str = "encoded_text", out: str = "decoded_text"
 ) -> DataFrame:
     """Add the text of every id on its own; bytes that are no whole character show as U+FFFD."""
-    found = _with_pieces(df, vocabulary, ids)
-    return found.select(*df.columns, F.transform("_pairs", lambda p: _readable(_piece(p))).alias(out))
+    found = _pieces(df, vocabulary, ids, "text")
+    return found.select(*df.columns, F.col("_pieces").alias(out))
 
 
 def detokenize(
     df: DataFrame, vocabulary: Vocabulary, ids: str = "encoded_text", out: str = "text"
 ) -> DataFrame:
     """Add the text of an id sequence: bytes are joined first and decoded once."""
-    found = _with_pieces(df, vocabulary, ids)
-    joined = F.array_join(F.transform("_pairs", _piece), "")
-    return found.select(*df.columns, _readable(joined).alias(out))
+    found = _pieces(df, vocabulary, ids, "hex")
+    joined = F.unhex(F.array_join("_pieces", ""))
+    return found.select(*df.columns, F.make_valid_utf8(joined.cast("string")).alias(out))

@@ -26,8 +26,9 @@ class Vocabulary:
     special: dict[str, int] = field(default_factory=lambda: {END_OF_TEXT: END_OF_TEXT_ID})
 
     def checked_size(self) -> int:
-        """Number of ordinary tokens; a table that is too large for a vocabulary is an error."""
-        size = self.frame.count()
+        """One more than the largest id; ids too large for a vocabulary are an error."""
+        largest = self.frame.agg(F.max("id")).first()[0]
+        size = max([largest, *self.special.values()]) + 1
         if size > MAX_ENTRIES:
             raise ValueError(f"a vocabulary holds at most {MAX_ENTRIES} tokens")
         return size
@@ -42,12 +43,19 @@ class Vocabulary:
         return ranks
 
     def pieces(self) -> DataFrame:
-        """(id, hex) of ordinary and special tokens: what decoding looks up."""
+        """(id, hex, text) of ordinary and special tokens: what decoding looks up.
+
+        ``text`` is the token on its own, with U+FFFD for bytes that are no whole character.
+        """
         spark = self.frame.sparkSession
         special = spark.createDataFrame(
-            [(i, t.encode().hex().upper()) for t, i in self.special.items()], "id int, hex string"
+            [(i, bytearray(t.encode())) for t, i in self.special.items()], "id int, token binary"
+        )
+        return self.frame.select("id", "token").unionByName(special).select(
+            "id",
+            F.hex("token").alias("hex"),
+            F.make_valid_utf8(F.col("token").cast("string")).alias("text"),
         )
-        return self.frame.select("id", F.hex("token").alias("hex")).unionByName(special)
 
 
 def byte_vocabulary(spark: SparkSession, path: str | None = None) -> Vocabulary:

@@ -102,6 +102,12 @@ def test_tokens_are_made_where_the_rows_are(spark, vocabulary, plan_of):
     assert "Exchange" not in main[0] and "BatchEvalPython" not in plan_of(made)
 
 
+def test_decoding_holds_the_table_outside_the_rows(spark, vocabulary, plan_of):
+    df = spark.createDataFrame([(1, [65, 66])], "id long, encoded_text array<int>")
+    read = detokenize(token_texts(df, vocabulary), vocabulary)
+    assert "_slots" not in plan_of(read) and "Exchange" not in plan_of(read).split("Subquery")[0]
+
+
 def test_unknown_vocabulary_is_an_error(spark):
     with pytest.raises(KeyError):
         get_vocabulary(spark, "gpt9")
