@@ -187,11 +187,13 @@ def q_detokenize(spark, sf_dir):
 # Batches.
 
 
-def _turns(spark, sf_dir, with_texts=False):
-    vocabulary = get_vocabulary(spark, "bytes")
+def _numbered(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("org_text"))
-    numbered = contiguous_index(rows, ["conv_id", "turn"])
-    return tokenize(numbered, vocabulary, texts=with_texts)
+    return contiguous_index(rows, ["conv_id", "turn"])
+
+
+def _turns(spark, sf_dir, with_texts=False):
+    return tokenize(_numbered(spark, sf_dir), get_vocabulary(spark, "bytes"), texts=with_texts)
 
 
 def _batches(spark, sf_dir, with_texts=False):
@@ -235,7 +237,7 @@ def q_batch_export(spark, sf_dir):
 
 
 def q_record_at(spark, sf_dir):
-    return record_at(_turns(spark, sf_dir), 7).select("ord", "conv_id", "turn", "org_text")
+    return record_at(_numbered(spark, sf_dir), 7).select("ord", "conv_id", "turn", "org_text")
 
 
 def q_context_window(spark, sf_dir):
