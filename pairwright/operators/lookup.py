@@ -6,10 +6,10 @@ many keys per row, one table, values back in the order of the keys. Two plans do
 * A table of checked, small size becomes one array of hash slots, a scalar subquery that
   expressions index directly: no shuffle, no row key, rows never leave their partition.
 * A larger table has its most used keys looked up that way, and only the keys left open travel,
-  as (row key, place, key), written once, to a join and back. Keys are spread by a salt taken from the row
-  key; the table side is joined to the distinct (salt, key) pairs first, so that a key which
-  holds a third of all rows reaches the table at most once per salt and is spread over as many
-  groups on the way back.
+  as (row key, place, key), written once, to a join and back. Keys are spread by a salt taken
+  from the row key; the table side is joined to the distinct (salt, key) pairs first, so that a
+  key which holds a third of all rows reaches the table at most once per salt and is spread over
+  as many groups on the way back.
 """
 
 from __future__ import annotations
