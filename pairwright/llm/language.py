@@ -21,6 +21,8 @@ from pairwright.llm.texts import Words, code_points, letter_table, ranges, slice
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3, 4)
+#: An n-gram of a distinct word takes some tens of bytes while a slice is worked on.
+GRAM_SLICE_BYTES = 2 << 20
 _MARK = np.uint64(1)
 
 
@@ -72,11 +74,11 @@ class Grams:
                 continue
             mixed = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             inside = word[: len(value)] == word[order - 1 :]
-            found.append(((mixed >> np.uint64(32)) % np.uint64(buckets))[inside].astype(np.int64))
-            of.append(word[: len(value)][inside])
+            found.append(((mixed >> np.uint64(32)) % np.uint64(buckets))[inside].astype(np.int32))
+            of.append(word[: len(value)][inside].astype(np.int32))
         of_all = np.concatenate(of)
         by_word = np.argsort(of_all, kind="stable")
-        self.buckets = np.concatenate(found)[by_word]
+        self.buckets = np.concatenate(found)[by_word].astype(np.int64)
         self.sizes = np.bincount(of_all, minlength=len(distinct))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -102,8 +104,12 @@ class LanguageModel:
         n = len(texts)
         if not self.labels or not len(grams.codes):
             return [UNDETERMINED] * n, np.zeros(n)
-        by_word = sums(self.weights[grams.buckets], np.append(grams.starts, len(grams.buckets)))
-        totals = sums(by_word[grams.codes], grams.first)
+        word = np.repeat(np.arange(len(grams.sizes)), grams.sizes)
+        text = np.repeat(np.arange(n), grams.counts)
+        totals = np.empty((n, len(self.labels)))
+        for k in range(len(self.labels)):  # one label at a time, to hold one number for each n-gram
+            by_word = np.bincount(word, self.weights[grams.buckets, k], len(grams.sizes))
+            totals[:, k] = np.bincount(text, by_word[grams.codes], n)
         size = sums(grams.sizes[grams.codes].astype(np.float64), grams.first)
         logits = totals / np.maximum(size, 1)[:, None] + self.bias
         logits = (logits - logits.max(axis=1, keepdims=True)) / self.temperature
@@ -121,10 +127,10 @@ def document_frequencies(docs: DataFrame, buckets: int) -> tuple[int, np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(buckets, np.int64), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=GRAM_SLICE_BYTES):
                 grams = Grams(part.column("text"), buckets)
-                for begin in range(0, len(part), 128):
-                    first = grams.first[begin : begin + 129]
+                for begin in range(0, len(part), 64):
+                    first = grams.first[begin : begin + 65]
                     codes = grams.codes[first[0] : first[-1]]
                     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                     pairs = np.unique(row * len(grams.sizes) + codes) if len(codes) else codes
@@ -199,7 +205,7 @@ def fit_language(
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=GRAM_SLICE_BYTES):
                 grams = Grams(part.column("text"), settings.buckets)
                 made = [grams.text(i) for i in range(len(part))]
                 found = pa.array([m[0] for m in made], pa.list_(pa.int32()))
@@ -235,7 +241,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
 
     def predict(texts: pa.Array) -> pa.Array:
         names, scores = [], []
-        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), limit=GRAM_SLICE_BYTES):
             n, s = sent.value.predict(part.column("text"))
             names += n
             scores.append(s)
