@@ -187,8 +187,8 @@ means AS (
   FROM losses WHERE batch_id % 5 = 0 GROUP BY batch_id
 )
 SELECT 0 AS epoch, batch_id, round(t, 6) AS train_loss, round(v, 6) AS val_loss,
-  'Epoch:- 1 Batch ID:- ' || printf('%06d', batch_id) || ' Train loss:- ' || printf('%.6f', t)
-    || ' Val loss:- ' || printf('%.6f', v) AS report
+  'epoch 1, batch ' || printf('%06d', batch_id) || ': train ' || printf('%.6f', t)
+    || ', validation ' || printf('%.6f', v) AS report
 FROM means""",
     "q_argmax": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::int AS choice FROM embeddings",
     "q_last_choice": """SELECT vec_id // 8 AS sequence,
@@ -226,3 +226,6 @@ SELECT e.row_id, t.text AS decoded_text,
   e.sparql AS org_sparql
 FROM encoded e JOIN texts t ON t.row_id = e.row_id, names""",
 }
+
+ORACLE["q_encode_joined"] = ORACLE["q_encode_ids"]
+ORACLE["q_decode_joined"] = ORACLE["q_decode_labels"]

@@ -6,13 +6,13 @@ SELECT k AS row_id,
        ELSE 'Which order of priority ' || o_orderpriority || ' belongs to customer ' || c || '?'
   END AS paraphrased_question,
   CASE WHEN k % 89 = 0 THEN NULL
-       WHEN k % 5 = 0 THEN 'SELECT (COUNT(?sub) AS ?value ) { ?sub wdt:P' || p || ' wd:Q' || c || ' }'
-       WHEN k % 5 = 1 THEN 'SELECT ?answer WHERE { wd:Q' || c || ' wdt:P' || p
-         || ' ?answer . ?answer wdt:P190 wd:Q' || q || '}'
-       WHEN k % 5 = 2 THEN 'SELECT ?obj WHERE { wd:Q' || c || ' p:P' || p || ' ?s . ?s ps:P' || p
-         || ' ?obj . ?s pq:P2453 wd:Q' || q || ' }'
-       WHEN k % 5 = 3 THEN 'ab1wd:Q' || c || ' wd:Q' || c || 'abc x:y:Q' || c
-       ELSE 'ASK WHERE { ?a ?b ?c }'
+       WHEN k % 5 = 0 THEN 'SELECT (SUM(?n) AS ?all) { ?n ex:R' || p || ' ex:K' || c || ' }'
+       WHEN k % 5 = 1 THEN 'SELECT ?x { ex:K' || c || ' ex:R' || p
+         || ' ?x . ?x ex:R7 ex:K' || q || '}'
+       WHEN k % 5 = 2 THEN 'ASK { ex:K' || c || ' st:R' || p || ' _:b . _:b v:R' || p
+         || ' ?y ; qu:R11 ex:K' || q || ' }'
+       WHEN k % 5 = 3 THEN 'zz9ex:K' || c || ' ex:K' || c || 'tail m:ex:K' || c
+       ELSE 'DESCRIBE ?nothing'
   END AS sparql_wikidata,
   CASE WHEN k % 7 = 6 THEN 'test' ELSE 'train' END AS part
 FROM (

@@ -91,7 +91,7 @@ def q_extract_ids(spark, sf_dir):
 def q_dictionary(spark, sf_dir):
     path = fresh_path(spark, "dictionary")
     write_dictionary(corpus_dictionary(spark, sf_dir), path)
-    return read_dictionary(spark, path)
+    return read_dictionary(spark, path).select("eid", "label")
 
 
 def q_dictionary_inverse(spark, sf_dir):
@@ -114,6 +114,17 @@ def q_decode_labels(spark, sf_dir):
     return decode_labels(coded, dictionary).select("row_id", "decoded_sparql")
 
 
+def q_encode_joined(spark, sf_dir):
+    rows = rename_pairs(pairs(spark, sf_dir))
+    return encode_ids(rows, corpus_dictionary(spark, sf_dir), inline_rows=0).select("row_id", "question", "sparql", "sparql_modf")
+
+
+def q_decode_joined(spark, sf_dir):
+    dictionary = corpus_dictionary(spark, sf_dir)
+    coded = encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary)
+    return decode_labels(coded, dictionary, inline_rows=0).select("row_id", "decoded_sparql")
+
+
 def _split(spark, sf_dir):
     return exact_split(part(spark, sf_dir, "train"), "row_id", SETTINGS.valid_fraction, SETTINGS.split_seed)
 

@@ -21,8 +21,6 @@ IGNORE_INDEX = -100
 class Settings:
     """Operator parameters; every default is a fixed value of the data format."""
 
-    vocabulary: str = "gpt2"
-    vocabulary_path: str | None = None
     context_length: int = 1024
     max_length: int | None = 1024
     pad_id: int = END_OF_TEXT_ID
@@ -30,8 +28,9 @@ class Settings:
     batch_sizes: dict[str, int] = field(default_factory=lambda: {"train": 8, "val": 4, "test": 4})
     valid_fraction: float = 0.1
     split_seed: int = 42
-    eval_every: int = 500
     max_new_tokens: int = 50
+    #: Rows a model or scorer is given at a time.
+    rows_per_call: int = 64
 
     def batch_size(self, split: str) -> int:
         """Rows per batch for a split; an unknown split name is an error."""

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,8 @@ def greedy_decode(
 ) -> DataFrame:
     """Add ``out``: the last ``context_length`` ids and what was generated after them.
 
-    ``scorer`` is called once per task, so it may load a model; it sees one Arrow batch at a time.
+    ``scorer`` is called once per task, so it may load a model; it sees ``rows_per_call``
+    prompts at a time. A null id list stays null.
     """
     window, steps, stop_id = settings.context_length, settings.max_new_tokens, settings.pad_id
 
@@ -107,8 +109,14 @@ def greedy_decode(
         for batch in batches:
             lists = batch.column(ids)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-            grown = extend(values, offsets, score, window, steps, stop_id)
+            sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            offsets = np.append(0, np.cumsum(sizes))
+            grown = []
+            for begin in range(0, len(lists), settings.rows_per_call):
+                part = offsets[begin : begin + settings.rows_per_call + 1]
+                own = values[part[0] : part[-1]]
+                grown += extend(own, part - part[0], score, window, steps, stop_id)
+            grown = [g if known else None for g, known in zip(grown, lists.is_valid().to_pylist())]
             added = pa.array(grown, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, added], [*batch.schema.names, out])
 

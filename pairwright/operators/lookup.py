@@ -6,15 +6,15 @@ many keys per row, one table, values back in the order of the keys. Two plans do
 * A table of checked, small size becomes one array of hash slots, a scalar subquery that
   expressions index directly: no shuffle, no row key, rows never leave their partition.
 * A larger table has its most used keys looked up that way, and only the keys left open travel,
-  as (row key, place, key), written once, to a join and back. Keys are spread by a salt taken
-  from the row key; the table side is joined to the distinct (salt, key) pairs first, so that a
+  as (row number, place, key), written once, to a join and back. Rows are numbered here. Keys
+  are spread by a salt taken from the row's number; the table side is joined to the distinct (salt, key) pairs first, so that a
   key which holds a third of all rows reaches the table at most once per salt and is spread over
   as many groups on the way back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ from pairwright.workspace import materialize
 
 INLINE_ROWS = 200_000
 INLINE_BYTES = 16 << 20
-SALTS = 256
+ROWS_PER_SALT = 100_000
 
 
 @dataclass(frozen=True)
@@ -140,38 +140,45 @@ def _unanswered(df: DataFrame, keys: str, value_type: str, out: str) -> DataFram
     return df.select(*others, pairs.alias(out))
 
 
+def _once(entries: DataFrame) -> DataFrame:
+    """Entries with one row per key; a repeated key is an error, as it is for the inline plan."""
+    kind = entries.schema["value"].dataType.simpleString()
+    repeated = F.raise_error(F.concat(F.lit("the table repeats the key "), F.col("key").cast("string"))).cast(kind)
+    held = entries.groupBy("key").agg(F.count("*").alias("_n"), F.first("value").alias("value"), F.max("level").alias("level"))
+    return held.select("key", F.when(F.col("_n") > 1, repeated).otherwise(F.col("value")).alias("value"), "level")
+
+
 def lookup_joined(
     df: DataFrame,
     keys: str,
-    row_key: Sequence[str],
     table: KeyTable,
     out: str = "pairs",
-    salts: int = SALTS,
+    salts: int | None = None,
     head: Head = Head(None, 0, False),
 ) -> DataFrame:
     """The same result as ``lookup_inline`` for a table of any size.
 
-    ``row_key`` has to be unique and not null. Entries of ``head`` are looked up inline first.
+    Rows are numbered here and written with their numbers, so repeated or null keys of the
+    caller's do not matter. Entries of ``head`` are looked up inline first. There is one salt for
+    every ``ROWS_PER_SALT`` rows unless ``salts`` says how many.
     """
-    entries = table.entries()
+    entries = _once(table.entries())
     if head.level is None:
         begun = _unanswered(df, keys, entries.schema["value"].dataType.simpleString(), out)
     else:
         begun = lookup_inline(df, keys, entries.where(F.col("level") >= head.level), out, head.rows)
         entries = entries.where(F.col("level") < head.level)
+    begun = materialize(begun.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    if salts is None:
+        salts = max(16, begun.count() // ROWS_PER_SALT)
 
     numbered = F.transform(
         out, lambda p, i: F.struct(i.alias("place"), p["key"].alias("key"), p["value"].alias("value"))
     )
     is_open = lambda p: p["value"].isNull() & p["key"].isNotNull()
     open_keys = materialize(
-        begun.select(*row_key, F.explode_outer(F.filter(numbered, is_open)).alias("p"))
-        .where(F.col("p").isNotNull())
-        .select(
-            *row_key,
-            F.col("p.place").alias("place"),
-            F.col("p.key").alias("key"),
-            _slot(F.struct(*row_key), salts).alias("salt"),
+        begun.select("_row", F.explode(F.filter(numbered, is_open)).alias("p")).select(
+            "_row", "p.place", "p.key", _slot(F.col("_row"), salts).alias("salt")
         ),
         "open-keys",
     )
@@ -179,14 +186,14 @@ def lookup_joined(
     known = wanted.join(entries.select("key", "value"), "key")
     answers = (
         open_keys.join(known, ["salt", "key"], "left")
-        .groupBy(*row_key)
+        .groupBy("_row")
         .agg(F.collect_list(F.struct("place", "key", "value")).alias("_late"))
     )
     early = F.filter(numbered, lambda p: ~is_open(p))
     merged = F.sort_array(F.concat(early, F.col("_late")))
-    others = [c for c in begun.columns if c != out]
+    others = [c for c in begun.columns if c not in (out, "_row")]
     closed = F.transform(merged, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
-    return begun.join(answers, list(row_key), "left").select(
+    return begun.join(answers, "_row", "left").select(
         *others, F.when(F.col("_late").isNull(), F.col(out)).otherwise(closed).alias(out)
     )
 
@@ -194,7 +201,6 @@ def lookup_joined(
 def lookup(
     df: DataFrame,
     keys: str,
-    row_key: Sequence[str],
     table: KeyTable,
     out: str = "pairs",
     inline_rows: int = INLINE_ROWS,
@@ -203,4 +209,4 @@ def lookup(
     head = find_head(table.entries(), inline_rows)
     if head.whole:
         return lookup_inline(df, keys, table.entries(), out, head.rows)
-    return lookup_joined(df, keys, row_key, table, out, head=head)
+    return lookup_joined(df, keys, table, out, head=head)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.config import IGNORE_INDEX
+from pairwright.config import IGNORE_INDEX, Settings
 from pairwright.functions.arrays import argmax, cross_entropy
 
 # A model takes the input ids of some rows and returns one (positions x vocabulary) matrix each.
@@ -25,8 +25,11 @@ def explode_positions(batches: DataFrame, logits: str = "logits", targets: str =
 
 
 def position_loss(logits: Column, target: Column, ignore: int = IGNORE_INDEX) -> Column:
-    """Loss of one position; null where the target is to be ignored."""
-    return F.when(target != ignore, cross_entropy(logits.cast("array<double>"), target))
+    """Loss of one position; null where the target is to be ignored, an error where it is no place."""
+    inside = (target >= 0) & (target < F.size(logits))
+    wrong = F.raise_error(F.concat(F.lit("no logit for target "), target.cast("string"))).cast("double")
+    loss = F.when(inside, cross_entropy(logits.cast("array<double>"), target)).otherwise(wrong)
+    return F.when(target != ignore, loss)
 
 
 def _mean(column: str) -> Column:
@@ -45,14 +48,28 @@ def batch_losses(
     return scored.groupBy(*by).agg(_mean("nll").alias("batch_loss"))
 
 
+def _row_loss(logits: np.ndarray, target: np.ndarray, ignore: int) -> tuple[float, int]:
+    counted = np.flatnonzero(target != ignore)
+    wanted = target[counted]
+    if ((wanted < 0) | (wanted >= logits.shape[-1])).any():
+        raise ValueError(f"targets are from 0 to {logits.shape[-1] - 1}")
+    rows = logits[counted].astype(np.float64)
+    top = rows.max(axis=1, initial=-np.inf)
+    norm = top + np.log(np.exp(rows - top[:, None]).sum(axis=1))
+    return float((norm - rows[np.arange(len(rows)), wanted]).sum()), len(rows)
+
+
 def model_batch_losses(
     collated: DataFrame,
     model: Callable[[], Model],
     by: Sequence[str] = ("batch_id",),
     ignore: int = IGNORE_INDEX,
+    rows_per_call: int = Settings().rows_per_call,
 ) -> DataFrame:
     """Mean loss of every batch under a model of one's choice, built once per task.
 
+    The model sees ``rows_per_call`` rows at a time, and their logits are reduced before the next.
+
     Each row leaves its task as a loss sum and a position count; logits are never stored.
     """
     keys = list(by)
@@ -61,13 +78,13 @@ def model_batch_losses(
         score = model()
         for frame in frames:
             sums, counts = [], []
-            for logits, target in zip(score(list(frame["inputs"])), frame["targets"]):
-                counted = np.flatnonzero(np.asarray(target) != ignore)
-                rows = np.asarray(logits, dtype=np.float64)[counted]
-                top = rows.max(axis=1, initial=-np.inf)
-                norm = top + np.log(np.exp(rows - top[:, None]).sum(axis=1))
-                sums.append(float((norm - rows[np.arange(len(rows)), np.asarray(target)[counted]]).sum()))
-                counts.append(len(rows))
+            inputs, targets = list(frame["inputs"]), list(frame["targets"])
+            for begin in range(0, len(inputs), rows_per_call):
+                part = slice(begin, begin + rows_per_call)
+                for logits, target in zip(score(inputs[part]), targets[part]):
+                    total, count = _row_loss(np.asarray(logits), np.asarray(target), ignore)
+                    sums.append(total)
+                    counts.append(count)
             yield frame[keys].assign(loss_sum=sums, positions=counts)
 
     fields = ", ".join(f"`{k}` {collated.schema[k].dataType.simpleString()}" for k in keys)
@@ -87,7 +104,7 @@ def mean_of_batches(losses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def checkpoint_losses(losses: DataFrame, every: int = 500) -> DataFrame:
     """(epoch, batch_id, split, batch_loss) -> train and validation loss at every k-th batch."""
     report = F.format_string(
-        "Epoch:- %d Batch ID:- %06d Train loss:- %s Val loss:- %s",
+        "epoch %d, batch %06d: train %s, validation %s",
         F.col("epoch") + 1,
         F.col("batch_id"),
         _six_digits(F.col("train")),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from pairwright.functions.ids import (
     stitch,
 )
 from pairwright.operators.dictionary import eid_to_label, label_to_eid
-from pairwright.operators.lookup import INLINE_ROWS, lookup, lookup_inline
+from pairwright.operators.lookup import INLINE_ROWS, KeyTable, find_head, lookup, lookup_inline
 
 
 def _rewritten(text: Column, pairs: Column) -> Column:
@@ -29,15 +27,21 @@ def _restored(text: Column, pairs: Column, bounded: bool) -> Column:
         ends = F.concat(eids, F.array(F.lit("")))
         whole = F.array_join(F.flatten(F.zip_with(between, ends, lambda a, b: F.array(a, b))), "")
     else:
-        known = F.filter(pairs, lambda p: p["value"].isNotNull())
+        known = F.array_distinct(F.filter(pairs, lambda p: p["value"].isNotNull()))
         whole = F.aggregate(known, text, lambda acc, p: F.replace(acc, p["key"], p["value"]))
     return F.when(F.size(pairs) > 0, whole).otherwise(text)
 
 
+def _small(table: KeyTable) -> DataFrame:
+    entries = table.entries()
+    if not find_head(entries).whole:
+        raise ValueError("the dictionary is too large to be held by every task")
+    return entries
+
+
 def encode_ids(
     df: DataFrame,
     dictionary: DataFrame,
-    row_key: Sequence[str] = ("row_id",),
     text: str = "sparql",
     out: str = "sparql_modf",
     inline_rows: int = INLINE_ROWS,
@@ -47,23 +51,22 @@ def encode_ids(
     Ids outside the dictionary stay, null stays null.
     """
     keyed = df.withColumn("_ids", extract_bounded_eids(F.col(text)))
-    found = lookup(keyed, "_ids", row_key, eid_to_label(dictionary), "_pairs", inline_rows)
+    found = lookup(keyed, "_ids", eid_to_label(dictionary), "_pairs", inline_rows)
     return found.select(*df.columns, _rewritten(F.col(text), F.col("_pairs")).alias(out))
 
 
 def encode_ids_inline(
     df: DataFrame, dictionary: DataFrame, text: str = "sparql", out: str = "sparql_modf"
 ) -> DataFrame:
-    """``encode_ids`` for a dictionary known to be small: no row key, works on a stream."""
+    """``encode_ids`` for a dictionary that is small, which is checked: works on a stream."""
     keyed = df.withColumn("_ids", extract_bounded_eids(F.col(text)))
-    found = lookup_inline(keyed, "_ids", eid_to_label(dictionary).entries(), "_pairs")
+    found = lookup_inline(keyed, "_ids", _small(eid_to_label(dictionary)), "_pairs")
     return found.select(*df.columns, _rewritten(F.col(text), F.col("_pairs")).alias(out))
 
 
 def decode_labels(
     df: DataFrame,
     dictionary: DataFrame,
-    row_key: Sequence[str] = ("row_id",),
     text: str = "sparql_modf",
     out: str = "decoded_sparql",
     bounded: bool = False,
@@ -75,14 +78,14 @@ def decode_labels(
     also inside longer ones. ``bounded=True`` replaces the whole words only.
     """
     keyed = df.withColumn("_labels", extract_labels(F.col(text)))
-    found = lookup(keyed, "_labels", row_key, label_to_eid(dictionary), "_pairs", inline_rows)
+    found = lookup(keyed, "_labels", label_to_eid(dictionary), "_pairs", inline_rows)
     return found.select(*df.columns, _restored(F.col(text), F.col("_pairs"), bounded).alias(out))
 
 
 def decode_labels_inline(
     df: DataFrame, dictionary: DataFrame, text: str = "sparql_modf", out: str = "decoded_sparql"
 ) -> DataFrame:
-    """``decode_labels`` for a dictionary known to be small: no row key, works on a stream."""
+    """``decode_labels`` for a dictionary that is small, which is checked: works on a stream."""
     keyed = df.withColumn("_labels", extract_labels(F.col(text)))
-    found = lookup_inline(keyed, "_labels", label_to_eid(dictionary).entries(), "_pairs")
+    found = lookup_inline(keyed, "_labels", _small(label_to_eid(dictionary)), "_pairs")
     return found.select(*df.columns, _restored(F.col(text), F.col("_pairs"), False).alias(out))

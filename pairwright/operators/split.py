@@ -20,7 +20,8 @@ def exact_split(
 
     Rows are ranked by the hash of their unique ``key``. Counts by the first hash digits (at
     most 65,536 groups, evenly filled) find the group in which the cut falls, a ranking inside
-    that group finds the last valid row, and both parts are plain filters on the input.
+    that group finds the last valid row, and both parts are plain filters on the input. A null
+    key, or a key that is repeated where the cut falls, is an error: no row is lost.
     """
     ranked = df.select(
         F.col(key).alias("key"), shuffle_key(key, seed).alias("hash")
@@ -29,11 +30,12 @@ def exact_split(
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.ceil(F.sum("rows").over(whole) * F.lit(float(fraction)))
     cut = (
-        ranked.groupBy("bucket")
-        .agg(F.count("*").alias("rows"))
+        ranked.withColumn("bucket", F.coalesce("bucket", F.lit("0" * _PREFIX))).groupBy("bucket")
+        .agg(F.count("*").alias("rows"), F.count(F.when(F.col("key").isNull(), 1)).alias("nulls"))
         .select(
             "bucket",
             "rows",
+            F.sum("nulls").over(whole).alias("nulls"),
             F.sum("rows").over(running).alias("upto"),
             F.sum("rows").over(whole).alias("total"),
             wanted.alias("wanted"),
@@ -41,15 +43,21 @@ def exact_split(
         .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("rows") < F.col("wanted")))
         .first()
     )
+    if cut is not None and cut["nulls"]:
+        raise ValueError(f"{cut['nulls']} rows have no {key}")
     if cut is None or cut["wanted"] >= cut["total"]:
         raise ValueError("too few rows to split")
     place = cut["wanted"] - (cut["upto"] - cut["rows"])
     last = (
         ranked.where(F.col("bucket") == cut["bucket"])
         .withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("hash", "key")))
-        .where(F.col("place") == place)
-        .first()
+        .where(F.col("place").isin(place, place + 1))
+        .orderBy("place")
+        .collect()
     )
+    if len(last) == 2 and last[0]["key"] == last[1]["key"]:
+        raise ValueError(f"several rows have the {key} {last[0]['key']}, where the split falls")
+    last = last[0]
     own = shuffle_key(key, seed)
     valid = (own < last["hash"]) | ((own == last["hash"]) & (F.col(key) <= F.lit(last["key"])))
     return df.where(~valid), df.where(valid)

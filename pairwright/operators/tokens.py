@@ -1,8 +1,8 @@
-"""Text to token ids and back, as joins on distinct words and on token ids."""
+"""Text to token ids and back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.bpe import merge_word
-from pairwright.operators.lookup import (
-    INLINE_BYTES,
-    INLINE_ROWS,
-    KeyTable,
-    find_head,
-    lookup_inline,
-    values_by_number,
-)
+from pairwright.operators.lookup import values_by_number
 from pairwright.sources.vocabulary import Vocabulary
-from pairwright.workspace import materialize
 
-COUNTED_BYTES = 1 << 30
+#: Words whose codes a task keeps; beyond it, it begins anew.
+KNOWN_WORDS = 200_000
 
 
 def _quoted(literal: str) -> str:
@@ -68,17 +61,25 @@ def _encoder(
     """A function from an Arrow array of words to their codes; a null word has a null code.
 
     A code is the ids of a word or, with ``texts``, a struct of the ids and the text of each.
-    The merge ranks come by broadcast, and a batch encodes each of its distinct words once.
+    The merge ranks come by broadcast, and each distinct word of a batch is looked up once.
     """
     held = spark.sparkContext.broadcast(vocabulary.merge_ranks())
     shown: dict[int, str] = {}
+    known: dict[str, list[int]] = {}
 
     def encode(words: pa.Array) -> pa.Array:
         ranks = held.value
         if texts and not shown:
             shown.update((i, t.decode("utf-8", "replace")) for t, i in ranks.items())
         distinct = words.dictionary_encode()
-        ids = [merge_word(w.encode("utf-8"), ranks) for w in distinct.dictionary.to_pylist()]
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        ids = []
+        for word in distinct.dictionary.to_pylist():
+            code = known.get(word)
+            if code is None:
+                code = known[word] = merge_word(word.encode("utf-8"), ranks)
+            ids.append(code)
         codes = pa.array(ids, pa.list_(pa.int32()))
         if texts:
             spelled = pa.array([[shown[i] for i in w] for w in ids], pa.list_(pa.string()))
@@ -88,59 +89,19 @@ def _encoder(
     return encode
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary, texts: bool = True) -> DataFrame:
-    """(word, …) -> (word, code) for a table of distinct words."""
-    encode = _encoder(words.sparkSession, vocabulary, texts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column("word")
-            yield pa.RecordBatch.from_arrays([held, encode(held)], ["word", "code"])
-
-    return words.select("word").mapInArrow(run, f"word string, code {_code_type(texts)}")
-
-
-def frequent_words(
-    df: DataFrame, words: str, vocabulary: Vocabulary, texts: bool, max_rows: int = INLINE_ROWS
-) -> tuple[DataFrame, int]:
-    """The most used words of an array column, encoded once each: (key, value) and their number.
-
-    Words are counted on a share of the rows that is bounded in bytes. Any set of words would
-    do: a word that is not in it is encoded where it stands, with the same result.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    share = min(1.0, COUNTED_BYTES / max(size, 1))
-    rows = df if share == 1.0 else df.sample(share, seed=0)
-    counted = materialize(
-        rows.select(F.explode_outer(words).alias("word"))
-        .where(F.col("word").isNotNull())
-        .groupBy("word")
-        .agg(F.count("*").alias("uses")),
-        "words",
-    )
-    ranked = KeyTable(counted, "word", "word", "uses").entries()
-    head = find_head(ranked, max_rows, INLINE_BYTES // 8)
-    kept = ranked.where(F.col("level") >= head.level) if head.level is not None else ranked.limit(0)
-    coded = encode_words(kept.select(F.col("key").alias("word")), vocabulary, texts)
-    return KeyTable(materialize(coded, "frequent-words"), "word", "code").entries(), head.rows
-
-
 def tokenize(
     df: DataFrame,
     vocabulary: Vocabulary,
     text: str = "org_text",
     on_special: str = "error",
     texts: bool = True,
-    max_frequent: int = INLINE_ROWS,
 ) -> DataFrame:
     """Add ``encoded_text`` (ids) and, with ``texts``, ``decoded_text`` (the text of each id).
 
-    Frequent words are encoded once for the corpus and looked up; only the words left over go
-    to Python, in Arrow batches. Rows stay where they are: nothing is shuffled.
+    One pass: words are split by expressions and encoded in Arrow batches where they stand, each
+    distinct word of a batch once, with the codes of words met before kept by the task.
     """
-    split = df.withColumn("_words", split_words(F.col(text), vocabulary, on_special))
-    frequent, rows = frequent_words(split, "_words", vocabulary, texts, max_frequent)
-    found = lookup_inline(split, "_words", frequent, "_pairs", rows)
+    ((special, special_id),) = vocabulary.special.items()
     encode = _encoder(df.sparkSession, vocabulary, texts)
 
     def encode_lists(words: pa.Array) -> pa.Array:
@@ -149,15 +110,16 @@ def tokenize(
         return pa.ListArray.from_arrays(ends, encode(words.flatten()))
 
     # Not marked deterministic, so that no filter on its result runs it a second time.
-    rare = F.arrow_udf(encode_lists, f"array<{_code_type(texts)}>").asNondeterministic()
-    left_over = F.transform("_pairs", lambda p: F.when(p["value"].isNull(), p["key"]))
-    ((special, special_id),) = vocabulary.special.items()
+    run = F.arrow_udf(encode_lists, f"array<{_code_type(texts)}>").asNondeterministic()
     mark = F.array(F.lit(special_id))
     if texts:
         mark = F.struct(mark.alias("ids"), F.array(F.lit(special)).alias("texts"))
-    coded = found.withColumn("_rare", rare(left_over))
-    codes = F.zip_with("_pairs", "_rare", lambda p, late: F.coalesce(p["value"], late, mark))
-    made = coded.select(*df.columns, F.when(F.col("_pairs").isNotNull(), codes).alias("_codes"))
+    words = split_words(F.col(text), vocabulary, on_special)
+    coded = df.withColumn("_words", words).withColumn("_coded", run("_words"))
+    codes = F.col("_coded")
+    if on_special == "allow":
+        codes = F.transform("_coded", lambda code: F.coalesce(code, mark))
+    made = coded.select(*df.columns, F.when(F.col("_words").isNotNull(), codes).alias("_codes"))
     if not texts:
         return made.select(*df.columns, F.flatten("_codes").alias("encoded_text"))
     return made.select(

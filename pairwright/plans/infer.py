@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,6 @@ def answer(
     vocabulary: Vocabulary,
     scorer: Callable[[], Scorer],
     dictionary: DataFrame,
-    row_key: Sequence[str] = ("row_id",),
     settings: Settings = Settings(),
 ) -> DataFrame:
     """(question, org_sparql, …) -> the same rows with ``decoded_text`` and ``decoded_sparql``.
@@ -31,5 +30,5 @@ def answer(
     coded = tokenize(prompts, vocabulary, "_prompt", on_special="allow", texts=False)
     grown = greedy_decode(coded, scorer, settings=settings)
     read = detokenize(grown, vocabulary, "generated", "decoded_text")
-    restored = decode_labels(read, dictionary, row_key, "decoded_text", "decoded_sparql")
+    restored = decode_labels(read, dictionary, "decoded_text", "decoded_sparql")
     return restored.select(*questions.columns, "decoded_text", "decoded_sparql")

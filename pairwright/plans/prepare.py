@@ -45,7 +45,7 @@ def split_pairs(train: DataFrame, test: DataFrame, settings: Settings = Settings
 
 def encode_pairs(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(row_id, split, question, sparql, sparql_modf, …); ``row_id`` is unique per split."""
-    return encode_ids(pairs, dictionary, ["split", "row_id"])
+    return encode_ids(pairs, dictionary)
 
 
 def token_records(

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROW = "eid string, label string"
+_ROW = "eid string, label string, uses long"
 
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """One table for both directions, as JSON lines."""
-    dictionary.select("eid", "label").write.json(path)
+    """One table for both directions, as JSON lines, with the frequencies where there are any."""
+    kept = [c for c in ("eid", "label", "uses") if c in dictionary.columns]
+    dictionary.select(*kept).write.json(path)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(eid, label, uses); ``uses`` is null where the files have none."""
     return spark.read.schema(_ROW).json(path)
 
 

@@ -61,3 +61,10 @@ def test_split_needs_no_shuffle_of_the_rows(spark, plan_of):
     df = spark.range(1000).withColumn("row_id", F.col("id"))
     train, valid = exact_split(df, "row_id")
     assert "Exchange" not in plan_of(train) and "Exchange" not in plan_of(valid)
+
+
+def test_split_rejects_null_and_repeated_keys(spark):
+    with pytest.raises(ValueError, match="have no k"):
+        exact_split(spark.createDataFrame([(i if i > 2 else None,) for i in range(50)], "k long"), "k")
+    with pytest.raises(ValueError, match="several rows"):
+        exact_split(spark.createDataFrame([(1,)] * 50, "k long"), "k")

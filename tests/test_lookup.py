@@ -45,7 +45,7 @@ def test_inline(data):
 @pytest.mark.parametrize("salts", [1, 16])
 def test_joined_without_frequencies(data, salts):
     frame, table, expected = data
-    assert answers(lookup_joined(frame, "keys", ["id"], KeyTable(table, "k", "v"), salts=salts)) == expected
+    assert answers(lookup_joined(frame, "keys", KeyTable(table, "k", "v"), salts=salts)) == expected
 
 
 def test_joined_with_a_head(data):
@@ -53,7 +53,7 @@ def test_joined_with_a_head(data):
     keyed = KeyTable(table, "k", "v", "n")
     head = find_head(keyed.entries(), max_rows=300)
     assert not head.whole and 0 < head.rows <= 300 and head.level > 0
-    assert answers(lookup_joined(frame, "keys", ["id"], keyed, head=head)) == expected
+    assert answers(lookup_joined(frame, "keys", keyed, head=head)) == expected
 
 
 def test_head_is_bounded_in_rows_and_bytes(data):
@@ -71,3 +71,21 @@ def test_slots_never_become_a_column_of_rows(data, plan_of):
     plan = plan_of(twice)
     assert "_slots" not in plan and "subquery" in plan
     assert "EvalPython" not in plan
+
+
+def test_both_plans_take_null_and_repeated_row_keys(spark):
+    rows = [(1, ["a"]), (1, ["b", "c"]), (None, ["a"]), (None, None), (None, ["z"])]
+    frame = spark.createDataFrame(rows, "id long, keys array<string>")
+    table = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, v string")
+    keyed = KeyTable(table, "k", "v")
+    plain = lambda df: sorted((str(r["id"]), str(r["pairs"])) for r in df.collect())
+    assert plain(lookup_joined(frame, "keys", keyed)) == plain(lookup_inline(frame, "keys", keyed.entries()))
+
+
+def test_both_plans_reject_a_repeated_table_key(spark):
+    frame = spark.createDataFrame([(1, ["a"])], "id long, keys array<string>")
+    keyed = KeyTable(spark.createDataFrame([("a", "1"), ("a", "9")], "k string, v string"), "k", "v")
+    with pytest.raises(Exception):
+        lookup_inline(frame, "keys", keyed.entries()).collect()
+    with pytest.raises(Exception):
+        lookup_joined(frame, "keys", keyed).collect()

@@ -76,8 +76,8 @@ def test_checkpoints(spark):
     losses = spark.createDataFrame(rows, "epoch int, batch_id long, split string, batch_loss double")
     got = [r["report"] for r in checkpoint_losses(losses).orderBy("epoch").collect()]
     assert got == [
-        "Epoch:- 1 Batch ID:- 000000 Train loss:- 1.500000 Val loss:- 4.000000",
-        "Epoch:- 2 Batch ID:- 000500 Train loss:- 0.500000 Val loss:- nan",
+        "epoch 1, batch 000000: train 1.500000, validation 4.000000",
+        "epoch 2, batch 000500: train 0.500000, validation nan",
     ]
 
 
@@ -91,3 +91,32 @@ def test_choices(spark):
         assert r["p"] == pytest.approx((z / z.sum()).tolist())
     tails = df.select(keep_last(F.col("logits"), 2).alias("t"), "logits").collect()
     assert all(r["t"] == r["logits"][-2:] for r in tails)
+
+
+@pytest.mark.parametrize("target", [-1, 3, 7])
+def test_a_target_without_a_logit_is_an_error(spark, target):
+    positions = spark.createDataFrame([(0, [1.0, 2.0, 3.0], target)], "batch_id long, logits array<double>, target int")
+    with pytest.raises(Exception, match="no logit"):
+        batch_losses(positions).collect()
+
+
+def test_a_model_sees_few_rows_at_a_time(spark):
+    rows = [(i // 4, [1, 2], [1, -100]) for i in range(40)]
+    collated = spark.createDataFrame(rows, "batch_id long, inputs array<int>, targets array<int>").coalesce(1)
+
+    def build():
+        def score(inputs):
+            assert len(inputs) <= 3
+            return [np.zeros((len(x), 4)) for x in inputs]
+
+        return score
+
+    got = model_batch_losses(collated, build, rows_per_call=3).collect()
+    assert len(got) == 10 and all(abs(r["batch_loss"] - np.log(4)) < 1e-9 for r in got)
+
+
+def test_a_model_without_the_target_is_an_error(spark):
+    collated = spark.createDataFrame([(0, [1], [9])], "batch_id long, inputs array<int>, targets array<int>")
+    build = lambda: lambda inputs: [np.zeros((len(x), 4)) for x in inputs]
+    with pytest.raises(Exception, match="targets are from 0"):
+        model_batch_losses(collated, build).collect()
