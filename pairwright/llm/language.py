@@ -22,7 +22,7 @@ from pairwright.llm.texts import Words, code_points, letter_table, ranges, slice
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3, 4)
 #: An n-gram of a distinct word takes some tens of bytes while a slice is worked on.
-GRAM_SLICE_BYTES = 2 << 20
+GRAM_SLICE_BYTES = 3 << 19
 _MARK = np.uint64(1)
 
 

@@ -21,7 +21,7 @@ from pairwright.llm.pretokens import Pieces, split_special
 from pairwright.llm.texts import ranges, slices
 from pairwright.llm.token_counts import read_vocabulary
 
-MAX_KNOWN = 1_000_000
+MAX_KNOWN = 400_000
 #: Remainders are planned and let go when a task holds this many ids.
 HELD_IDS = 1 << 23
 #: Sequence ids of a partition begin at its number times this.

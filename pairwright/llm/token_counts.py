@@ -18,7 +18,7 @@ from pairwright.llm.pretokens import Pieces, split_special
 from pairwright.llm.texts import slices, sums
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MAX_KNOWN = 1_000_000
+MAX_KNOWN = 600_000
 
 
 def read_vocabulary(path: str) -> str:
