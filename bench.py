@@ -12,26 +12,6 @@ from pyspark.sql import SparkSession
 from checks.queries import QUERIES
 from pairwright.workspace import release
 
-HEADLINE = [
-    "q_extract_ids",
-    "q_dictionary",
-    "q_encode_ids",
-    "q_decode_labels",
-    "q_split_valid",
-    "q_prompt_train",
-    "q_tokenize",
-    "q_token_texts",
-    "q_detokenize",
-    "q_collate",
-    "q_batch_export",
-    "q_masked_loss",
-    "q_eval_checkpoints",
-    "q_softmax",
-    "q_next_token",
-    "q_greedy_decode",
-    "q_csv_roundtrip",
-]
-
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -47,14 +27,16 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    seconds = {}
+    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(QUERIES)
+    seconds, jobs = {}, {}
     # Start the JVM's and the Python workers' side of the session before the clock runs.
     spark.range(1000, numPartitions=int(cpus)).mapInArrow(lambda batches: batches, "id long").count()
     for name in names:
+        spark.sparkContext.setJobGroup(name, name)
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
     print(
         json.dumps(
             {
@@ -62,6 +44,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "jobs": jobs,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         ),

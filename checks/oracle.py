@@ -229,3 +229,100 @@ FROM encoded e JOIN texts t ON t.row_id = e.row_id, names""",
 
 ORACLE["q_encode_joined"] = ORACLE["q_encode_ids"]
 ORACLE["q_decode_joined"] = ORACLE["q_decode_labels"]
+
+
+NORMAL = r"""normal AS (
+  SELECT doc_id, trim(regexp_replace(text, '[^\p{L}\p{N}\x21-\x7E]+', ' ', 'g'), ' ') AS t FROM documents
+)"""
+
+MERGED = rf"""{NORMAL},
+cut AS (
+  SELECT doc_id, regexp_extract_all(t, '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+') AS words
+  FROM normal
+),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM cut),
+words AS MATERIALIZED (SELECT word, hex(encode(word)) AS h, count(*) AS uses FROM placed GROUP BY word),
+runs AS (
+  SELECT n, substr(h, i, 2 * n) AS run, sum(uses) AS uses
+  FROM (SELECT h, uses, n, unnest(range(1, length(h) - 2 * n + 2, 2)) AS i
+        FROM words, (VALUES (2), (3)) AS sizes(n))
+  GROUP BY n, run
+),
+ranked AS (SELECT n, run, row_number() OVER (PARTITION BY n ORDER BY uses DESC, run) AS place FROM runs),
+merges AS (SELECT run, 255 + place + CASE WHEN n = 3 THEN 150 ELSE 0 END AS id FROM ranked WHERE place <= 150),
+ranks AS MATERIALIZED (SELECT map(list(run), list(id)) AS m FROM merges),
+steps AS (
+  SELECT word, CASE WHEN map_contains(m, h) THEN [h] ELSE regexp_extract_all(h, '..') END AS parts, 0 AS step
+  FROM words, ranks
+  UNION ALL
+  SELECT word, list_concat(parts[1:i - 1], [parts[i] || parts[i + 1]], parts[i + 2:]), step + 1
+  FROM (
+    SELECT word, parts, step, list_min(list_transform(range(1, len(parts)), lambda j:
+      m[parts[j] || parts[j + 1]] * 1048576 + j)) % 1048576 AS i
+    FROM steps, ranks
+  ) WHERE i IS NOT NULL
+),
+ends AS (SELECT word, arg_max(parts, step) AS parts FROM steps GROUP BY word),
+codes AS (
+  SELECT word, array_to_string(list_transform(parts, lambda p:
+    CASE WHEN length(p) = 2 THEN ('0x' || p)::INT ELSE m[p] END), ' ') AS ids
+  FROM ends, ranks
+)"""
+
+ORACLE["q_tokenize_merged"] = f"""WITH RECURSIVE {MERGED},
+texts AS (SELECT doc_id, string_agg(ids, ' ' ORDER BY place) AS ids FROM placed JOIN codes USING (word) GROUP BY doc_id)
+SELECT n.doc_id, CASE WHEN t IS NOT NULL THEN coalesce(ids, '') END AS encoded_text
+FROM normal n LEFT JOIN texts x ON x.doc_id = n.doc_id"""
+ORACLE["q_detokenize_merged"] = f"WITH {NORMAL} SELECT doc_id, t AS text FROM normal"
+
+RECORDS = f"""{PAIRS},
+records AS (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS ord, {byte_ids('org_text')} AS ids
+  FROM (
+    SELECT row_id, {prompt('paraphrased_question', 'sparql_wikidata')} AS org_text,
+      CASE WHEN part = 'test' THEN 'test' WHEN row_id % 10 = 0 THEN 'val' ELSE 'train' END AS split
+    FROM pairs
+  )
+)"""
+
+ORACLE["q_token_table"] = f"""WITH {RECORDS}
+SELECT split, ord, row_id, org_text, {shown('ids')} AS encoded_text, {shown(byte_texts('ids'), '|')} AS decoded_text
+FROM records WHERE split = 'val'"""
+ORACLE["q_loader_batches"] = f"""WITH {RECORDS},
+batched AS (SELECT *, ord // CASE WHEN split = 'train' THEN 8 ELSE 4 END AS batch_id FROM records)
+SELECT split, batch_id, count(*) AS n_rows, sum(len(ids))::bigint AS n_tokens, max(len(ids) + 1)::int AS padded_length
+FROM batched GROUP BY split, batch_id"""
+ORACLE["q_csv_numbered"] = f"""WITH {PAIRS}
+SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, paraphrased_question AS question, sparql_wikidata AS sparql
+FROM pairs"""
+ORACLE["q_literal_rows"] = f"""WITH asked(row_id, question, org_sparql) AS (
+  VALUES (0, '1-URGENT', 'ASK {{ ex:K1 }}'), (1, '5-LOW', 'ASK {{ ex:K2 }}'), (2, 'none', '')
+),
+counts AS (SELECT o_orderpriority, count(*) AS n_orders FROM orders GROUP BY 1)
+SELECT row_id::bigint AS row_id, {prompt('question')} AS org_text, org_sparql, n_orders
+FROM asked LEFT JOIN counts ON question = o_orderpriority"""
+ORACLE["q_collate_custom"] = f"""WITH {TURNS}
+SELECT batch_id, ord,
+  {shown("list_concat(list_transform(range(w - 1 - len(ids)), lambda x: -1), ids)")} AS inputs
+FROM wide"""
+ORACLE["q_model_loss"] = f"""WITH {TURNS.replace('50256', '256')},
+steps AS (SELECT batch_id, unnest(inputs) AS x, unnest(targets) AS y FROM collated),
+logits AS (SELECT a.v AS x, b.v AS y, ((a.v * 31 + b.v * 7) % 11) / 4 AS z FROM range(257) AS a(v), range(257) AS b(v)),
+norms AS (SELECT x, ln(sum(exp(z))) AS norm FROM logits GROUP BY x),
+losses AS (
+  SELECT batch_id, coalesce(avg(norm - z), 'nan'::double) AS batch_loss
+  FROM (SELECT DISTINCT batch_id FROM steps) LEFT JOIN (SELECT * FROM steps WHERE y <> -100) USING (batch_id)
+    LEFT JOIN norms USING (x) LEFT JOIN logits USING (x, y)
+  GROUP BY batch_id
+)
+SELECT round(avg(batch_loss), 6) AS loss FROM losses"""
+ORACLE["q_greedy_stop"] = f"""WITH RECURSIVE
+sequences AS (SELECT list_append({byte_ids('text')}, 50256) AS ids FROM conversations),
+{FOLLOWERS},
+grown AS (
+  SELECT conv_id, turn, 0 AS step, {byte_ids('text')} AS ids FROM conversations
+  UNION ALL
+  SELECT conv_id, turn, step + 1, list_append(ids[-96:], next)
+  FROM grown JOIN followers ON prev = ids[-1] WHERE step < 50 AND next <> 50256
+)
+SELECT conv_id, turn, {shown('arg_max(ids, step)')} AS generated FROM grown GROUP BY conv_id, turn"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.pairs_view import PAIRS_SQL
@@ -17,27 +19,34 @@ from pairwright.operators.batches import (
     batch_of,
     batch_stats,
     collate,
+    collate_with,
     export_batches,
+    load_batches,
 )
 from pairwright.operators.dictionary import all_queries, build_dictionary
-from pairwright.operators.generate import next_token_table, table_scorer
+from pairwright.operators.generate import greedy_decode, next_token_table, table_scorer
 from pairwright.operators.index import contiguous_index
 from pairwright.operators.loss import batch_losses, checkpoint_losses, mean_of_batches, next_choice
 from pairwright.operators.preview import first_rows, record_at, shape
 from pairwright.operators.rewrite import decode_labels, encode_ids
 from pairwright.operators.split import exact_split
 from pairwright.operators.tokens import detokenize, token_texts, tokenize
-from pairwright.plans.evaluate import stored_loss
+from pairwright.plans.evaluate import model_loss, stored_loss
 from pairwright.plans.infer import answer
+from pairwright.plans.prepare import token_records
 from pairwright.sources.dictionary_files import read_dictionary, write_dictionary
-from pairwright.sources.pairs import read_csv, rename_pairs, write_csv
+from pairwright.sources.pairs import literal_pairs, read_csv, read_raw_pairs, rename_pairs, write_csv
 from pairwright.sources.tables import spread
-from pairwright.sources.vocabulary import get_vocabulary
+from pairwright.sources.token_table import read_tokens, write_tokens
+from pairwright.sources.vocabulary import Vocabulary, byte_vocabulary, get_vocabulary, write_ranked
 from pairwright.workspace import fresh_path, materialize
 
 SETTINGS = Settings()
 WINDOW = 64
 GREEDY_WINDOW = 96
+#: Merged runs of two bytes and of three bytes in the vocabulary made of documents.
+MERGES = 150
+BYTES_AND_PAD = 257
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +170,21 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def q_csv_numbered(spark, sf_dir):
+    """Pairs written in order to several files, read back and numbered by file and place."""
+    path = fresh_path(spark, "csv")
+    write_csv(pairs(spark, sf_dir).drop("part").repartitionByRange("row_id").sortWithinPartitions("row_id"), path)
+    return rename_pairs(read_raw_pairs(spark, path, multiline=False))
+
+
+def q_literal_rows(spark, sf_dir):
+    """Rows written out here, each with the number of orders it asks for."""
+    asked = literal_pairs(spark, [("1-URGENT", "ASK { ex:K1 }"), ("5-LOW", "ASK { ex:K2 }"), ("none", "")])
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n_orders"))
+    found = asked.join(counts, F.col("question") == F.col("o_orderpriority"), "left")
+    return found.select("row_id", render_prompt("test", F.col("question")).alias("org_text"), "org_sparql", "n_orders")
+
+
 # Tokens.
 
 
@@ -195,6 +219,64 @@ def q_detokenize(spark, sf_dir):
     return detokenize(tokens, vocabulary).select("doc_id", "text")
 
 
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[Vocabulary, DataFrame]:
+    """Documents with runs of other than letters, digits and printable ASCII as one space, and a
+    vocabulary of their most frequent runs of two and of three bytes inside words."""
+    even = F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}\x21-\x7E]+", " "))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", even.alias("org_text"))
+    word = F.explode(F.regexp_extract_all("org_text", F.lit(get_vocabulary(spark, "bytes").pattern), F.lit(0)))
+    words = rows.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    spelled = words.select(F.hex(F.encode("word", "utf-8")).alias("h"), "uses")
+    frames = []
+    for size, begin in ((2, 256), (3, 256 + MERGES)):
+        place = F.explode(F.when(F.length("h") >= 2 * size, F.sequence(F.lit(1), F.length("h") - 2 * size + 1, F.lit(2))))
+        runs = spelled.select("h", "uses", place.alias("i")).select(F.expr(f"substr(h, i, {2 * size})").alias("run"), "uses")
+        most = runs.groupBy("run").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "run").limit(MERGES)
+        ranked = most.withColumn("id", F.row_number().over(Window.orderBy(F.desc("uses"), "run")) + F.lit(begin - 1))
+        frames.append(ranked.select("id", F.unhex("run").alias("token")))
+    path = fresh_path(spark, "vocabulary")
+    write_ranked(byte_vocabulary(spark).frame.unionByName(frames[0]).unionByName(frames[1]), path)
+    return get_vocabulary(spark, "gpt2", path), rows
+
+
+def q_tokenize_merged(spark, sf_dir):
+    vocabulary, rows = _merged(spark, sf_dir)
+    tokens = tokenize(rows, vocabulary, texts=False)
+    return tokens.select("doc_id", joined(F.col("encoded_text")).alias("encoded_text"))
+
+
+def q_detokenize_merged(spark, sf_dir):
+    vocabulary, rows = _merged(spark, sf_dir)
+    tokens = tokenize(rows, vocabulary, texts=False)
+    return detokenize(tokens, vocabulary).select("doc_id", "text")
+
+
+def _token_table(spark: SparkSession, sf_dir: str) -> str:
+    """Prompts of all pairs as a token table, a split to a folder."""
+    split = F.when(F.col("part") == "test", "test").when(F.col("row_id") % 10 == 0, "val").otherwise("train")
+    rows = pairs(spark, sf_dir).select(
+        "row_id", split.alias("split"), F.col("paraphrased_question").alias("question"), F.col("sparql_wikidata").alias("sparql_modf")
+    )
+    path = fresh_path(spark, "tokens")
+    numbered = contiguous_index(rows, ["row_id"], ["split"])
+    write_tokens(token_records(numbered, get_vocabulary(spark, "bytes")), path)
+    return path
+
+
+def q_token_table(spark, sf_dir):
+    rows = read_tokens(spark, _token_table(spark, sf_dir), "val")
+    ids, shown = F.col("encoded_text"), F.col("decoded_text")
+    return rows.select(
+        "split", "ord", "row_id", "org_text", joined(ids).alias("encoded_text"), joined(shown, "|").alias("decoded_text")
+    )
+
+
+def q_loader_batches(spark, sf_dir):
+    tokens = read_tokens(spark, _token_table(spark, sf_dir))
+    parts = [batch_stats(load_batches(tokens, s), ["split", "batch_id"]) for s in SETTINGS.batch_sizes]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Batches.
 
 
@@ -234,6 +316,18 @@ def q_collate_text(spark, sf_dir):
     )
 
 
+def q_collate_custom(spark, sf_dir):
+    """A collate function of one's own: ids to the right, the left filled up with -1."""
+
+    def to_the_right(frame: pd.DataFrame) -> pd.DataFrame:
+        width = max(len(ids) for ids in frame["encoded_text"])
+        lines = [" ".join(["-1"] * (width - len(ids)) + [str(i) for i in ids]) for ids in frame["encoded_text"]]
+        return frame[["batch_id", "ord"]].assign(inputs=lines)
+
+    rows = _batches(spark, sf_dir).select("batch_id", "ord", "encoded_text")
+    return collate_with(rows, to_the_right, "batch_id long, ord long, inputs string")
+
+
 def q_batch_stats(spark, sf_dir):
     rows = _batches(spark, sf_dir)
     count = batch_count(rows, SETTINGS.batch_size("train"))
@@ -326,6 +420,20 @@ def q_stored_loss(spark, sf_dir):
     return stored_loss(rows, SETTINGS).select(F.round("loss", 6).alias("loss"))
 
 
+def q_model_loss(spark, sf_dir):
+    """A model whose logits follow from the input id by a formula, over bytes and a pad of 256."""
+
+    def build():
+        def score(rows: list[np.ndarray]) -> list[np.ndarray]:
+            places = np.arange(BYTES_AND_PAD)
+            return [(np.asarray(ids)[:, None] * 31 + places * 7) % 11 / 4 for ids in rows]
+
+        return score
+
+    settings = Settings(pad_id=BYTES_AND_PAD - 1)
+    return model_loss(_turns(spark, sf_dir), "train", build, settings).select(F.round("loss", 6).alias("loss"))
+
+
 def q_softmax(spark, sf_dir):
     probabilities = softmax(F.col("logits"))
     rows = _scored(spark, sf_dir).select("vec_id", F.posexplode(probabilities).alias("pos", "p"))
@@ -353,6 +461,18 @@ def q_greedy_decode(spark, sf_dir):
     return rows.select("row_id", "decoded_text", "decoded_sparql", "org_sparql")
 
 
+def q_greedy_stop(spark, sf_dir):
+    """Turns continued by a next-token table of turns with their end marked, so that the end is met."""
+    vocabulary = get_vocabulary(spark, "bytes")
+    turns = texts(spark, sf_dir, "conversations")
+    ended = turns.select(F.concat("text", F.lit("<|endoftext|>")).alias("org_text"))
+    successors = next_token_table(tokenize(ended, vocabulary, on_special="allow", texts=False))
+    prompts = turns.select("conv_id", "turn", F.col("text").alias("org_text"))
+    coded = tokenize(prompts, vocabulary, texts=False)
+    grown = greedy_decode(coded, table_scorer(successors), settings=Settings(context_length=GREEDY_WINDOW))
+    return grown.select("conv_id", "turn", joined(F.col("generated")).alias("generated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in list(globals().items()) if name.startswith("q_")
 }

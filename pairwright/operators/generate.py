@@ -18,7 +18,6 @@ from pairwright.workspace import materialize
 # and returns either a (prompts x vocabulary) matrix of logits for the next position or one chosen
 # id per prompt, negative where it has no continuation.
 Scorer = Callable[[np.ndarray], np.ndarray]
-MAX_SUCCESSORS = 500_000
 
 
 def next_token_table(tokens: DataFrame, ids: str = "encoded_text") -> DataFrame:
@@ -34,11 +33,11 @@ def next_token_table(tokens: DataFrame, ids: str = "encoded_text") -> DataFrame:
     return counted.groupBy("prev").agg(best.alias("best")).select("prev", F.col("best.next").alias("next"))
 
 
-def table_scorer(successors: DataFrame) -> Callable[[], Scorer]:
+def table_scorer(successors: DataFrame, max_rows: int = 500_000) -> Callable[[], Scorer]:
     """A scorer that follows a next-token table of checked size (one row per vocabulary entry)."""
     kept = materialize(successors.select("prev", "next"), "successors")
-    if kept.count() > MAX_SUCCESSORS:
-        raise ValueError(f"a next-token table holds at most {MAX_SUCCESSORS} rows")
+    if kept.count() > max_rows:
+        raise ValueError(f"a next-token table holds at most {max_rows} rows")
     rows = sorted((r["prev"], r["next"]) for r in kept.collect())
     held = successors.sparkSession.sparkContext.broadcast(np.array(rows, dtype=np.int64).reshape(-1, 2))
 

@@ -14,11 +14,11 @@ from pairwright.operators.index import contiguous_index
 from pairwright.operators.rewrite import encode_ids
 from pairwright.operators.split import exact_split, shuffle_key
 from pairwright.operators.tokens import tokenize
-from pairwright.sources.dictionary_files import write_dictionary
-from pairwright.sources.pairs import rename_pairs, write_csv
+from pairwright.sources.dictionary_files import read_dictionary, write_dictionary
+from pairwright.sources.pairs import write_csv
 from pairwright.sources.token_table import read_tokens, write_tokens
 from pairwright.sources.vocabulary import Vocabulary
-from pairwright.workspace import materialize
+from pairwright.workspace import materialize, released
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,20 @@ def prepare(
     null_text: str | None = None,
     csv: bool = False,
 ) -> Prepared:
-    """Run the whole preparation and write its tables below ``out``."""
+    """Run the whole preparation and write its tables below ``out``; nothing else stays behind."""
+    with released(train.sparkSession):
+        return _prepare(train, test, vocabulary, out, settings, null_text, csv)
+
+
+def _prepare(
+    train: DataFrame,
+    test: DataFrame,
+    vocabulary: Vocabulary,
+    out: str,
+    settings: Settings,
+    null_text: str | None,
+    csv: bool,
+) -> Prepared:
     spark = train.sparkSession
     dictionary = materialize(build_dictionary(all_queries(train, test)), "dictionary")
     write_dictionary(dictionary, f"{out}/dictionary")
@@ -89,9 +102,4 @@ def prepare(
             rows = pairs.where(F.col("split") == split).select("question", "sparql", "sparql_modf")
             write_csv(rows, f"{out}/csv/{split}")
     write_tokens(token_records(pairs, vocabulary, null_text), f"{out}/tokens")
-    return Prepared(dictionary, pairs, read_tokens(spark, f"{out}/tokens"))
-
-
-def prepared_pairs(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Raw pairs of one file, renamed and encoded."""
-    return encode_ids(rename_pairs(df), dictionary)
+    return Prepared(read_dictionary(spark, f"{out}/dictionary"), pairs, read_tokens(spark, f"{out}/tokens"))

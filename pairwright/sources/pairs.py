@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.config import QUERY_SOURCE, QUESTION_SOURCE
-from pairwright.operators.index import contiguous_index
+from pairwright.operators.index import MAX_RUNS
+from pairwright.workspace import materialize
 
 # What a pandas CSV reader takes for a missing field.
 PANDAS_MISSING = [
@@ -52,15 +53,28 @@ def write_csv(df: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> N
     df.write.options(**_WRITING, maxRecordsPerFile=max_rows_per_file).csv(path)
 
 
-def number_rows(df: DataFrame, path_column: str = "_file") -> DataFrame:
-    """Add ``row_id``: position by file name, then by place in the file."""
+def number_rows(df: DataFrame) -> DataFrame:
+    """Add ``row_id`` to rows straight from a file scan: by file name, then by place in the file.
+
+    A scan yields the rows of a block of a file in order and in one task, so only a count for each
+    block is gathered and summed up; the rows are read a second time and stay where they are. The
+    counts are broadcast up to ``MAX_RUNS`` blocks and joined as the engine sees fit beyond.
+    """
+    block = ["_file", "_block"]
     placed = df.select(
         "*",
-        F.col("_metadata.file_path").alias(path_column),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    numbered = contiguous_index(placed, [path_column, "_line"], name="row_id")
-    return numbered.drop(path_column, "_line")
+    counts = placed.groupBy(*block).agg(F.min("_line").alias("_first"), F.count("*").alias("_rows"))
+    runs = materialize(counts, "blocks")
+    before = F.sum("_rows").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    shifts = runs.select(*block, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    if runs.count() <= MAX_RUNS:
+        shifts = F.broadcast(shifts)
+    numbered = placed.join(shifts, block).withColumn("row_id", F.col("_line") + F.col("_shift"))
+    return numbered.drop(*block, "_line", "_shift")
 
 
 def read_raw_pairs(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

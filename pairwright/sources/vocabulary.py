@@ -14,23 +14,26 @@ from pairwright.config import END_OF_TEXT, END_OF_TEXT_ID
 GPT2_PATTERN = (
     r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-MAX_ENTRIES = 500_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``frame`` (id int, token binary) holds all 256 single bytes and one row per merge."""
+    """``frame`` (id int, token binary) holds all 256 single bytes and one row per merge.
+
+    The table goes to every task, so larger ids than ``max_entries`` allows are an error.
+    """
 
     frame: DataFrame
     pattern: str = GPT2_PATTERN
     special: dict[str, int] = field(default_factory=lambda: {END_OF_TEXT: END_OF_TEXT_ID})
+    max_entries: int = 500_000
 
     def checked_size(self) -> int:
         """One more than the largest id; ids too large for a vocabulary are an error."""
         largest = self.frame.agg(F.max("id")).first()[0]
         size = max([largest, *self.special.values()]) + 1
-        if size > MAX_ENTRIES:
-            raise ValueError(f"a vocabulary holds at most {MAX_ENTRIES} tokens")
+        if size > self.max_entries:
+            raise ValueError(f"a vocabulary holds at most {self.max_entries} tokens")
         return size
 
     def merge_ranks(self) -> dict[bytes, int]:
@@ -79,6 +82,11 @@ def ranked_vocabulary(spark: SparkSession, path: str | None) -> Vocabulary:
     return Vocabulary(frame)
 
 
+def write_ranked(frame: DataFrame, path: str) -> None:
+    """Write (id, token) in the form that ``ranked_vocabulary`` reads."""
+    frame.select(F.concat_ws(" ", F.base64("token"), F.col("id").cast("string"))).write.text(path)
+
+
 VOCABULARIES: dict[str, Callable[[SparkSession, str | None], Vocabulary]] = {
     "bytes": byte_vocabulary,
     "gpt2": ranked_vocabulary,

@@ -8,9 +8,12 @@ there, readers still prune columns, and a lost executor costs only the tasks it
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
     return _private_root()
 
@@ -51,11 +54,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every intermediate table this process has written; returns how many."""
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the intermediate tables this process has written but for the first ``keep``; returns how many."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    count = len(_written)
-    while _written:
+    count = max(len(_written) - keep, 0)
+    for _ in range(count):
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
     return count
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete what is written inside: for a plan whose results are all stored elsewhere at its end."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, held)

@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from pairwright.operators.preview import first_rows, record_at, shape
 from pairwright.sources.dictionary_files import read_dictionary, read_flat_object, write_dictionary
 from pairwright.sources.pairs import literal_pairs, read_csv, read_raw_pairs, rename_pairs, write_csv
-from pairwright.workspace import fresh_path, materialize, release
+from pairwright.workspace import fresh_path, materialize, release, released, shared_root
 
 FIELDS = ["a,b", "line\nbreak", 'say "hi"', "", "NA", "back\\slash", "  edges  ", "crlf\r\nend", "é→"]
 
@@ -34,6 +35,25 @@ def test_raw_pairs_keep_file_order(spark, tmp_path):
     assert rename_pairs(raw).columns == ["row_id", "question", "sparql"]
 
 
+def test_numbering_moves_no_text(spark, tmp_path, plan_of):
+    rows = [(f"q {i}", f"s {i}") for i in range(4000)]
+    columns = "paraphrased_question string, sparql_wikidata string"
+    source = spark.createDataFrame(rows, columns).coalesce(1).sortWithinPartitions(F.length("sparql_wikidata"), "sparql_wikidata")
+    write_csv(source, str(tmp_path / "raw"), max_rows_per_file=1500)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        raw = read_raw_pairs(spark, str(tmp_path / "raw"), multiline=False)
+        assert raw.rdd.getNumPartitions() > 3
+        got = [r["sparql_wikidata"] for r in raw.orderBy("row_id").collect()]
+        assert [r["row_id"] for r in raw.select("row_id").orderBy("row_id").collect()] == list(range(4000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"s {i}" for i in range(4000)]
+    plan = plan_of(raw)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert not any("Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line for line in plan.split("\n"))
+
+
 def test_dictionary_files(spark, tmp_path):
     table = {"wd:Q1": "ENTITY_1", "wd:Q2": "ENTITY_2", "ENTITY_UNK": "ENTITY_0", 'odd "}': "b, {c}"}
     df = spark.createDataFrame(list(table.items()), "eid string, label string")
@@ -63,3 +83,23 @@ def test_workspace_uses_the_session_s_folder(spark):
     assert release(spark) > 0
     with pytest.raises(Exception):
         kept.agg(F.sum("id")).collect()
+
+
+def test_workspace_wants_a_shared_folder_outside_local_mode():
+    held = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: None),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]"),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(held)
+
+
+def test_a_plan_s_tables_are_released(spark):
+    outer = materialize(spark.range(3), "outer")
+    with released(spark):
+        inner = materialize(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3
+    with pytest.raises(Exception):
+        inner.agg(F.sum("id")).collect()
+    release(spark)

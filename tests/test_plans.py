@@ -1,6 +1,7 @@
 """The three chains end to end on a small corpus, and the row-wise steps on a stream."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -54,6 +55,15 @@ def test_prepare(spark, prepared):
     assert csv.count() == 5
 
 
+def test_prepare_leaves_nothing_in_the_shared_folder(spark, vocabulary, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "pairwright"
+    before = set(shared.iterdir())
+    pairs = spark.createDataFrame([(i, f"q{i}", f"ASK {{ wd:Q{i} }}") for i in range(12)], RAW)
+    made = prepare(pairs, pairs, vocabulary, str(tmp_path / "out"))
+    assert made.tokens.count() == 24 and made.dictionary.count() == 13
+    assert set(shared.iterdir()) == before
+
+
 def test_only_the_folder_of_a_split_is_read(prepared, plan_of):
     made, *_ = prepared
     assert "PartitionFilters: [isnotnull(split" in plan_of(made.tokens.where("split = 'val'"))

@@ -19,3 +19,12 @@ def test_query_matches_sql(spark, name):
     theirs = oracle_rows(SF_DIR, ORACLE[name])
     assert set(ours.columns) == set(theirs.columns)
     assert canonical(ours) == canonical(theirs)
+
+
+def test_generation_meets_the_stop(spark):
+    """The table of followers holds the end, and some turns end before all steps are made."""
+    grown = QUERIES["q_greedy_stop"](spark, SF_DIR).toPandas()
+    turns = spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id", "turn", "text").toPandas()
+    both = grown.merge(turns, on=["conv_id", "turn"])
+    made = [len(g.split()) - min(len(t.encode()), 96) for g, t in zip(both["generated"], both["text"])]
+    assert min(made) < 50 and not any("50256" in g for g in both["generated"])
