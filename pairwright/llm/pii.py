@@ -9,6 +9,7 @@ cut a region into segments gives the likelihood it is trained on, the best cut i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 20
+#: Atoms of a region whose segments are held at once.
+ATOMS_AT_ONCE = 512
 
 # The patterns of the base spans.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -108,7 +111,7 @@ def features(region: str, start: int, stop: int) -> list[float]:
     return [
         1.0,
         float(email and all(c in _LOCAL for c in span[: span.index("@")])),
-        float(len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)),
+        float(len(parts) == 4 and all(len(_digits(p)) == len(p) and 0 < len(p) <= 3 and int(p) <= 255 for p in parts)),
         float(_CARD.fullmatch(span) is not None and 14 <= n <= 19 and luhn(digits)),
         float(_PHONE.fullmatch(span) is not None and 10 <= n <= 15),
         float(14 <= n <= 19),
@@ -139,9 +142,14 @@ class Lattice:
     @staticmethod
     def of(region: str) -> Lattice:
         ends = atoms(region)
+        return Lattice.between(region, ends, 0, len(ends) - 1)
+
+    @staticmethod
+    def between(region: str, ends: list[int], first: int, last: int) -> Lattice:
+        """The segments that start at the atoms ``[first, last)``."""
         pairs, rows = [], []
         n = len(ends) - 1
-        for i in range(n):
+        for i in range(first, last):
             if region[ends[i]].isspace():
                 continue
             for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
@@ -162,28 +170,39 @@ class SemiMarkov:
         return held.x @ self.weights
 
     def decode(self, region: str) -> list[Span]:
-        """The best cut of a region into spans and single atoms outside them."""
-        held = Lattice.of(region)
-        n = len(held.ends) - 1
-        scores = self._scores(held)
-        kind = scores.argmax(axis=1)
-        by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        for k, (_, j) in enumerate(held.pairs):
-            by_end[j].append(k)
-        best, back = [0.0] + [0.0] * n, [-1] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for k in by_end[j]:
-                value = best[held.pairs[k][0]] + scores[k, kind[k]]
-                if value > best[j]:
-                    best[j], back[j] = value, k
+        """The best cut of a region into spans and single atoms outside them.
+
+        The sum at an atom is final once all segments that start before it are in, so segments
+        are worked out by their starts, ``ATOMS_AT_ONCE`` atoms at a time; of a long region only
+        the sums and the best last segment at each atom are kept.
+        """
+        ends = atoms(region)
+        n = len(ends) - 1
+        best, back = [0.0] + [-np.inf] * n, [(-1, -1)] * (n + 1)
+        for first in range(0, n, ATOMS_AT_ONCE):
+            last = min(n, first + ATOMS_AT_ONCE)
+            held = Lattice.between(region, ends, first, last)
+            scores = self._scores(held)
+            kinds = scores.argmax(axis=1).tolist()
+            tops = scores.max(axis=1).tolist()
+            k = 0
+            for i in range(first, last):
+                if i and best[i - 1] >= best[i]:
+                    best[i], back[i] = best[i - 1], (-1, -1)
+                while k < len(held.pairs) and held.pairs[k][0] == i:
+                    value, j = best[i] + tops[k], held.pairs[k][1]
+                    if value > best[j]:
+                        best[j], back[j] = value, (i, kinds[k])
+                    k += 1
         out, j = [], n
+        if n and best[n - 1] >= best[n]:
+            back[n] = (-1, -1)
         while j:
-            if back[j] < 0:
+            i, kind = back[j]
+            if i < 0:
                 j -= 1
                 continue
-            i, _ = held.pairs[back[j]]
-            out.append((KINDS[kind[back[j]]], held.ends[i], held.ends[j]))
+            out.append((KINDS[kind], ends[i], ends[j]))
             j = i
         return out[::-1]
 
@@ -288,11 +307,19 @@ def find_spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
         return [], []
     base = base_spans(text)
     added = []
+    # Where base spans cover the text, as runs in order, so that a look to the left is enough.
+    covers: list[tuple[int, int]] = []
+    for _, a, b in base:
+        if covers and a < covers[-1][1]:
+            covers[-1] = (covers[-1][0], max(b, covers[-1][1]))
+        else:
+            covers.append((a, b))
+    begins = [a for a, _ in covers]
     for start, stop in regions(text):
-        inside = [s for s in base if s[1] < stop and s[2] > start]
         for kind, a, b in model.decode(text[start:stop]):
             a, b = a + start, b + start
-            if all(b <= s[1] or a >= s[2] for s in inside):
+            left = bisect_left(begins, b) - 1  # the last run that begins before the span ends
+            if left < 0 or covers[left][1] <= a:
                 added.append((kind, a, b))
     return base, sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -307,7 +334,7 @@ def find_pii(docs: DataFrame, model: SemiMarkov, text_column: str = "text", out:
 
     Null and empty texts have none. Repeated rows get the same spans, an empty table stays empty.
     Whole texts are read, and nothing is shuffled; only regions go through the field, whose work
-    grows with their length times ``MAX_ATOMS``.
+    grows with their length times ``MAX_ATOMS``, and whose memory holds a few numbers an atom.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = lambda spans: [{"kind": k, "start": a, "stop": b} for k, a, b in spans]
