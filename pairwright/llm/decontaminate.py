@@ -1,4 +1,10 @@
-"""Benchmark passages inside documents, found by one Aho-Corasick automaton in one scan."""
+"""Benchmark passages inside documents, found by one Aho-Corasick automaton in one scan.
+
+A window is ``width`` words of an item. The automaton does not hold all windows, which would write
+every word of the benchmark ``width`` times, but the seeds: each item cut into runs of half as
+many words. Any window holds a whole seed, so an occurrence of a window shows by one; from there
+the words of the document and of the item are compared to both sides.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +18,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.llm.shared import stored
 from pairwright.llm.texts import LOWER, ranges
 
-#: Benchmark text in one automaton; a larger benchmark takes several scans, one for each block.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text in one automaton, which takes some 80 bytes for each of its bytes; a larger
+#: benchmark takes several scans, one for each block.
+BLOCK_BYTES = 2 << 20
 
 #: Byte -> word byte in lower case, or a blank. Bytes of characters beyond ASCII are in words.
 _WORD_BYTES = LOWER.copy()
@@ -30,28 +38,51 @@ def normalised(text: str) -> bytes:
     return b" " + b" ".join(text.encode("utf-8", "replace").translate(_TABLE).split()) + b" "
 
 
-def windows(text: str, width: int) -> list[bytes]:
-    """All runs of ``width`` words; of a shorter text that is not empty, the text itself."""
-    words = normalised(text).split()
-    if not words:
-        return []
-    return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))]
+def seed_words(width: int) -> tuple[int, int]:
+    """(words of a seed, words that also agree at one side of it) for windows of ``width`` words.
+
+    Wherever a window begins, the first seed to begin in it ends in it. The rest of the window
+    lies at the two sides of the seed, so at least half of that at one of them.
+    """
+    size = (width + 1) // 2
+    return size, (width - size + 1) // 2
 
 
 class Passages:
-    """The automaton over all windows of benchmark items; a window knows its items and its words."""
+    """The automaton over the seeds of all items, and over whole items too short for a window."""
 
     def __init__(self, items: tuple[tuple[str, str], ...], width: int):
-        held: dict[bytes, set[str]] = {}
+        self.width = width
+        self.size, self.side = seed_words(width)
+        self.items: list[tuple[str, list[bytes]]] = []
+        #: A seed with the words after it, or with those before it: where it stands in the items.
+        self.after: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+        self.before: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+        whole: dict[bytes, set[str]] = {}
+        seeds: set[bytes] = set()
         for name, text in items:
-            for window in windows(text, width):
-                held.setdefault(window, set()).add(name)
+            words = normalised(text).split()
+            if not words:
+                continue
+            if len(words) < width:
+                whole.setdefault(_pattern(words), set()).add(name)
+                continue
+            number = len(self.items)
+            self.items.append((name, words))
+            for at in range(0, len(words) - self.size + 1, self.size):
+                stop = at + self.size
+                seeds.add(_pattern(words[at:stop]))
+                if stop + self.side <= len(words):
+                    self.after.setdefault(tuple(words[at : stop + self.side]), []).append((number, at))
+                if at >= self.side:
+                    self.before.setdefault(tuple(words[at - self.side : stop]), []).append((number, at))
         self.automaton = ahocorasick.Automaton()
-        for window, names in held.items():
-            self.automaton.add_word(window.decode("latin-1"), (window.count(b" ") - 1, tuple(sorted(names))))
-        if held:
+        for pattern in seeds | whole.keys():
+            names = tuple(sorted(whole.get(pattern, ())))
+            self.automaton.add_word(pattern.decode("latin-1"), (pattern.count(b" ") - 1, names, pattern in seeds))
+        self.empty = not (seeds or whole)
+        if not self.empty:
             self.automaton.make_automaton()
-        self.empty = not held
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str], np.ndarray | None]:
         """(words, hit word ranges, items found, byte offsets of the words, if any is hit)."""
@@ -60,14 +91,50 @@ class Passages:
         found = [] if self.empty else list(self.automaton.iter(line.decode("latin-1")))
         if not found:
             return n_words, [], set(), None
+        words = line.split()
         blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        stops = np.searchsorted(blanks, [at for at, _ in found]).tolist()
         names: set[str] = set()
         hits: list[tuple[int, int]] = []
-        for at, (size, items) in found:
-            stop = int(np.searchsorted(blanks, at))
-            hits.append((stop - size, stop))
-            names.update(items)
-        return n_words, hits, names, word_offsets(text)
+        compared: dict[tuple[int, int], int] = {}  # item and shift: up to which word
+        for stop, (_, (size, items, is_seed)) in zip(stops, found):
+            start = stop - size
+            if items:
+                hits.append((start, stop))
+                names.update(items)
+            if is_seed:
+                for number, at in self._places(words, start, stop):
+                    if compared.get((number, start - at), 0) >= stop:
+                        continue
+                    name, own = self.items[number]
+                    low, high = _agreement(words, start, stop, own, at)
+                    compared[number, start - at] = high
+                    if high - low >= self.width:
+                        hits.append((low, high))
+                        names.add(name)
+        return n_words, hits, names, word_offsets(text) if hits else None
+
+    def _places(self, words: list[bytes], start: int, stop: int) -> Iterator[tuple[int, int]]:
+        """(item, place) of the seed where the words at one side agree as well."""
+        yield from self.after.get(tuple(words[start : stop + self.side]), ())
+        if start >= self.side:
+            yield from self.before.get(tuple(words[start - self.side : stop]), ())
+
+
+def _pattern(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
+def _agreement(words: list[bytes], start: int, stop: int, own: list[bytes], at: int) -> tuple[int, int]:
+    """The longest run around ``[start, stop)`` in which the document and the item have the same words."""
+    shift = start - at
+    low, least = start, max(0, shift)
+    while low > least and words[low - 1] == own[low - 1 - shift]:
+        low -= 1
+    high, most = stop, min(len(words), len(own) + shift)
+    while high < most and words[high] == own[high - shift]:
+        high += 1
+    return low, high
 
 
 def word_offsets(text: str) -> np.ndarray:
@@ -110,12 +177,21 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, block_byte
     yield tuple(sorted(block))
 
 
-def _scanner(block: Broadcast, width: int) -> Callable[[pa.Array], pa.Array]:
-    def scan(texts: pa.Array) -> pa.Array:
+def _scanner(block: Broadcast, width: int) -> Callable[..., pa.Array]:
+    def first(texts: pa.Array) -> pa.Array:
         machine = passages(block.value, width)
         return pa.array([_found(machine, text) for text in texts.to_pylist()], _ARROW)
 
-    return scan
+    return first
+
+
+def _further_scanner(block: Broadcast, width: int) -> Callable[..., pa.Array]:
+    def further(texts: pa.Array, before: pa.Array) -> pa.Array:
+        machine = passages(block.value, width)
+        held = zip(texts.to_pylist(), before.to_pylist())
+        return pa.array([_merged(earlier, _found(machine, text), text) for text, earlier in held], _ARROW)
+
+    return further
 
 
 def scan_documents(
@@ -137,22 +213,22 @@ def scan_documents(
     no words and no hits; an item without words has no window; items with null id or text are
     left out; repeated items count once by id. An empty benchmark hits nothing.
 
-    A benchmark larger than ``block_bytes`` is scanned in blocks, one automaton each, and the
-    results of the blocks are merged row by row. Nothing is shuffled.
+    A benchmark larger than ``block_bytes`` is scanned in blocks, one automaton and one pass over
+    ``docs`` each. What a pass has found is written to the shared folder before the next begins,
+    so that no worker ever holds two automata. Nothing is shuffled.
     """
-    names = docs.columns
     kind = "struct<n_words:bigint,hits:array<int>,items:array<string>,spans:array<struct<start:int,stop:int>>>"
+    spark = docs.sparkSession
     held = docs
-    made = []
     for number, block in enumerate(_blocks(benchmark, item_column, item_text_column, block_bytes)):
-        made.append(f"{out}_{number}" if number else out)
-        scan = F.arrow_udf(_scanner(docs.sparkSession.sparkContext.broadcast(block), width), kind)
-        held = held.withColumn(made[-1], scan.asNondeterministic()(F.col(text_column)))
-    if len(made) == 1:
-        return held
-    merge = F.udf(_merged, kind).asNondeterministic()
-    whole = held.select(*names, merge(*made, F.col(text_column)).alias(out))
-    return whole
+        sent = spark.sparkContext.broadcast(block)
+        if not number:
+            scan = F.arrow_udf(_scanner(sent, width), kind).asNondeterministic()
+            held = held.withColumn(out, scan(F.col(text_column)))
+        else:
+            scan = F.arrow_udf(_further_scanner(sent, width), kind).asNondeterministic()
+            held = stored(held, "passages").withColumn(out, scan(F.col(text_column), F.col(out)))
+    return held
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
@@ -173,11 +249,10 @@ def _found(machine: Passages, text: str | None) -> dict:
     return _result(n_words, hit_words(hits), sorted(names), offsets)
 
 
-def _merged(*held) -> dict:
-    *results, text = held
-    words = np.unique(np.concatenate([np.array(r["hits"], np.int64) for r in results]))
-    items = sorted(set().union(*(r["items"] for r in results)))
-    return _result(results[0]["n_words"], words, items, word_offsets(text or ""))
+def _merged(one: dict, other: dict, text: str | None) -> dict:
+    words = np.union1d(np.array(one["hits"], np.int64), np.array(other["hits"], np.int64))
+    items = sorted({*one["items"], *other["items"]})
+    return _result(one["n_words"], words, items, word_offsets(text or "") if len(words) else None)
 
 
 def items_digest(items: str) -> Column:
