@@ -21,9 +21,15 @@ from pairwright.llm.pretokens import Pieces, split_special
 from pairwright.llm.texts import ranges, slices
 from pairwright.llm.token_counts import read_vocabulary
 
-MAX_KNOWN = 400_000
-#: Remainders are planned and let go when a task holds this many ids.
+#: Pieces, their bytes and their ids that a worker keeps.
+MAX_KNOWN = 200_000
+MAX_KNOWN_BYTES = 16 << 20
+#: Remainders are planned and let go when a task holds this many ids; a remainder itself, however
+#: short, counts as ``ROW_IDS`` more.
 HELD_IDS = 1 << 23
+ROW_IDS = 64
+#: Text encoded at once; its code points and their states take some tens of bytes each.
+SLICE_BYTES = 3 << 20
 #: Sequence ids of a partition begin at its number times this.
 SEQUENCES_PER_PARTITION = 1 << 33
 
@@ -49,6 +55,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
         self.ids = np.empty(1 << 20, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
@@ -58,6 +65,7 @@ class Encoder:
         new = [i for i, at in enumerate(places) if at is None]
         if new:
             lists = [self.piece_ids(pieces[i]) for i in new]
+            self.known_bytes += sum(len(pieces[i]) for i in new)
             ends = self.ends[-1] + np.cumsum([len(x) for x in lists])
             if ends[-1] > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty(max(int(ends[-1]), len(self.ids)), np.uint32)])
@@ -72,7 +80,7 @@ class Encoder:
         parts, first = texts, np.arange(len(texts) + 1)
         if self.special and pc.any(pc.match_substring(texts, self.special)).as_py():
             parts, first = split_special(texts.to_pylist(), self.special)
-        if len(self.known) > MAX_KNOWN:
+        if len(self.known) > MAX_KNOWN or self.known_bytes > MAX_KNOWN_BYTES:
             self._clear()
         held = Pieces(parts)
         coded = held.words.dictionary_encode()
@@ -227,7 +235,8 @@ def pack(
     sequences hold ``capacity`` ids except the last few of a partition, whose lengths are powers of two.
     Null and empty texts give ``end_id`` alone (no row without one). Rows are packed one by one:
     repeated rows and null ids give pieces of their own, an empty table none. Other columns are
-    not read. A task keeps ``HELD_IDS`` ids of remainders at most, then packs them.
+    not read. A task keeps ``HELD_IDS`` ids of remainders at most (or an eighth of a
+    million short ones), then packs them.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     held = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -241,7 +250,7 @@ def pack(
         names, rests, sizes = [], [], []
         waiting = 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 ids, edges = encoding.encode(part.column("text"), end_id)
                 keys = part.column("id")
                 rows, out = [], []
@@ -256,7 +265,7 @@ def pack(
                         names.append(keys[i])
                         rests.append(ids[start + whole : stop].copy())
                         sizes.append(size)
-                        waiting += size - whole
+                        waiting += size - whole + ROW_IDS
                 if rows:
                     yield _rows(keys.take(pa.array(rows)), out, id_column)
                 if waiting >= HELD_IDS:

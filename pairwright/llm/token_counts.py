@@ -18,7 +18,9 @@ from pairwright.llm.pretokens import Pieces, split_special
 from pairwright.llm.texts import slices, sums
 
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Pieces and bytes of pieces that a worker keeps.
 MAX_KNOWN = 600_000
+MAX_KNOWN_BYTES = 32 << 20
 
 
 def read_vocabulary(path: str) -> str:
@@ -29,23 +31,26 @@ def read_vocabulary(path: str) -> str:
 
 
 class Counter:
-    """Counts by text; pieces met before are remembered, up to ``MAX_KNOWN`` of them."""
+    """Counts by text; pieces met before are remembered, as far as the bounds allow."""
 
     def __init__(self, content: str):
         table = MergeTable(content)
         self.special = table.specials[0] if table.specials else ""
         self.machine = CountingMachine(table)
         self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
 
     def pieces(self, pieces: pa.Array) -> np.ndarray:
-        if len(self.known) > MAX_KNOWN:
+        if len(self.known) > MAX_KNOWN or self.known_bytes > MAX_KNOWN_BYTES:
             self.known.clear()
+            self.known_bytes = 0
         held, known, count = pieces.dictionary_encode(), self.known, self.machine.count
         sizes = np.empty(len(held.dictionary), np.int64)
         for i, piece in enumerate(held.dictionary.to_pylist()):
             size = known.get(piece)
             if size is None:
                 size = known[piece] = count(piece)
+                self.known_bytes += len(piece)
             sizes[i] = size
         return sizes[held.indices.to_numpy()]
 
