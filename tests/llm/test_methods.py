@@ -81,6 +81,19 @@ def test_pieces_cover_every_id_once(documents, texts):
         assert sum(n for _, n in parts) == len(ids[name]) and len({a for a, _ in parts}) == len(parts)
 
 
+def test_known_pieces_and_remainders_stay_bounded(monkeypatch, spark, odd):
+    content = token_counts.read_vocabulary(PATH)
+    expected = packing.Encoder(content).encode(pa.array(odd), 1)
+    monkeypatch.setattr(packing, "MAX_KNOWN_BYTES", 100)
+    monkeypatch.setattr(token_counts, "MAX_KNOWN_BYTES", 100)
+    encoding, counting = packing.Encoder(content), token_counts.Counter(content)
+    for begin in range(0, len(odd), 100):
+        ids, edges = encoding.encode(pa.array(odd[begin : begin + 100]), 1)
+        assert ids.tolist() == expected[0][expected[1][begin] : expected[1][begin + 100 if begin + 100 < len(odd) else -1]].tolist()
+        assert (counting.texts(pa.array(odd[begin : begin + 100])) + 1).tolist() == np.diff(edges).tolist()
+        assert len(encoding.known) < 2000
+
+
 def test_fingerprints(spark, texts):
     def plain(text):
         words = re.findall(rb"[^\x20\x09-\x0d]+", text.lower().encode() if text.isascii() else text.encode().lower())
@@ -155,6 +168,25 @@ def test_field_parts_what_the_patterns_run_together(documents):
     assert pii.find_spans("in 1984 we sold 12,000 of them at 3.50", model)[1] == []
 
 
+def test_field_decodes_the_best_cut(monkeypatch):
+    rng = random.Random(6)
+    model = pii.SemiMarkov(np.random.default_rng(3).normal(0, 1, (pii.N_FEATURES, 4)))
+    for _ in range(200):
+        region = "".join(rng.choices([*"1+.@-( a\u00b2", "10.0.0.1"], k=rng.randint(1, 30))).strip() or "1"
+        held = pii.Lattice.of(region)
+        scores = (held.x @ model.weights).max(axis=1)
+        n = len(held.ends) - 1
+        best = [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            best[j] = max([best[j - 1], *(best[i] + scores[k] for k, (i, e) in enumerate(held.pairs) if e == j)])
+        for at_once in (512, 3):
+            monkeypatch.setattr(pii, "ATOMS_AT_ONCE", at_once)
+            place = {end: i for i, end in enumerate(held.ends)}
+            found = [(place[a], place[b]) for _, a, b in model.decode(region)]
+            assert all(b <= c for (_, b), (c, _) in zip(found, found[1:]))
+            assert abs(sum(scores[held.pairs.index(s)] for s in found) - best[n]) < 1e-9
+
+
 def test_field_gradient_is_that_of_the_likelihood():
     held = pii.Lattice.of("+1 (555) 010")
     gold = {(0, 2, 3)}
@@ -176,6 +208,30 @@ def test_field_gradient_is_that_of_the_likelihood():
         assert abs((likelihood(model.weights + step) - likelihood(model.weights - step)) / 2e-5 - got[f, t]) < 1e-5
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 10])
+def test_passages_are_all_occurrences_of_windows(width):
+    rng = random.Random(width)
+
+    def plain(items, text):
+        words, hit, names = text.lower().split(), set(), set()
+        for name, item in items:
+            own = item.lower().split()
+            size = min(width, len(own))
+            runs = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+            for i in range(len(words) - size + 1):
+                if tuple(words[i : i + size]) in runs:
+                    hit |= set(range(i, i + size))
+                    names.add(name)
+        return sorted(hit), sorted(names)
+
+    for _ in range(300):
+        kinds = "abc"[: rng.randint(1, 3)]
+        items = tuple((str(i), " ".join(rng.choices(kinds, k=rng.randint(0, 3 * width)))) for i in range(rng.randint(0, 5)))
+        text = " ".join(rng.choices(kinds.upper() + "z", k=rng.randint(0, 30)) + [t for _, t in items[:2]])
+        found = decontaminate._found(decontaminate.Passages(items, width), text)
+        assert (found["hits"], found["items"]) == plain(items, text)
+
+
 def test_blocks_of_a_benchmark_give_what_one_gives(spark, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = decontaminate.scan_documents(documents, items).select("doc_id", "passages")
