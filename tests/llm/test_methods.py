@@ -319,3 +319,21 @@ def test_scores_beat_the_base_on_held_out_rows(spark):
         select count(*) from t"""
     ).fetchall()[0][0]
     assert scored.agg(F.sum("n_tokens")).first()[0] == base + docs.count()
+
+
+@pytest.mark.parametrize("held_words", [1 << 18, 0])
+def test_words_too_long_for_a_double_keep_their_probability(spark, held_words):
+    words = {"long": "ab" * 500, "short": "ab" * 20}
+    rows = [(i, t, True) for i, t in enumerate(["the cat sat on the mat", "the abba sat", "a cab at a bar"] * 5)]
+    rows += [(name, f"the {w}", False) for name, w in words.items()]
+    rows = [(str(i), t, train) for i, t, train in rows]
+    df = spark.createDataFrame(rows, "id string, text string, train boolean")
+    settings = pitman_yor.PitmanYorSettings(order=2, markers=4, classes=2, held_words=held_words)
+    counts = pitman_yor.word_counts(df, pitman_yor.find_contexts(df, settings))
+    lp = {r["gram"]: r["lp"] for r in pitman_yor.gram_probabilities(counts, settings).collect()}
+    spelling = {name: sum(lp[g] for g in pitman_yor.word_grams(w, 2)) for name, w in words.items()}
+    assert 10.0 ** spelling["long"] == 0
+    got = {r["id"]: r["score"] for r in pitman_yor.score_texts(df, settings).collect()}
+    # Unseen words of one context differ in their spelling alone.
+    assert got["long"] - got["short"] == pytest.approx(spelling["long"] - spelling["short"], abs=1e-6)
+    assert got["long"] < spelling["long"]
