@@ -12,13 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import decontaminate, language, near_copies, packing, pii
+from pairwright.llm import decontaminate, language, packing, pii, simhash
 from pairwright.llm.queries import VOCABULARY, table
 from pairwright.llm.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below this a prediction is no better than a guess among four languages.
-LEAST_LANGUAGE_SCORE = 0.3
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -26,27 +24,30 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined: ``und`` goes, and so does a score below the least."""
+    """Documents whose language is determined; ``und`` (null, or no letter) goes.
+
+    Where no document has a language to learn from, nothing is judged and all documents stay.
+    """
     model = language.fit_language(docs)
+    if not model.labels:
+        return _columns(docs)
     found = language.identify(_columns(docs), model)
-    kept = (F.col("language.pred") != language.UNDETERMINED) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
-    return _columns(found.where(kept))
+    return _columns(found.where(F.col("language.pred") != language.UNDETERMINED))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id.
+    """One document of each group of near-duplicates: fingerprints of three-word shingles that
+    are linked at two differing bits or fewer.
 
-    Near are texts at a Jaccard coefficient of 0.8 or more over runs of five words. Rows are
-    chosen, not ids: rows of one id with texts that are not near all stay, of others the one that
-    comes first by id, set of runs, its size and a hash of all columns. Rows without an id are in
-    no group.
+    Rows are chosen, not ids: a row is its id and a hash of all columns, and the least row of a
+    group stays, so that of the smallest id. Of rows alike in all columns one stays. Rows without
+    an id are in no group and all stay.
     """
-    rows = _columns(docs).withColumn("row", F.xxhash64(*COLUMNS))
-    found = near_copies.near_copies(rows.select(F.col("doc_id").alias("id"), "row", "text"))
-    first = found.where(F.col("node") == F.col("component"))
-    first = first.select(F.col("node.id").alias("doc_id"), F.col("node.row").alias("row")).distinct()
-    # What is left of repeats are rows alike in all columns.
-    named = rows.join(first, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash")))
+    rows = _columns(docs).withColumn("row", row)
+    found = simhash.near_duplicates(rows, id_column="row")
+    first = found.where(F.col("row") == F.col("component")).select("row").distinct()
+    named = rows.join(first, "row", "left_semi").dropDuplicates(["row"])
     return _columns(named).unionByName(_columns(docs).where(F.col("doc_id").isNull()))
 
 
