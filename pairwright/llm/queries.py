@@ -19,8 +19,10 @@ from pairwright.llm import (
     quality_rules,
     simhash,
     token_counts,
+    warc,
 )
 from pairwright.llm.sampling import remainder
+from pairwright.workspace import fresh_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -147,6 +149,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the archives says."""
+    pages = table(spark, sf_dir, "pages")
+    path = fresh_path(spark, "archives")
+    warc.write_archives(pages, path)
+    kind = pages.schema["page_id"].dataType
+    key = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).try_cast(kind)
+    return warc.read_archives(spark, path, with_payload=False).select(
+        key("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.when(F.col("refers_to").isNotNull(), key("refers_to")).alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -160,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licence_scan,
         op9_quality_rules,
         op10_language_id,
+        op13_warc,
     )
 }
 
@@ -215,5 +234,14 @@ covered AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
   fail_bits & 191 = 0 AS kept, fail_bits FROM bits
+""",
+    "op13_warc": """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM page),
+last AS (SELECT payload_digest, max(page_id) AS last FROM sized WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, sized.payload_digest AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM sized LEFT JOIN last ON sized.payload_digest = last.payload_digest AND payload_bytes >= 1000
 """,
 }

@@ -1,0 +1,170 @@
+"""Archives: exact round trips, copies, foreign archives, damage, and both ways of finding copies."""
+
+import hashlib
+
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from pairwright.llm import warc
+
+SCHEMA = "page_id long, url string, html string, digest string, bytes long, id int, error string"
+LONG = "<p>" + "words of a page, each of them long enough " * 40
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "clash", 1, 2, "e") for r in rows], SCHEMA)
+
+
+HARD = [
+    (1, "http://a.example/x y\r\nWARC-Type: metadata", LONG),
+    (2, None, LONG),
+    (7, "http://b.example/ü", LONG),
+    (7, "http://b.example/again", LONG),
+    (None, "http://c.example", LONG),
+    (3, "u", None),
+    (4, "u", ""),
+    (5, "u", "short"),
+    (6, "u", "short"),
+    (8, "u", "ß" * 500),
+    (9, "u", "ß" * 500),
+    (10, "u", "a" * 999),
+    (11, "u", "a" * 999),
+    (12, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 3),
+    (13, "u", "\x00P*M\x18\x00\x00\x00\x00" * 5),
+    (14, "u", "x" * 3_000_000),
+    (None, None, None),
+]
+
+
+def expected(rows):
+    out = []
+    for key, _, html in rows:
+        body = (html or "").encode()
+        last = max((k for k, _, h in rows if k is not None and (h or "").encode() == body), default=None)
+        revisit = len(body) >= 1000 and last is not None and (key is None or key < last)
+        out.append((key, len(body), hashlib.sha1(body).hexdigest(), last if revisit else None))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    rows = df.select(
+        "record_id", "payload_bytes", "payload_digest", "refers_to", "record_type", "payload", "error"
+    ).collect()
+    for r in rows:
+        assert r["error"] is None and (r["record_type"] == "revisit") == (r["refers_to"] is not None)
+        if r["record_type"] == "response":
+            assert hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"] and len(r["payload"]) == r["payload_bytes"]
+    number = lambda t: None if t is None else int(t)
+    return sorted(
+        ((number(warc.key_of_urn(r["record_id"])), r["payload_bytes"], r["payload_digest"], number(warc.key_of_urn(r["refers_to"]))) for r in rows),
+        key=repr,
+    )
+
+
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_hard_pages_come_back(spark, tmp_path, broadcast_rows):
+    warc.write_archives(pages(spark, HARD).repartition(3), str(tmp_path / "a"), broadcast_rows=broadcast_rows)
+    got = warc.read_archives(spark, str(tmp_path / "a"))
+    assert found(got) == expected(HARD)
+    urls = {r["record_id"]: r["target_uri"] for r in got.collect()}
+    assert urls["<urn:page:2>"] is None and "\r" not in urls["<urn:page:1>"] and urls["<urn:page:3>"] == "u"
+
+
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_a_large_group_of_copies(spark, tmp_path, broadcast_rows):
+    rows = [(i, "u", LONG if i % 3 else LONG + str(i // 30)) for i in range(900)]
+    warc.write_archives(pages(spark, rows).repartition(4), str(tmp_path / "a"), broadcast_rows=broadcast_rows)
+    got = warc.read_archives(spark, str(tmp_path / "a"))
+    assert found(got) == expected(rows)
+
+
+def test_a_trained_dictionary_leads_each_archive(spark, tmp_path):
+    rows = [(i, f"u{i}", f"<html><body class='c{i % 7}'>{'page number %d of the archive ' % i * 20}") for i in range(400)]
+    warc.write_archives(pages(spark, rows).repartition(2), str(tmp_path / "a"))
+    archives = [p.read_bytes() for p in (tmp_path / "a").glob("part-*")]
+    assert len(archives) == 2
+    for content in archives:
+        assert int.from_bytes(content[:4], "little") == warc.DICTIONARY_MAGIC
+        size = int.from_bytes(content[4:8], "little")
+        known = warc.dictionary_of(content[8 : 8 + size])
+        first = 8 + size + len(warc.SEPARATOR)
+        held = content[first : warc.frame_end(memoryview(content), first)]
+        with pytest.raises(zstandard.ZstdError):
+            zstandard.ZstdDecompressor().decompress(held)
+        assert zstandard.ZstdDecompressor(dict_data=known).decompress(held).startswith(b"WARC/1.1\r\n")
+    assert found(warc.read_archives(spark, str(tmp_path / "a"))) == expected(rows)
+
+
+def test_an_empty_table(spark, tmp_path):
+    warc.write_archives(pages(spark, []), str(tmp_path / "a"))
+    assert warc.read_archives(spark, str(tmp_path / "a")).collect() == []
+
+
+def record(body=b"hello", **changed):
+    fields = {"WARC-Type": "resource", "WARC-Record-ID": "<urn:x:1>", "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(body))} | changed
+    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None) + "\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def streamed(data, **settings):
+    """A frame that does not tell its size."""
+    made = zstandard.ZstdCompressor(write_content_size=False, **settings).compressobj()
+    return made.compress(data) + made.flush()
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_others(spark, tmp_path, packed):
+    samples = [record(b"some words that all of the records share %d " % i * 9) for i in range(300)]
+    known = zstandard.train_dictionary(4096, samples)
+    content = zstandard.ZstdCompressor().compress(known.as_bytes()) if packed else known.as_bytes()
+    lead = (0x184D2A5D).to_bytes(4, "little") + len(content).to_bytes(4, "little") + content
+    skipped = (0x184D2A53).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc"
+    frames = [streamed(s, dict_data=known) if i % 2 else zstandard.ZstdCompressor(dict_data=known).compress(s) for i, s in enumerate(samples)]
+    (tmp_path / "x.warc.zst").write_bytes(lead + skipped.join(frames))
+    (tmp_path / "y.warc.zst").write_bytes(zstandard.ZstdCompressor(write_checksum=True).compress(record(bytes(300_000))))
+    (tmp_path / "z.warc.zst").write_bytes(b"")
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert len(rows) == 301 and {r["record_type"] for r in rows} == {"resource"} and {r["payload"] for r in rows} == {None}
+
+
+def test_damage_is_found_and_passed_over(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\nbody"
+    kind = {"WARC-Type": "response", "Content-Type": "application/http;msgtype=response"}
+    good = record(http % 4, **kind, **{"WARC-Payload-Digest": "sha1:" + hashlib.sha1(b"body").hexdigest()})
+    bad = {
+        "no WARC header": b"WORK/1.0\r\n\r\n",
+        "missing header warc-date": record(**{"WARC-Date": None}),
+        "the block has 5 bytes": record(**{"Content-Length": "6"}),
+        "a length that is no number": record(**{"Content-Length": "-5"}),
+        "the payload has 4 bytes": record(http % 5, **kind),
+        "the payload has another digest": record(http % 4, **kind, **{"WARC-Payload-Digest": "sha1:" + "0" * 40}),
+        "no HTTP header": record(b"nothing", **kind),
+    }
+    pack = zstandard.ZstdCompressor(write_checksum=True).compress
+    broken = bytearray(pack(good))
+    broken[-1] ^= 255
+    path = tmp_path / "x.zst"
+    path.write_bytes(b"".join([*map(pack, bad.values()), bytes(broken), pack(good), pack(good)[:-9]]))
+    rows = warc.read_archives(spark, str(path), keep_errors=True).orderBy("position").collect()
+    assert len(rows) == len(bad) + 3
+    for row, message in zip(rows, [*bad, "a frame that cannot be decoded"]):
+        assert row["error"].startswith(message) and row["record_type"] is None
+    assert rows[-2]["error"] is None and rows[-2]["payload"] == b"body"
+    assert rows[-1]["error"] == "the archive ends inside a frame"
+    with pytest.raises(Exception, match="no WARC header"):
+        warc.read_archives(spark, str(path)).collect()
+
+
+def test_base_32_digests():
+    import base64
+
+    told = "sha1:" + base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    made = record(b"HTTP/1.1 200 OK\r\n\r\nbody", **{"WARC-Type": "response", "Content-Type": "application/http", "WARC-Payload-Digest": told})
+    assert warc.parse_record(made)["payload_digest"] == hashlib.sha1(b"body").hexdigest()
+
+
+def test_repeats_of_one_row_are_all_responses(spark, tmp_path):
+    warc.write_archives(pages(spark, [(5, "u", LONG)] * 3), str(tmp_path / "a"))
+    got = warc.read_archives(spark, str(tmp_path / "a"))
+    assert [r["record_type"] for r in got.select(F.col("record_type")).collect()] == ["response"] * 3
