@@ -18,6 +18,7 @@ from pairwright.llm import (
     pitman_yor,
     quality_rules,
     simhash,
+    spelling,
     token_counts,
     warc,
 )
@@ -149,6 +150,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def misspelt_words(docs: DataFrame, least_length: int = 7, every: int = 31) -> DataFrame:
+    """(word, n): runs of letters of all texts, one in ``every`` by a checksum with a letter taken out."""
+    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[A-Za-z\u00C0-\u00FF]{{{least_length},}}"), 0)
+    each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(runs).alias("run"))
+    each = each.select("doc", spelling.lower_ascii(F.col("run")).alias("run"))
+    check = F.crc32(F.encode(F.concat_ws(":", "doc", "run"), "utf-8"))
+    each = each.select("run", check.alias("check"))
+    cut = F.overlay("run", F.lit(""), (F.col("check") % F.char_length("run") + 1).cast("int"), F.lit(1))
+    word = F.when(F.col("check") % every == 0, cut).otherwise(F.col("run"))
+    counted = each.select(word.alias("word")).where(F.char_length("word") >= least_length).groupBy("word")
+    return counted.agg(F.count("*").alias("n"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their likely right spelling."""
+    words = misspelt_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.spelling_variants(words.where(F.col("n") >= 2), ratio=10)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its record in the archives says."""
     pages = table(spark, sf_dir, "pages")
@@ -178,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licence_scan,
         op9_quality_rules,
         op10_language_id,
+        op11_spelling_variants,
         op13_warc,
     )
 }
