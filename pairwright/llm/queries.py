@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import (
+    collocations,
     decontaminate,
     language,
     licences,
@@ -169,6 +170,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(words.where(F.col("n") >= 2), ratio=10)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its record in the archives says."""
     pages = table(spark, sf_dir, "pages")
@@ -199,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_language_id,
         op11_spelling_variants,
+        op12_collocations,
         op13_warc,
     )
 }
@@ -255,6 +261,36 @@ covered AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
   fail_bits & 191 = 0 AS kept, fail_bits FROM bits
+""",
+    "op12_collocations": r"""
+WITH piece AS (
+  SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)
+), split AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+runs AS (
+  SELECT lang, size, unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: w[i : i + size - 1])) AS g
+  FROM split, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size
+), f AS (SELECT lang, size, g, CAST(count(*) AS HUGEINT) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM split GROUP BY lang),
+candidate AS (SELECT * FROM f WHERE size >= 2),
+within AS (
+  SELECT DISTINCT lang, g[i : i + s - 1] AS g, s, max(f) AS longer
+  FROM (SELECT lang, g, f, s, unnest(generate_series(1, size - s + 1)) AS i FROM candidate, (SELECT unnest([2, 3, 4]) AS s) WHERE s < size)
+  GROUP BY lang, g[i : i + s - 1], s
+), kept AS (
+  SELECT c.* FROM candidate c LEFT JOIN within w ON c.lang = w.lang AND c.g = w.g WHERE w.longer IS NULL OR w.longer < c.f
+), cut AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, n, (1000 * c.f * n) // (x.f * y.f) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[: k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]
+  JOIN total t ON t.lang = c.lang
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """,
     "op13_warc": """
 WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
