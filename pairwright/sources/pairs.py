@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.config import QUERY_SOURCE, QUESTION_SOURCE
 from pairwright.operators.index import MAX_RUNS
+from pairwright.sources.csv_blocks import read_csv_blocks
 from pairwright.workspace import materialize
 
 # What a pandas CSV reader takes for a missing field.
@@ -29,15 +30,19 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file or folder with a header; quoted commas, quotes and newlines are kept.
 
-    Without a schema every column is text under its header name. A multi-line file is read by
-    one task, so a large corpus should come as many files; ``multiline=False`` splits files
-    that hold no line breaks inside fields. ``pandas_missing`` turns the usual words for a
-    missing value into null.
+    Without a schema every column is text under its header name. Files are split into blocks that
+    many tasks read; ``multiline=False`` saves a scan where no field holds a line break.
+    ``pandas_missing`` turns the usual words for a missing value into null.
     """
-    reader = spark.read.options(**_QUOTING, multiLine=multiline)
-    frame = (reader.schema(schema) if schema else reader).csv(path)
-    if not pandas_missing:
-        return frame
+    if multiline:
+        frame = read_csv_blocks(spark, path, schema)
+    else:
+        reader = spark.read.options(**_QUOTING)
+        frame = (reader.schema(schema) if schema else reader).csv(path)
+    return _missing(frame) if pandas_missing else frame
+
+
+def _missing(frame: DataFrame) -> DataFrame:
     return frame.select(
         *(
             F.when(F.col(f.name).isin(PANDAS_MISSING), F.lit(None)).otherwise(F.col(f.name)).alias(f.name)
@@ -77,10 +82,23 @@ def number_rows(df: DataFrame) -> DataFrame:
     return numbered.drop(*block, "_line", "_shift")
 
 
-def read_raw_pairs(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """(row_id, paraphrased_question, sparql_wikidata) from raw CSV; other columns are not read."""
-    raw = read_csv(spark, path, **options).select(QUESTION_SOURCE, QUERY_SOURCE, "_metadata")
-    return number_rows(raw).select("row_id", QUESTION_SOURCE, QUERY_SOURCE)
+def read_raw_pairs(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: str | None = None,
+    pandas_missing: bool = False,
+    multiline: bool = True,
+) -> DataFrame:
+    """(row_id, paraphrased_question, sparql_wikidata) from raw CSV; other columns are not parsed.
+
+    Rows are numbered by file name and place in the file.
+    """
+    columns = ["row_id", QUESTION_SOURCE, QUERY_SOURCE]
+    if not multiline:
+        raw = read_csv(spark, path, schema, pandas_missing, multiline=False)
+        return number_rows(raw.select(*columns[1:], "_metadata")).select(*columns)
+    raw = read_csv_blocks(spark, path, schema, row_id="row_id").select(*columns)
+    return _missing(raw) if pandas_missing else raw
 
 
 def literal_pairs(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
