@@ -326,3 +326,25 @@ grown AS (
   FROM grown JOIN followers ON prev = ids[-1] WHERE step < 50 AND next <> 50256
 )
 SELECT conv_id, turn, {shown('arg_max(ids, step)')} AS generated FROM grown GROUP BY conv_id, turn"""
+ORACLE["q_csv_multiline"] = """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id,
+  '"' || text || '",' || chr(13) || chr(10) || '""' || lang || '"' || chr(10) AS text, nullif(source, '') AS source
+FROM documents"""
+ORACLE["q_dictionary_grown"] = f"""WITH {PAIRS},
+of_part AS (
+  SELECT DISTINCT part, unnest(regexp_extract_all(sparql_wikidata, '{ID}')) AS eid
+  FROM pairs WHERE sparql_wikidata IS NOT NULL
+),
+versions AS (SELECT eid, min(CASE part WHEN 'train' THEN 0 ELSE 1 END) AS version FROM of_part GROUP BY eid)
+SELECT eid, 'ENTITY_' || lpad(cast(row_number() OVER (ORDER BY version, eid) AS varchar), 12, '0') AS label,
+  version::bigint AS version
+FROM versions
+UNION ALL SELECT 'ENTITY_UNK', 'ENTITY_000000000000', 0"""
+# Other ways to the same results.
+for name, same in {
+    "q_sharded_loss": "q_masked_loss",
+    "q_sliced_model_loss": "q_model_loss",
+    "q_collate_stored": "q_collate",
+    "q_record_stored": "q_record_at",
+    "q_greedy_joined": "q_greedy_stop",
+}.items():
+    ORACLE[name] = ORACLE[same]

@@ -19,21 +19,33 @@ from pairwright.operators.batches import (
     batch_of,
     batch_stats,
     collate,
+    collate_stored,
     collate_with,
     export_batches,
     load_batches,
 )
 from pairwright.operators.dictionary import all_queries, build_dictionary
+from pairwright.operators.follow import follow_table
 from pairwright.operators.generate import greedy_decode, next_token_table, table_scorer
+from pairwright.operators.grown_dictionary import grow_dictionary, read_grown
 from pairwright.operators.index import contiguous_index
-from pairwright.operators.loss import batch_losses, checkpoint_losses, mean_of_batches, next_choice
+from pairwright.operators.loss import (
+    batch_losses,
+    checkpoint_losses,
+    mean_of_batches,
+    next_choice,
+    sharded_batch_losses,
+    sliced_model_batch_losses,
+)
 from pairwright.operators.preview import first_rows, record_at, shape
 from pairwright.operators.rewrite import decode_labels, encode_ids
 from pairwright.operators.split import exact_split
 from pairwright.operators.tokens import detokenize, token_texts, tokenize
-from pairwright.plans.evaluate import model_loss, stored_loss
+from pairwright.plans.evaluate import model_inputs, model_loss, stored_loss
 from pairwright.plans.infer import answer
 from pairwright.plans.prepare import token_records
+from pairwright.sources.batch_table import read_record, read_token_batches, write_token_batches
+from pairwright.sources.csv_blocks import read_csv_blocks
 from pairwright.sources.dictionary_files import read_dictionary, write_dictionary
 from pairwright.sources.pairs import literal_pairs, read_csv, read_raw_pairs, rename_pairs, write_csv
 from pairwright.sources.tables import spread
@@ -107,6 +119,14 @@ def q_dictionary_inverse(spark, sf_dir):
     return q_dictionary(spark, sf_dir).select("label", "eid")
 
 
+def q_dictionary_grown(spark, sf_dir):
+    """Train queries, then test queries, these once more as a repeated batch, and nothing new."""
+    path = fresh_path(spark, "grown")
+    for version, name in ((0, "train"), (1, "test"), (1, "test"), (2, "train")):
+        grow_dictionary(spark, path, part(spark, sf_dir, name), version)
+    return read_grown(spark, path).select("eid", "label", "version")
+
+
 def q_encode_ids(spark, sf_dir):
     return encoded(spark, sf_dir)
 
@@ -170,6 +190,15 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def q_csv_multiline(spark, sf_dir):
+    """Documents with more quotes, commas and line breaks, read by blocks and numbered by file and place."""
+    odd = F.concat(F.lit('"'), "text", F.lit('",\r\n""'), "lang", F.lit('"\n'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", odd.alias("text"), "source")
+    path = fresh_path(spark, "csv")
+    write_csv(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path)
+    return read_csv_blocks(spark, path, "doc_id long, text string, source string", row_id="row_id")
+
+
 def q_csv_numbered(spark, sf_dir):
     """Pairs written in order to several files, read back and numbered by file and place."""
     path = fresh_path(spark, "csv")
@@ -341,6 +370,30 @@ def q_batch_export(spark, sf_dir):
     return matrices.select("batch_id", rows("inputs").alias("inputs"), rows("targets").alias("targets"))
 
 
+def _stored_turns(spark, sf_dir):
+    """Turns as a table laid out by batches."""
+    path = fresh_path(spark, "turns")
+    write_token_batches(_turns(spark, sf_dir).withColumn("split", F.lit("train")), path, SETTINGS, batches_per_file=200)
+    return path
+
+
+def q_collate_stored(spark, sf_dir):
+    rows = collate_stored(read_token_batches(spark, _stored_turns(spark, sf_dir), "train"), SETTINGS)
+    return rows.select(
+        "batch_id",
+        "ord",
+        "conv_id",
+        "turn",
+        joined(F.col("inputs")).alias("inputs"),
+        joined(F.col("targets")).alias("targets"),
+    )
+
+
+def q_record_stored(spark, sf_dir):
+    found = read_record(spark, _stored_turns(spark, sf_dir), "train", 7)
+    return found.select("ord", "conv_id", "turn", "org_text")
+
+
 def q_record_at(spark, sf_dir):
     return record_at(_numbered(spark, sf_dir), 7).select("ord", "conv_id", "turn", "org_text")
 
@@ -434,6 +487,32 @@ def q_model_loss(spark, sf_dir):
     return model_loss(_turns(spark, sf_dir), "train", build, settings).select(F.round("loss", 6).alias("loss"))
 
 
+def q_sharded_loss(spark, sf_dir):
+    """The loss of ``q_masked_loss`` with logits in slices of five, of sixteen or in one."""
+    whole = F.size("logits")
+    width = F.when(F.col("vec_id") % 3 == 0, 5).when(F.col("vec_id") % 3 == 1, 16).otherwise(whole)
+    rows = _scored(spark, sf_dir).withColumns({"batch_id": batch_of(SETTINGS.batch_size("train"), "vec_id"), "width": width})
+    begins = F.explode(F.sequence(F.lit(0), whole - 1, F.col("width"))).alias("start")
+    cut = rows.select("batch_id", "vec_id", "target", "width", "logits", begins)
+    shards = cut.withColumn("logits", F.slice("logits", F.col("start") + 1, F.col("width")))
+    return mean_of_batches(sharded_batch_losses(shards, ["vec_id"])).select(F.round("loss", 6).alias("loss"))
+
+
+def q_sliced_model_loss(spark, sf_dir):
+    """The model of ``q_model_loss``, asked for a hundred logits at a time."""
+
+    def build():
+        def score(rows: list[np.ndarray], start: int, stop: int) -> list[np.ndarray]:
+            return [(np.asarray(ids)[:, None] * 31 + np.arange(start, stop) * 7) % 11 / 4 for ids in rows]
+
+        return score
+
+    settings = Settings(pad_id=BYTES_AND_PAD - 1)
+    rows = model_inputs(_turns(spark, sf_dir), "train", settings)
+    losses = sliced_model_batch_losses(rows, build, BYTES_AND_PAD, slice_ids=100, ignore=settings.ignore_index)
+    return mean_of_batches(losses).select(F.round("loss", 6).alias("loss"))
+
+
 def q_softmax(spark, sf_dir):
     probabilities = softmax(F.col("logits"))
     rows = _scored(spark, sf_dir).select("vec_id", F.posexplode(probabilities).alias("pos", "p"))
@@ -461,18 +540,29 @@ def q_greedy_decode(spark, sf_dir):
     return rows.select("row_id", "decoded_text", "decoded_sparql", "org_sparql")
 
 
-def q_greedy_stop(spark, sf_dir):
-    """Turns continued by a next-token table of turns with their end marked, so that the end is met."""
+def _turns_and_successors(spark, sf_dir):
+    """Turns, and a next-token table of turns with their end marked, so that the end is met."""
     vocabulary = get_vocabulary(spark, "bytes")
     turns = texts(spark, sf_dir, "conversations")
     ended = turns.select(F.concat("text", F.lit("<|endoftext|>")).alias("org_text"))
     successors = next_token_table(tokenize(ended, vocabulary, on_special="allow", texts=False))
     prompts = turns.select("conv_id", "turn", F.col("text").alias("org_text"))
-    coded = tokenize(prompts, vocabulary, texts=False)
+    return tokenize(prompts, vocabulary, texts=False), successors
+
+
+def q_greedy_stop(spark, sf_dir):
+    coded, successors = _turns_and_successors(spark, sf_dir)
     grown = greedy_decode(coded, table_scorer(successors), settings=Settings(context_length=GREEDY_WINDOW))
     return grown.select("conv_id", "turn", joined(F.col("generated")).alias("generated"))
 
 
+def q_greedy_joined(spark, sf_dir):
+    """The same by joins, with the broadcast of walks switched off."""
+    coded, successors = _turns_and_successors(spark, sf_dir)
+    grown = follow_table(coded, successors, settings=Settings(context_length=GREEDY_WINDOW), broadcast_bytes=0)
+    return grown.select("conv_id", "turn", joined(F.col("generated")).alias("generated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in list(globals().items()) if name.startswith("q_")
 }

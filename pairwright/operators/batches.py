@@ -42,7 +42,18 @@ def collate(
     One exchange, on the batch, of groups as large as a batch.
     """
     width = F.max(F.size("encoded_text") + 1).over(Window.partitionBy(*by))
-    wide = batches.withColumn("_width", width)
+    return _collated(batches.withColumn("_width", width), batches.columns, settings, texts)
+
+
+def collate_stored(rows: DataFrame, settings: Settings = Settings(), texts: bool = False) -> DataFrame:
+    """``collate`` for rows of a table laid out by batches, which hold the ``width`` of their batch.
+
+    A projection: no exchange, however the scan cuts the files.
+    """
+    return _collated(rows.withColumn("_width", F.col("width")), rows.columns, settings, texts)
+
+
+def _collated(wide: DataFrame, columns: Sequence[str], settings: Settings, texts: bool) -> DataFrame:
     padded = wide.withColumn(
         "_padded", terminate_and_pad(F.col("encoded_text"), F.lit(settings.pad_id), F.col("_width"))
     )
@@ -55,7 +66,7 @@ def collate(
         filled = terminate_and_pad(F.col("decoded_text"), F.lit(END_OF_TEXT), F.col("_width"))
         padded = padded.withColumn("_filled", filled)
         made += [F.col("_filled").alias("inputs_txt"), drop_first(F.col("_filled")).alias("targets_txt")]
-    return padded.select(*batches.columns, *made)
+    return padded.select(*columns, *made)
 
 
 def collate_with(batches: DataFrame, function, schema: str, by: Sequence[str] = ("batch_id",)) -> DataFrame:

@@ -37,7 +37,7 @@ def table_scorer(successors: DataFrame, max_rows: int = 500_000) -> Callable[[],
     """A scorer that follows a next-token table of checked size (one row per vocabulary entry)."""
     kept = materialize(successors.select("prev", "next"), "successors")
     if kept.count() > max_rows:
-        raise ValueError(f"a next-token table holds at most {max_rows} rows")
+        raise ValueError(f"a scorer holds {max_rows} rows at most; follow_table takes any number")
     rows = sorted((r["prev"], r["next"]) for r in kept.collect())
     held = successors.sparkSession.sparkContext.broadcast(np.array(rows, dtype=np.int64).reshape(-1, 2))
 

@@ -91,9 +91,140 @@ def model_batch_losses(
     sums = collated.select(*keys, "inputs", "targets").mapInPandas(
         run, f"{fields}, loss_sum double, positions long"
     )
+    return _batch_means(sums, keys)
+
+
+def shard_terms(
+    shards: DataFrame, by: Sequence[str], logits: str = "logits", start: str = "start", target: str = "target"
+) -> DataFrame:
+    """One slice of a position's logits as four numbers: ``top``, the largest; ``mass``, the sum of exponentials
+    below it; ``wanted``, the target's logit if it lies here; with ``start``, ``size`` and ``target``.
+
+    Two such rows of one position merge into one: the larger top, masses scaled to it and added.
+    """
+    values = F.col(logits).cast("array<double>")
+    top = F.array_max(values)
+    mass = F.aggregate(values, F.lit(0.0), lambda total, x: total + F.when(x == top, 1.0).otherwise(F.exp(x - top)))
+    place = F.col(target) - F.col(start)
+    wanted = F.when((place >= 0) & (place < F.size(values)), F.get(values, place.cast("int")))
+    return shards.where(F.size(logits) > 0).select(
+        *by,
+        F.col(start).cast("long").alias("start"),
+        F.size(values).alias("size"),
+        F.col(target).alias("target"),
+        top.alias("top"),
+        mass.alias("mass"),
+        wanted.alias("wanted"),
+    )
+
+
+def sharded_position_losses(
+    shards: DataFrame,
+    by: Sequence[str],
+    logits: str = "logits",
+    start: str = "start",
+    target: str = "target",
+    ignore: int = IGNORE_INDEX,
+) -> DataFrame:
+    """(by, nll): the loss of every position whose logits are stored as slices of the vocabulary.
+
+    A row is a slice: ``start``, the id of its first logit, and the position's target. However wide the
+    vocabulary, no row is wider than a slice, and each slice is four numbers before anything is
+    shuffled. Slices of a position have to follow one another from 0 without gap or overlap and
+    agree on the target; a target beyond them is an error, an ignored one a null loss.
+    """
+    terms = F.struct("start", "size", "target", "top", "mass", "wanted")
+    held = shard_terms(shards, by, logits, start, target).groupBy(*by).agg(F.sort_array(F.collect_list(terms)).alias("s"))
+    ends = F.aggregate("s", F.lit(0).cast("long"), lambda end, x: F.when(x["start"] == end, end + x["size"]).otherwise(F.lit(-1).cast("long")))
+    top = F.array_max(F.col("s.top"))
+    scaled = lambda total, x: total + F.when(x["top"] == top, x["mass"]).otherwise(x["mass"] * F.exp(x["top"] - top))
+    mass = F.aggregate("s", F.lit(0.0), scaled)
+    wanted = F.array_max(F.col("s.wanted"))
+    aim = F.array_max(F.col("s.target"))
+    wrong = lambda *say: F.raise_error(F.concat(*say)).cast("double")
+    loss = (
+        F.when(ends < 0, wrong(F.lit("slices of a position overlap or leave a gap")))
+        .when(aim != F.array_min(F.col("s.target")), wrong(F.lit("slices of a position have different targets")))
+        .when(aim == ignore, F.lit(None).cast("double"))
+        .when(aim.isNotNull() & wanted.isNull(), wrong(F.lit("no logit for target "), aim.cast("string")))
+        .otherwise(F.log(mass) + top - wanted)
+    )
+    return held.select(*by, loss.alias("nll"))
+
+
+def sharded_batch_losses(
+    shards: DataFrame,
+    position: Sequence[str],
+    by: Sequence[str] = ("batch_id",),
+    logits: str = "logits",
+    start: str = "start",
+    target: str = "target",
+    ignore: int = IGNORE_INDEX,
+) -> DataFrame:
+    """``batch_losses`` of logits in slices: ``position`` names the columns that tell positions of a batch apart."""
+    keys = list(dict.fromkeys([*by, *position]))
+    scored = sharded_position_losses(shards, keys, logits, start, target, ignore)
+    return scored.groupBy(*by).agg(_mean("nll").alias("batch_loss"))
+
+
+def _sliced_loss(slices: Iterator[tuple[int, np.ndarray]], target: np.ndarray, ignore: int) -> tuple[float, int]:
+    """(sum of losses, positions counted) of one row, whose logits come slice by slice."""
+    counted = np.flatnonzero(target != ignore)
+    aim = target[counted]
+    top, mass = np.full(len(aim), -np.inf), np.zeros(len(aim))
+    wanted, end = np.full(len(aim), np.nan), 0
+    for start, logits in slices:
+        rows = np.asarray(logits, np.float64)[counted]
+        if not rows.shape[1]:
+            continue
+        higher = np.maximum(top, rows.max(axis=1))
+        mass = mass * np.exp(top - higher) + np.exp(rows - higher[:, None]).sum(axis=1)
+        top, end = higher, start + rows.shape[1]
+        here = np.flatnonzero((aim >= start) & (aim < end))
+        wanted[here] = rows[here, aim[here] - start]
+    if np.isnan(wanted).any():
+        raise ValueError(f"targets are from 0 to {end - 1}")
+    return float((np.log(mass) + top - wanted).sum()), len(aim)
+
+
+# A model in slices takes the input ids of some rows and a range of ids, and returns one
+# (positions x range) matrix each.
+SlicedModel = Callable[[list[np.ndarray], int, int], list[np.ndarray]]
+
+
+def sliced_model_batch_losses(
+    collated: DataFrame,
+    model: Callable[[], SlicedModel],
+    vocabulary: int,
+    slice_ids: int = 4096,
+    by: Sequence[str] = ("batch_id",),
+    ignore: int = IGNORE_INDEX,
+) -> DataFrame:
+    """``model_batch_losses`` of a model that is asked for ``slice_ids`` logits of a position at a time.
+
+    What a task holds is one row's slice, whatever the vocabulary.
+    """
+    keys = list(by)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = model()
+        for frame in frames:
+            made = []
+            for ids, target in zip(frame["inputs"], frame["targets"]):
+                cuts = range(0, vocabulary, slice_ids)
+                slices = ((a, score([ids], a, min(a + slice_ids, vocabulary))[0]) for a in cuts)
+                made.append(_sliced_loss(slices, np.asarray(target), ignore))
+            yield frame[keys].assign(loss_sum=[t for t, _ in made], positions=[n for _, n in made])
+
+    fields = ", ".join(f"`{k}` {collated.schema[k].dataType.simpleString()}" for k in keys)
+    sums = collated.select(*keys, "inputs", "targets").mapInPandas(run, f"{fields}, loss_sum double, positions long")
+    return _batch_means(sums, keys)
+
+
+def _batch_means(sums: DataFrame, by: Sequence[str]) -> DataFrame:
     total, count = F.sum("loss_sum"), F.sum("positions")
     mean = F.when(count > 0, total / count).otherwise(F.lit(float("nan")))
-    return sums.groupBy(*keys).agg(mean.alias("batch_loss"))
+    return sums.groupBy(*by).agg(mean.alias("batch_loss"))
 
 
 def mean_of_batches(losses: DataFrame, by: Sequence[str] = ()) -> DataFrame:

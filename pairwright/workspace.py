@@ -54,6 +54,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose writing was committed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    held = [entry.getPath() for entry in files.listStatus(folder) if entry.isDirectory()]
+    mark = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+    return sorted(p.getName() for p in held if files.exists(mark(p)))
+
+
 def release(spark: SparkSession, keep: int = 0) -> int:
     """Delete the intermediate tables this process has written but for the first ``keep``; returns how many."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
