@@ -19,30 +19,32 @@ _LAYOUT = "layout string, split string, batch_size int, batches_per_file int"
 _PAGES = {"parquet.block.size": str(32 << 20), "parquet.page.row.count.limit": "1000"}
 
 
+def laid_out(tokens: DataFrame, settings: Settings, batches_per_file: int) -> DataFrame:
+    """Rows with ``batch_id``, ``part`` and ``width``, one exchange away: parts together and in order."""
+    size = F.raise_error(F.concat(F.lit("no batch size for split "), F.col("split"))).cast("int")
+    for split in settings.batch_sizes:
+        size = F.when(F.col("split") == split, F.lit(settings.batch_size(split))).otherwise(size)
+    placed = tokens.withColumn("batch_id", F.floor(F.col("ord") / size))
+    placed = placed.withColumn("part", F.floor(F.col("batch_id") / batches_per_file)).repartition("split", "part")
+    whole = Window.partitionBy("split", "part", "batch_id").orderBy("ord").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    wide = placed.withColumn("width", F.max(F.size("encoded_text") + 1).over(whole))
+    return wide.sortWithinPartitions("split", "part", "ord")
+
+
 def write_token_batches(
     tokens: DataFrame, path: str, settings: Settings = Settings(), batches_per_file: int = 10_000
 ) -> None:
     """Write (split, ord, encoded_text, …) with ``batch_id`` and ``width`` added, a file for every
-    ``batches_per_file`` batches. Positions are contiguous in each split; a split without a batch size is an error.
-
-    One exchange, on the file; widths are taken and rows sorted where they then stand. An empty table
-    gives a table without rows.
+    ``batches_per_file`` batches. Positions are contiguous in each split; a split without a batch size
+    is an error. An empty table gives a table without rows.
     """
     spark = tokens.sparkSession
-    sizes = {split: settings.batch_size(split) for split in settings.batch_sizes}
-    size = F.raise_error(F.concat(F.lit("no batch size for split "), F.col("split"))).cast("int")
-    for split, rows in sizes.items():
-        size = F.when(F.col("split") == split, F.lit(rows)).otherwise(size)
-    batch = F.floor(F.col("ord") / size)
-    placed = tokens.withColumn("batch_id", batch).withColumn("part", F.floor(F.col("batch_id") / batches_per_file))
-    whole = Window.partitionBy("split", "part", "batch_id").orderBy("ord").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    laid = placed.repartition("split", "part").withColumn("width", F.max(F.size("encoded_text") + 1).over(whole))
-    laid = laid.sortWithinPartitions("split", "part", "ord")
+    laid = laid_out(tokens, settings, batches_per_file)
     laid.write.options(**_PAGES).partitionBy("split", "part").parquet(f"{path}/rows")
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in laid.schema.fields]
-    rows = [(", ".join(kept), split, n, batches_per_file) for split, n in sizes.items()]
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema.fields)
+    rows = [(kept, split, size, batches_per_file) for split, size in settings.batch_sizes.items()]
     spark.createDataFrame(rows, _LAYOUT).coalesce(1).write.parquet(f"{path}/layout")
 
 
