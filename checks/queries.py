@@ -85,7 +85,7 @@ def corpus_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_ids(rename_pairs(pairs(spark, sf_dir)), corpus_dictionary(spark, sf_dir))
+    return encode_ids(rename_pairs(pairs(spark, sf_dir)), corpus_dictionary(spark, sf_dir), row_key=["row_id"])
 
 
 def joined(values: Column, mark: str = " ") -> Column:
@@ -139,19 +139,19 @@ def q_extract_labels(spark, sf_dir):
 
 def q_decode_labels(spark, sf_dir):
     dictionary = corpus_dictionary(spark, sf_dir)
-    coded = encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary)
-    return decode_labels(coded, dictionary).select("row_id", "decoded_sparql")
+    coded = encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary, row_key=["row_id"])
+    return decode_labels(coded, dictionary, row_key=["row_id"]).select("row_id", "decoded_sparql")
 
 
 def q_encode_joined(spark, sf_dir):
     rows = rename_pairs(pairs(spark, sf_dir))
-    return encode_ids(rows, corpus_dictionary(spark, sf_dir), inline_rows=0).select("row_id", "question", "sparql", "sparql_modf")
+    return encode_ids(rows, corpus_dictionary(spark, sf_dir), broadcast_bytes=0).select("row_id", "question", "sparql", "sparql_modf")
 
 
 def q_decode_joined(spark, sf_dir):
     dictionary = corpus_dictionary(spark, sf_dir)
-    coded = encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary)
-    return decode_labels(coded, dictionary, inline_rows=0).select("row_id", "decoded_sparql")
+    coded = encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary, row_key=["row_id"])
+    return decode_labels(coded, dictionary, broadcast_bytes=0).select("row_id", "decoded_sparql")
 
 
 def _split(spark, sf_dir):
@@ -531,7 +531,7 @@ def q_greedy_decode(spark, sf_dir):
     """Encoded queries as questions, continued by the next-token table of the train prompts."""
     vocabulary = get_vocabulary(spark, "bytes")
     dictionary = corpus_dictionary(spark, sf_dir)
-    coded = materialize(encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary), "encoded")
+    coded = materialize(encode_ids(rename_pairs(pairs(spark, sf_dir)), dictionary, row_key=["row_id"]), "encoded")
     prompts = coded.select("row_id", render_prompt("train", F.col("question"), F.col("sparql_modf")).alias("org_text"))
     successors = next_token_table(tokenize(prompts, vocabulary, texts=False))
     questions = coded.select("row_id", F.col("sparql_modf").alias("question"), F.col("sparql").alias("org_sparql"))

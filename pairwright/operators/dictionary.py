@@ -49,13 +49,9 @@ def build_dictionary(queries: DataFrame, column: str = "sparql_wikidata") -> Dat
     return known.unionByName(unknown)
 
 
-def _uses(dictionary: DataFrame) -> str | None:
-    return "uses" if "uses" in dictionary.columns else None
-
-
 def eid_to_label(dictionary: DataFrame) -> KeyTable:
-    return KeyTable(dictionary, "eid", "label", _uses(dictionary))
+    return KeyTable(dictionary, "eid", "label")
 
 
 def label_to_eid(dictionary: DataFrame) -> KeyTable:
-    return KeyTable(dictionary, "label", "eid", _uses(dictionary))
+    return KeyTable(dictionary, "label", "eid")

@@ -1,80 +1,50 @@
 """Replace every element of an array column by what a key-value table holds for it.
 
-Ids to labels, labels to ids, words to token ids and token ids to bytes are all this one join:
-many keys per row, one table, values back in the order of the keys. Two plans do it.
-
-* A table of checked, small size becomes one array of hash slots, a scalar subquery that
-  expressions index directly: no shuffle, no row key, rows never leave their partition.
-* A larger table has its most used keys looked up that way, and only the keys left open travel,
-  as (row number, place, key), written once, to a join and back. Rows are numbered here. Keys
-  are spread by a salt taken from the row's number; the table side is joined to the distinct (salt, key) pairs first, so that a
-  key which holds a third of all rows reaches the table at most once per salt and is spread over
-  as many groups on the way back.
+Ids to labels and labels to ids are this one join: many keys per row, one table, values back in
+the order of the keys. Rows without keys are left where they are. Of the others the keys alone are
+joined to the table, which is broadcast up to a measured size; beyond, keys are spread by a salt
+taken from their row, and the table meets the distinct (salt, key) pairs only, so that a key which
+holds a third of all places reaches the table at most once per salt. Values then come back to
+their rows by the row's key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.workspace import materialize
 
-INLINE_ROWS = 200_000
-INLINE_BYTES = 16 << 20
-ROWS_PER_SALT = 100_000
+#: Bytes of keys and values of a table that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
 class KeyTable:
-    """A table with unique ``key``s. ``uses`` names a column of frequencies, if there is one."""
+    """A table with unique ``key``s."""
 
     frame: DataFrame
     key: str
     value: str
-    uses: str | None = None
 
     def entries(self) -> DataFrame:
-        """(key, value, level): levels are steps of the logarithm of the frequency."""
-        uses = F.lit(1) if self.uses is None else F.greatest(F.col(self.uses), F.lit(1))
-        return self.frame.where(F.col(self.key).isNotNull()).select(
-            F.col(self.key).alias("key"),
-            F.col(self.value).alias("value"),
-            F.floor(F.log2(uses) * 4).cast("int").alias("level"),
-        )
+        """(key, value) without null keys; a repeated key is an error."""
+        held = self.frame.where(F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("key"))
+        held = held.agg(F.count("*").alias("n"), F.first(self.value).alias("value"))
+        kind = held.schema["value"].dataType.simpleString()
+        repeated = F.raise_error(F.concat(F.lit("the table repeats the key "), F.col("key").cast("string"))).cast(kind)
+        return held.select("key", F.when(F.col("n") > 1, repeated).otherwise(F.col("value")).alias("value"))
 
-
-@dataclass(frozen=True)
-class Head:
-    """The entries at or above a level: how many they are and whether they are all."""
-
-    level: int | None
-    rows: int
-    whole: bool
-
-
-def find_head(entries: DataFrame, max_rows: int = INLINE_ROWS, max_bytes: int = INLINE_BYTES) -> Head:
-    """The most used entries that every task may hold, from one aggregation of a row per level."""
-    size = F.octet_length(F.col("key").cast("string")) + F.octet_length(F.to_json(F.struct("value")))
-    levels = entries.groupBy("level").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
-    rows = used = 0
-    cut = None
-    for step in levels.orderBy(F.desc("level")).collect():
-        if rows + step["rows"] > max_rows or used + step["bytes"] > max_bytes:
-            return Head(cut, rows, False)
-        cut, rows, used = step["level"], rows + step["rows"], used + step["bytes"]
-    return Head(cut, rows, True)
-
-
-def _slots_for(rows: int) -> int:
-    """A power of two that leaves two to four entries to a slot."""
-    return 1 << max(4, rows.bit_length() - 2)
-
-
-def _slot(key: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    def bytes(self) -> int:
+        """What keys and values take, counted, with some room for each row."""
+        size = F.octet_length(F.col(self.key).cast("string")) + F.coalesce(F.octet_length(F.col(self.value).cast("string")), F.lit(0))
+        return self.frame.agg(F.coalesce(F.sum(size + 32), F.lit(0))).first()[0]
 
 
 def _in_order(placed: DataFrame, slots: int, taken: Callable[[Column], Column]) -> DataFrame:
@@ -87,12 +57,77 @@ def _in_order(placed: DataFrame, slots: int, taken: Callable[[Column], Column])
     )
 
 
-def _slot_array(entries: DataFrame, slots: int) -> DataFrame:
-    """One row with an array: slot number -> map of the entries that hash to it."""
-    placed = entries.groupBy(_slot(F.col("key"), slots).alias("slot")).agg(
-        F.sort_array(F.collect_list(F.struct("key", "value"))).alias("held")
+def _null_pairs(keys: str, value_type: str) -> Column:
+    null = F.lit(None).cast(value_type)
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), null.alias("value")))
+
+
+def lookup(
+    df: DataFrame,
+    keys: str,
+    table: KeyTable,
+    out: str = "pairs",
+    row_key: Sequence[str] = (),
+    broadcast_bytes: int = BROADCAST_BYTES,
+    salts: int | None = None,
+) -> DataFrame:
+    """Swap array column ``keys`` for ``out``: array<struct<key, value>>, value null if absent.
+
+    ``row_key`` names columns that tell rows with keys apart and are not null, which is checked
+    for these rows; without them rows with keys are numbered and written once. There are as many salts as shuffle
+    partitions unless ``salts`` says how many.
+    """
+    entries = table.entries()
+    value_type = entries.schema["value"].dataType.simpleString()
+    others = [c for c in df.columns if c != keys]
+    asks = F.coalesce(F.exists(keys, lambda k: k.isNotNull()), F.lit(False))
+    plain = df.where(~asks).select(*others, _null_pairs(keys, value_type).alias(out))
+    open_ = df.where(asks)
+    if not row_key:
+        open_ = materialize(open_.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+        row_key = ["_row"]
+    place = F.posexplode(keys).alias("place", "key")
+    asked = open_.select(*row_key, place)
+    if table.bytes() <= broadcast_bytes:
+        known = asked.join(F.broadcast(entries), "key", "left")
+    else:
+        salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = asked.withColumn("salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)))
+        wanted = salted.where(F.col("key").isNotNull()).select("salt", "key").distinct()
+        known = salted.join(wanted.join(entries, "key"), ["salt", "key"], "left")
+    held = F.sort_array(F.collect_list(F.struct("place", "key", "value")))
+    # The left join keeps null keys of rows in sight; they have no answers.
+    answers = known.groupBy(*row_key).agg(held.alias("_held"))
+    pairs = F.transform("_held", lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+    wrong = F.raise_error(F.lit(f"{', '.join(row_key)}: null, or the same in several rows")).cast(
+        f"array<struct<key:{entries.schema['key'].dataType.simpleString()},value:{value_type}>>"
     )
-    return _in_order(placed, slots, F.map_from_entries)
+    checked = F.when(F.size(F.coalesce("_held", F.array())) == F.size(keys), pairs).otherwise(wrong)
+    met = open_.join(answers, list(row_key), "left").select(*others, checked.alias(out))
+    return plain.unionByName(met)
+
+
+def lookup_held(df: DataFrame, keys: str, table: KeyTable, out: str = "pairs", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The same, row by row and without a shuffle, for streams: every task holds the table, whose size is checked."""
+    if table.bytes() > most_bytes:
+        raise ValueError("the table is too large to be held by every task")
+    entries = table.entries()
+    held = entries.toArrow()
+    sent = df.sparkSession.sparkContext.broadcast([held.column(c).combine_chunks() for c in ("key", "value")])
+    kinds = [entries.schema[c].dataType.simpleString() for c in ("key", "value")]
+
+    def find(lists: pa.Array) -> pa.Array:
+        known, values = sent.value
+        asked = lists.flatten()
+        found = values.take(pc.index_in(asked.cast(known.type), value_set=known))
+        sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        edges = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        pairs = pa.StructArray.from_arrays([asked, found], ["key", "value"])
+        return pa.ListArray.from_arrays(edges, pairs, mask=lists.is_null())
+
+    run = F.arrow_udf(find, f"array<struct<key:{kinds[0]},value:{kinds[1]}>>")
+    others = [c for c in df.columns if c != keys]
+    return df.select(*others, run(F.col(keys)).alias(out))
 
 
 def values_by_number(
@@ -112,101 +147,3 @@ def values_by_number(
         return F.coalesce(F.get(F.col("_slots"), key), missing)
 
     return held.select(*others, F.transform(keys, value).alias(out))
-
-
-def lookup_inline(
-    df: DataFrame, keys: str, entries: DataFrame, out: str = "pairs", rows: int = INLINE_ROWS
-) -> DataFrame:
-    """Swap array column ``keys`` for ``out``: array<struct<key, value>>, value null if absent.
-
-    ``entries`` (key, value) has to be small, about ``rows`` rows; ``find_head`` tells. The slot array is used in one
-    place only, so the optimizer moves it into that expression and no row ever carries it.
-    """
-    slots = _slots_for(rows)
-    others = [c for c in df.columns if c != keys]
-    held = df.withColumn("_slots", _slot_array(entries, slots).scalar())
-
-    def pair(key: Column) -> Column:
-        found = F.try_element_at(F.get(F.col("_slots"), _slot(key, slots)), key)
-        return F.struct(key.alias("key"), found.alias("value"))
-
-    return held.select(*others, F.transform(keys, pair).alias(out))
-
-
-def _unanswered(df: DataFrame, keys: str, value_type: str, out: str) -> DataFrame:
-    others = [c for c in df.columns if c != keys]
-    null = F.lit(None).cast(value_type)
-    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), null.alias("value")))
-    return df.select(*others, pairs.alias(out))
-
-
-def _once(entries: DataFrame) -> DataFrame:
-    """Entries with one row per key; a repeated key is an error, as it is for the inline plan."""
-    kind = entries.schema["value"].dataType.simpleString()
-    repeated = F.raise_error(F.concat(F.lit("the table repeats the key "), F.col("key").cast("string"))).cast(kind)
-    held = entries.groupBy("key").agg(F.count("*").alias("_n"), F.first("value").alias("value"), F.max("level").alias("level"))
-    return held.select("key", F.when(F.col("_n") > 1, repeated).otherwise(F.col("value")).alias("value"), "level")
-
-
-def lookup_joined(
-    df: DataFrame,
-    keys: str,
-    table: KeyTable,
-    out: str = "pairs",
-    salts: int | None = None,
-    head: Head = Head(None, 0, False),
-) -> DataFrame:
-    """The same result as ``lookup_inline`` for a table of any size.
-
-    Rows are numbered here and written with their numbers, so repeated or null keys of the
-    caller's do not matter. Entries of ``head`` are looked up inline first. There is one salt for
-    every ``ROWS_PER_SALT`` rows unless ``salts`` says how many.
-    """
-    entries = _once(table.entries())
-    if head.level is None:
-        begun = _unanswered(df, keys, entries.schema["value"].dataType.simpleString(), out)
-    else:
-        begun = lookup_inline(df, keys, entries.where(F.col("level") >= head.level), out, head.rows)
-        entries = entries.where(F.col("level") < head.level)
-    begun = materialize(begun.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-    if salts is None:
-        salts = max(16, begun.count() // ROWS_PER_SALT)
-
-    numbered = F.transform(
-        out, lambda p, i: F.struct(i.alias("place"), p["key"].alias("key"), p["value"].alias("value"))
-    )
-    is_open = lambda p: p["value"].isNull() & p["key"].isNotNull()
-    open_keys = materialize(
-        begun.select("_row", F.explode(F.filter(numbered, is_open)).alias("p")).select(
-            "_row", "p.place", "p.key", _slot(F.col("_row"), salts).alias("salt")
-        ),
-        "open-keys",
-    )
-    wanted = open_keys.select("salt", "key").distinct()
-    known = wanted.join(entries.select("key", "value"), "key")
-    answers = (
-        open_keys.join(known, ["salt", "key"], "left")
-        .groupBy("_row")
-        .agg(F.collect_list(F.struct("place", "key", "value")).alias("_late"))
-    )
-    early = F.filter(numbered, lambda p: ~is_open(p))
-    merged = F.sort_array(F.concat(early, F.col("_late")))
-    others = [c for c in begun.columns if c not in (out, "_row")]
-    closed = F.transform(merged, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
-    return begun.join(answers, "_row", "left").select(
-        *others, F.when(F.col("_late").isNull(), F.col(out)).otherwise(closed).alias(out)
-    )
-
-
-def lookup(
-    df: DataFrame,
-    keys: str,
-    table: KeyTable,
-    out: str = "pairs",
-    inline_rows: int = INLINE_ROWS,
-) -> DataFrame:
-    """Choose the plan by the measured size of the table."""
-    head = find_head(table.entries(), inline_rows)
-    if head.whole:
-        return lookup_inline(df, keys, table.entries(), out, head.rows)
-    return lookup_joined(df, keys, table, out, head=head)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from pairwright.functions.ids import (
     stitch,
 )
 from pairwright.operators.dictionary import eid_to_label, label_to_eid
-from pairwright.operators.lookup import INLINE_ROWS, KeyTable, find_head, lookup, lookup_inline
+from pairwright.operators.lookup import BROADCAST_BYTES, lookup, lookup_held
 
 
 def _rewritten(text: Column, pairs: Column) -> Column:
@@ -32,26 +34,21 @@ def _restored(text: Column, pairs: Column, bounded: bool) -> Column:
     return F.when(F.size(pairs) > 0, whole).otherwise(text)
 
 
-def _small(table: KeyTable) -> DataFrame:
-    entries = table.entries()
-    if not find_head(entries).whole:
-        raise ValueError("the dictionary is too large to be held by every task")
-    return entries
-
-
 def encode_ids(
     df: DataFrame,
     dictionary: DataFrame,
     text: str = "sparql",
     out: str = "sparql_modf",
-    inline_rows: int = INLINE_ROWS,
+    row_key: Sequence[str] = (),
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``out``: ``text`` with every whole-word id of the dictionary replaced by its label.
 
-    Ids outside the dictionary stay, null stays null.
+    Ids outside the dictionary stay, null stays null. Rows without ids are not moved; ``row_key``
+    names columns that tell the others apart, so that they need not be written first.
     """
     keyed = df.withColumn("_ids", extract_bounded_eids(F.col(text)))
-    found = lookup(keyed, "_ids", eid_to_label(dictionary), "_pairs", inline_rows)
+    found = lookup(keyed, "_ids", eid_to_label(dictionary), "_pairs", row_key, broadcast_bytes)
     return found.select(*df.columns, _rewritten(F.col(text), F.col("_pairs")).alias(out))
 
 
@@ -60,7 +57,7 @@ def encode_ids_inline(
 ) -> DataFrame:
     """``encode_ids`` for a dictionary that is small, which is checked: works on a stream."""
     keyed = df.withColumn("_ids", extract_bounded_eids(F.col(text)))
-    found = lookup_inline(keyed, "_ids", _small(eid_to_label(dictionary)), "_pairs")
+    found = lookup_held(keyed, "_ids", eid_to_label(dictionary), "_pairs")
     return found.select(*df.columns, _rewritten(F.col(text), F.col("_pairs")).alias(out))
 
 
@@ -70,7 +67,8 @@ def decode_labels(
     text: str = "sparql_modf",
     out: str = "decoded_sparql",
     bounded: bool = False,
-    inline_rows: int = INLINE_ROWS,
+    row_key: Sequence[str] = (),
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``out``: ``text`` with labels replaced by their ids.
 
@@ -78,7 +76,7 @@ def decode_labels(
     also inside longer ones. ``bounded=True`` replaces the whole words only.
     """
     keyed = df.withColumn("_labels", extract_labels(F.col(text)))
-    found = lookup(keyed, "_labels", label_to_eid(dictionary), "_pairs", inline_rows)
+    found = lookup(keyed, "_labels", label_to_eid(dictionary), "_pairs", row_key, broadcast_bytes)
     return found.select(*df.columns, _restored(F.col(text), F.col("_pairs"), bounded).alias(out))
 
 
@@ -87,5 +85,5 @@ def decode_labels_inline(
 ) -> DataFrame:
     """``decode_labels`` for a dictionary that is small, which is checked: works on a stream."""
     keyed = df.withColumn("_labels", extract_labels(F.col(text)))
-    found = lookup_inline(keyed, "_labels", _small(label_to_eid(dictionary)), "_pairs")
+    found = lookup_held(keyed, "_labels", label_to_eid(dictionary), "_pairs")
     return found.select(*df.columns, _restored(F.col(text), F.col("_pairs"), False).alias(out))

@@ -47,15 +47,15 @@ ADVERSARIAL = [
 ]
 
 
-@pytest.mark.parametrize("inline_rows", [1000, 0])
-def test_encode_matches_a_walk(spark, inline_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_encode_matches_a_walk(spark, broadcast_bytes):
     rng = random.Random(5)
     pieces = ["wd:Q12", "wd:Q1", "p:P3", "x:", ":", "_", " ", "é", "1", "abc", "٣", "wd", "Q", "²", "\n"]
     rows = ADVERSARIAL + ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(400)] + [None]
     found = {e for t in rows if t for e in EID.findall(t)}
     known = {e: f"ENTITY_{i:04d}" for i, e in enumerate(sorted(found)) if i % 5}
     dictionary = spark.createDataFrame(list(known.items()), "eid string, label string")
-    got = column(encode_ids(texts(spark, rows), dictionary, inline_rows=inline_rows), "sparql_modf")
+    got = column(encode_ids(texts(spark, rows), dictionary, broadcast_bytes=broadcast_bytes), "sparql_modf")
     assert got == [None if t is None else encode_by_walk(t, known) for t in rows]
 
 
@@ -67,8 +67,8 @@ def test_extraction_matches_findall(spark):
     assert column(df, "labels") == [re.findall(r"\bENTITY_\d+\b", t) for t in rows]
 
 
-@pytest.mark.parametrize("inline_rows", [1000, 0])
-def test_decode_replaces_substrings_in_order(spark, inline_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_decode_replaces_substrings_in_order(spark, broadcast_bytes):
     known = {"ENTITY_01": "wd:Q5", "ENTITY_00": "ENTITY_UNK", "ENTITY_012": "p:P9"}
     rows = [
         "ENTITY_01 ENTITY_013 XENTITY_01 ENTITY_00",
@@ -79,7 +79,7 @@ def test_decode_replaces_substrings_in_order(spark, inline_rows):
     ]
     dictionary = spark.createDataFrame([(e, l) for l, e in known.items()], "eid string, label string")
     df = texts(spark, rows)
-    got = column(decode_labels(df, dictionary, text="sparql", inline_rows=inline_rows), "decoded_sparql")
+    got = column(decode_labels(df, dictionary, text="sparql", broadcast_bytes=broadcast_bytes), "decoded_sparql")
     assert got == [
         "wd:Q5 wd:Q53 Xwd:Q5 ENTITY_UNK",
         "p:P9 wd:Q5 p:P9",

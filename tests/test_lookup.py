@@ -1,15 +1,24 @@
-"""Both lookup plans give the same answers, also when one key holds a third of all places."""
+"""All lookup plans give the same answers, also when one key holds a third of all places."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.operators.lookup import Head, KeyTable, find_head, lookup_inline, lookup_joined
+from pairwright.operators.lookup import KeyTable, lookup, lookup_held
+
+PLANS = {
+    "broadcast": lambda df, table: lookup(df, "keys", table),
+    "broadcast by key": lambda df, table: lookup(df, "keys", table, row_key=["id"]),
+    "joined": lambda df, table: lookup(df, "keys", table, broadcast_bytes=0),
+    "joined by key": lambda df, table: lookup(df, "keys", table, row_key=["id"], broadcast_bytes=0, salts=3),
+    "joined, one salt": lambda df, table: lookup(df, "keys", table, broadcast_bytes=0, salts=1),
+    "held": lambda df, table: lookup_held(df, "keys", table),
+}
 
 
 @pytest.fixture(scope="module")
-def data(spark):
+def data(spark, tmp_path_factory):
     rng = random.Random(3)
     values = {f"k{i}": f"v{i}" for i in range(500)}
     rows = []
@@ -18,16 +27,14 @@ def data(spark):
         if i % 9 == 0:
             keys.append(None)
         rows.append((i, f"row {i}", keys))
-    rows.append((1000, "null keys", None))
-    frame = spark.createDataFrame(rows, "id long, name string, keys array<string>")
-    table = spark.createDataFrame(
-        [(k, v, 1000 if k == "k0" else 1 + int(k[1:]) % 4) for k, v in values.items()],
-        "k string, v string, n long",
-    )
+    rows += [(1000, "null keys", None), (1001, "only null", [None, None]), (1002, "no keys", [])]
+    path = str(tmp_path_factory.mktemp("rows") / "t")
+    spark.createDataFrame(rows, "id long, name string, keys array<string>").write.parquet(path)
+    table = spark.createDataFrame(list(values.items()), "k string, v string")
     expected = {
         (i, name): None if keys is None else [(k, values.get(k)) for k in keys] for i, name, keys in rows
     }
-    return frame, table, expected
+    return spark.read.parquet(path), KeyTable(table, "k", "v"), expected
 
 
 def answers(df):
@@ -37,55 +44,69 @@ def answers(df):
     }
 
 
-def test_inline(data):
-    frame, table, expected = data
-    assert answers(lookup_inline(frame, "keys", KeyTable(table, "k", "v").entries())) == expected
-
-
-@pytest.mark.parametrize("salts", [1, 16])
-def test_joined_without_frequencies(data, salts):
+@pytest.mark.parametrize("plan", PLANS)
+def test_every_plan(data, plan):
     frame, table, expected = data
-    assert answers(lookup_joined(frame, "keys", KeyTable(table, "k", "v"), salts=salts)) == expected
+    found = PLANS[plan](frame, table)
+    assert answers(found) == expected and found.columns == ["id", "name", "pairs"]
 
 
-def test_joined_with_a_head(data):
+@pytest.mark.parametrize("plan", PLANS)
+def test_empty_tables(data, plan):
     frame, table, expected = data
-    keyed = KeyTable(table, "k", "v", "n")
-    head = find_head(keyed.entries(), max_rows=300)
-    assert not head.whole and 0 < head.rows <= 300 and head.level > 0
-    assert answers(lookup_joined(frame, "keys", keyed, head=head)) == expected
+    assert answers(PLANS[plan](frame.limit(0), table)) == {}
+    nothing = KeyTable(table.frame.limit(0), "k", "v")
+    blank = {row: None if pairs is None else [(k, None) for k, _ in pairs] for row, pairs in expected.items()}
+    assert answers(PLANS[plan](frame, nothing)) == blank
 
 
-def test_head_is_bounded_in_rows_and_bytes(data):
-    _, table, _ = data
-    entries = KeyTable(table, "k", "v", "n").entries()
-    assert find_head(entries).whole
-    assert find_head(entries, max_rows=1) == Head(39, 1, False)
-    assert find_head(entries, max_bytes=5) == Head(None, 0, False)
-
-
-def test_slots_never_become_a_column_of_rows(data, plan_of):
+def test_rows_without_keys_are_not_moved(data, plan_of):
     frame, table, _ = data
-    found = lookup_inline(frame, "keys", KeyTable(table, "k", "v").entries())
-    twice = found.select("id", F.size("pairs").alias("n"), F.transform("pairs", lambda p: p["value"]).alias("v"))
-    plan = plan_of(twice)
-    assert "_slots" not in plan and "subquery" in plan
-    assert "EvalPython" not in plan
-
-
-def test_both_plans_take_null_and_repeated_row_keys(spark):
+    for limit in (1 << 20, 0):
+        plan = plan_of(lookup(frame, "keys", table, row_key=["id"], broadcast_bytes=limit))
+        union = next(i for i, line in enumerate(plan.split("\n")) if "Union" in line)
+        branch = plan.split("\n")[union + 1 :]
+        depth = branch[0].index(":") if ":" in branch[0] else len(branch[0]) - len(branch[0].lstrip(" +-"))
+        first = []
+        for line in branch[1:]:
+            if line.lstrip(" ").startswith("+- ") and line.index("+") <= depth:
+                break
+            first.append(line)
+        assert not any("Exchange" in line for line in first) and any("FileScan" in line for line in first)
+        assert ("BroadcastHashJoin" in plan) or not limit
+
+
+@pytest.mark.parametrize("plan", ["broadcast", "joined", "held"])
+def test_null_and_repeated_row_keys(spark, plan):
     rows = [(1, ["a"]), (1, ["b", "c"]), (None, ["a"]), (None, None), (None, ["z"])]
     frame = spark.createDataFrame(rows, "id long, keys array<string>")
     table = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, v string")
-    keyed = KeyTable(table, "k", "v")
-    plain = lambda df: sorted((str(r["id"]), str(r["pairs"])) for r in df.collect())
-    assert plain(lookup_joined(frame, "keys", keyed)) == plain(lookup_inline(frame, "keys", keyed.entries()))
+    held = {"a": "1", "b": "2", "c": "3"}
+    want = sorted((str(i), str(k and [(x, held.get(x)) for x in k])) for i, k in rows)
+    got = PLANS[plan](frame, KeyTable(table, "k", "v")).collect()
+    assert sorted((str(r["id"]), str(r["pairs"] and [tuple(p) for p in r["pairs"]])) for r in got) == want
+
+
+@pytest.mark.parametrize("rows", [[(1, ["a"]), (1, ["b"])], [(None, ["a"])]])
+@pytest.mark.parametrize("plan", ["broadcast by key", "joined by key"])
+def test_a_row_key_has_to_tell_rows_apart(spark, plan, rows):
+    frame = spark.createDataFrame(rows, "id long, keys array<string>")
+    table = KeyTable(spark.createDataFrame([("a", "1")], "k string, v string"), "k", "v")
+    with pytest.raises(Exception, match="id: null, or the same in several rows"):
+        PLANS[plan](frame, table).collect()
 
 
-def test_both_plans_reject_a_repeated_table_key(spark):
+@pytest.mark.parametrize("plan", PLANS)
+def test_a_repeated_table_key_is_an_error(spark, plan):
     frame = spark.createDataFrame([(1, ["a"])], "id long, keys array<string>")
-    keyed = KeyTable(spark.createDataFrame([("a", "1"), ("a", "9")], "k string, v string"), "k", "v")
-    with pytest.raises(Exception):
-        lookup_inline(frame, "keys", keyed.entries()).collect()
-    with pytest.raises(Exception):
-        lookup_joined(frame, "keys", keyed).collect()
+    table = KeyTable(spark.createDataFrame([("a", "1"), ("a", "9")], "k string, v string"), "k", "v")
+    with pytest.raises(Exception, match="repeats the key a"):
+        PLANS[plan](frame, table).collect()
+
+
+def test_a_table_too_large_to_hold(data):
+    frame, table, _ = data
+    assert table.bytes() > 500 * 32
+    with pytest.raises(ValueError, match="too large"):
+        lookup_held(frame, "keys", table, most_bytes=500 * 32)
+    assert frame.where(F.size("keys") > 0).count() > 200
