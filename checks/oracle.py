@@ -339,6 +339,15 @@ SELECT eid, 'ENTITY_' || lpad(cast(row_number() OVER (ORDER BY version, eid) AS
   version::bigint AS version
 FROM versions
 UNION ALL SELECT 'ENTITY_UNK', 'ENTITY_000000000000', 0"""
+ORACLE["q_split_parts"] = f"""WITH {PAIRS},
+ranked AS (
+  SELECT row_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS place, count(*) OVER () AS n FROM pairs
+)
+SELECT row_id, CASE WHEN place <= ceil(n * 0.25::double) THEN 0 WHEN place <= ceil(n * 0.375::double) THEN 1 ELSE 2 END AS place
+FROM ranked"""
+ORACLE["q_observed_counts"] = f"""WITH {PAIRS}
+SELECT part, count(*) AS n_rows, ceil(count(*) / CASE part WHEN 'train' THEN 8 ELSE 4 END)::bigint AS n_batches
+FROM pairs GROUP BY part"""
 # Other ways to the same results.
 for name, same in {
     "q_sharded_loss": "q_masked_loss",
@@ -346,5 +355,6 @@ for name, same in {
     "q_collate_stored": "q_collate",
     "q_record_stored": "q_record_at",
     "q_greedy_joined": "q_greedy_stop",
+    "q_greedy_states": "q_greedy_stop",
 }.items():
     ORACLE[name] = ORACLE[same]

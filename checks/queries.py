@@ -26,7 +26,7 @@ from pairwright.operators.batches import (
 )
 from pairwright.operators.dictionary import all_queries, build_dictionary
 from pairwright.operators.follow import follow_table
-from pairwright.operators.generate import greedy_decode, next_token_table, table_scorer
+from pairwright.operators.generate import TableWalker, greedy_decode, next_token_table, table_scorer
 from pairwright.operators.grown_dictionary import grow_dictionary, read_grown
 from pairwright.operators.index import contiguous_index
 from pairwright.operators.loss import (
@@ -37,9 +37,9 @@ from pairwright.operators.loss import (
     sharded_batch_losses,
     sliced_model_batch_losses,
 )
-from pairwright.operators.preview import first_rows, record_at, shape
+from pairwright.operators.preview import batch_numbers, first_rows, observe_rows, record_at, shape
 from pairwright.operators.rewrite import decode_labels, encode_ids
-from pairwright.operators.split import exact_split
+from pairwright.operators.split import exact_split, split_at
 from pairwright.operators.tokens import detokenize, token_texts, tokenize
 from pairwright.plans.evaluate import model_inputs, model_loss, stored_loss
 from pairwright.plans.infer import answer
@@ -166,6 +166,22 @@ def q_split_valid(spark, sf_dir):
     return rename_pairs(_split(spark, sf_dir)[1])
 
 
+def q_split_parts(spark, sf_dir):
+    """Three parts of all pairs by two cuts, found digit by digit down to forty rows."""
+    parts = split_at(rename_pairs(pairs(spark, sf_dir)), [0.25, 0.125], "row_id", SETTINGS.split_seed, small=40)
+    named = [p.select("row_id", F.lit(i).alias("place")) for i, p in enumerate(parts)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def q_observed_counts(spark, sf_dir):
+    """Rows and batches of each part, counted in the pass that writes the pairs."""
+    rows, counted = observe_rows(pairs(spark, sf_dir), ["train", "test"], "part")
+    rows.write.parquet(fresh_path(spark, "pairs"))
+    found = counted.get
+    batches = batch_numbers(found, SETTINGS.batch_sizes)
+    return spark.createDataFrame([(p, n, batches[p]) for p, n in found.items()], "part string, n_rows long, n_batches long")
+
+
 def q_prompt_train(spark, sf_dir):
     prompt = render_prompt("train", F.col("question"), F.col("sparql_modf"))
     return encoded(spark, sf_dir).select("row_id", prompt.alias("org_text"))
@@ -556,6 +572,14 @@ def q_greedy_stop(spark, sf_dir):
     return grown.select("conv_id", "turn", joined(F.col("generated")).alias("generated"))
 
 
+def q_greedy_states(spark, sf_dir):
+    """The same with a scorer that is handed one id a step and prompt."""
+    coded, successors = _turns_and_successors(spark, sf_dir)
+    follow = table_scorer(successors)
+    grown = greedy_decode(coded, lambda: TableWalker(follow()), settings=Settings(context_length=GREEDY_WINDOW))
+    return grown.select("conv_id", "turn", joined(F.col("generated")).alias("generated"))
+
+
 def q_greedy_joined(spark, sf_dir):
     """The same by joins, with the broadcast of walks switched off."""
     coded, successors = _turns_and_successors(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,19 @@ from pairwright.workspace import materialize
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 
+class StatefulScorer(Protocol):
+    """A scorer that keeps a state of each prompt, so that a step hands it one new id a prompt.
+
+    Both methods return scores, in either form a ``Scorer`` returns, and a list of states.
+    """
+
+    def start(self, prompts: list[np.ndarray]) -> tuple[np.ndarray, list]:
+        """Read whole windows, which may be empty."""
+
+    def step(self, tokens: np.ndarray, states: list) -> tuple[np.ndarray, list]:
+        """Read the id just chosen for each prompt. States of prompts that stopped are not handed in again."""
+
+
 def next_token_table(tokens: DataFrame, ids: str = "encoded_text") -> DataFrame:
     """(prev, next): the most frequent successor of every token, the lowest one in a tie."""
     steps = F.arrays_zip(drop_last(F.col(ids)).alias("prev"), drop_first(F.col(ids)).alias("next"))
@@ -89,9 +103,47 @@ def extend(
     ]
 
 
+def extend_by_states(
+    values: np.ndarray, offsets: np.ndarray, scorer: StatefulScorer, window: int, steps: int, stop_id: int
+) -> list[np.ndarray]:
+    """``extend`` with a scorer that keeps its own states; a stopped prompt's state is dropped."""
+    prompts = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    made: list[list[int]] = [[] for _ in prompts]
+    alive = np.arange(len(prompts))
+    scores, states = scorer.start([p[-window:] for p in prompts]) if steps else (None, [])
+    for step in range(steps):
+        scores = np.asarray(scores)
+        picks = scores.argmax(axis=-1) if scores.ndim == 2 else scores
+        going = np.flatnonzero((picks >= 0) & (picks != stop_id))
+        alive, picks, states = alive[going], picks[going], [states[i] for i in going]
+        for i, pick in zip(alive.tolist(), picks.tolist()):
+            made[i].append(pick)
+        if not len(alive) or step + 1 == steps:
+            break
+        scores, states = scorer.step(picks, states)
+    out = []
+    for prompt, added in zip(prompts, made):
+        kept = min(len(prompt) + len(added) - 1, window) + 1
+        out.append(np.append(prompt, added).astype(np.int32)[-kept:] if added else prompt)
+    return out
+
+
+class TableWalker:
+    """A next-token table as a scorer whose state is the last id alone."""
+
+    def __init__(self, follow: Scorer):
+        self.follow = follow
+
+    def start(self, prompts: list[np.ndarray]) -> tuple[np.ndarray, list]:
+        return self.step(np.array([p[-1] if len(p) else -1 for p in prompts], np.int64), [])
+
+    def step(self, tokens: np.ndarray, states: list) -> tuple[np.ndarray, list]:
+        return self.follow(tokens[:, None]), tokens.tolist()
+
+
 def greedy_decode(
     prompts: DataFrame,
-    scorer: Callable[[], Scorer],
+    scorer: Callable[[], Scorer | StatefulScorer],
     ids: str = "encoded_text",
     out: str = "generated",
     settings: Settings = Settings(),
@@ -99,12 +151,14 @@ def greedy_decode(
     """Add ``out``: the last ``context_length`` ids and what was generated after them.
 
     ``scorer`` is called once per task, so it may load a model; it sees ``rows_per_call``
-    prompts at a time. A null id list stays null.
+    prompts at a time. One with ``start`` and ``step`` keeps its own states and is handed one id a step
+    and prompt; others are handed the whole window. A null id list stays null.
     """
     window, steps, stop_id = settings.context_length, settings.max_new_tokens, settings.pad_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
+        grow = extend_by_states if hasattr(score, "step") else extend
         for batch in batches:
             lists = batch.column(ids)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -114,7 +168,7 @@ def greedy_decode(
             for begin in range(0, len(lists), settings.rows_per_call):
                 part = offsets[begin : begin + settings.rows_per_call + 1]
                 own = values[part[0] : part[-1]]
-                grown += extend(own, part - part[0], score, window, steps, stop_id)
+                grown += grow(own, part - part[0], score, window, steps, stop_id)
             grown = [g if known else None for g, known in zip(grown, lists.is_valid().to_pylist())]
             added = pa.array(grown, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, added], [*batch.schema.names, out])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pairwright.config import Settings
-from pairwright.operators.batches import collate, load_batches
+from pairwright.operators.batches import collate, collate_stored, load_batches
 from pairwright.operators.loss import (
     Model,
     batch_losses,
@@ -20,7 +21,10 @@ from pairwright.operators.loss import (
 def model_inputs(
     tokens: DataFrame, split: str, settings: Settings = Settings(), texts: bool = False
 ) -> DataFrame:
-    """Collated rows of one split: what a model is to score."""
+    """Collated rows of one split: what a model is to score; a table laid out by batches needs no exchange."""
+    if {"width", "batch_id", "split"} <= set(tokens.columns):
+        settings.batch_size(split)
+        return collate_stored(tokens.where(F.col("split") == split), settings, texts)
     return collate(load_batches(tokens, split, settings), settings, texts)
 
 

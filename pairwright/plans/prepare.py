@@ -11,21 +11,26 @@ from pairwright.config import Settings
 from pairwright.functions.prompt import render_prompt
 from pairwright.operators.dictionary import all_queries, build_dictionary
 from pairwright.operators.index import contiguous_index
+from pairwright.operators.preview import batch_numbers, observe_rows
 from pairwright.operators.rewrite import encode_ids
 from pairwright.operators.split import exact_split, shuffle_key
 from pairwright.operators.tokens import tokenize
+from pairwright.sources.batch_table import read_token_batches, write_token_batches
 from pairwright.sources.dictionary_files import read_dictionary, write_dictionary
 from pairwright.sources.pairs import write_csv
-from pairwright.sources.token_table import read_tokens, write_tokens
 from pairwright.sources.vocabulary import Vocabulary
 from pairwright.workspace import materialize, released
 
 
 @dataclass(frozen=True)
 class Prepared:
+    """The tables, and rows and batches of each split, counted while the tokens were written."""
+
     dictionary: DataFrame
     pairs: DataFrame
     tokens: DataFrame
+    rows: dict[str, int]
+    batches: dict[str, int]
 
 
 def split_pairs(train: DataFrame, test: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -45,7 +50,7 @@ def split_pairs(train: DataFrame, test: DataFrame, settings: Settings = Settings
 
 def encode_pairs(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(row_id, split, question, sparql, sparql_modf, …); ``row_id`` is unique per split."""
-    return encode_ids(pairs, dictionary)
+    return encode_ids(pairs, dictionary, row_key=["split", "row_id"])
 
 
 def token_records(
@@ -101,5 +106,9 @@ def _prepare(
         for split in ("train", "val", "test"):
             rows = pairs.where(F.col("split") == split).select("question", "sparql", "sparql_modf")
             write_csv(rows, f"{out}/csv/{split}")
-    write_tokens(token_records(pairs, vocabulary, null_text), f"{out}/tokens")
-    return Prepared(read_dictionary(spark, f"{out}/dictionary"), pairs, read_tokens(spark, f"{out}/tokens"))
+    records, counted = observe_rows(token_records(pairs, vocabulary, null_text), list(settings.batch_sizes))
+    write_token_batches(records, f"{out}/tokens", settings)
+    rows = counted.get
+    tokens = read_token_batches(spark, f"{out}/tokens")
+    batches = batch_numbers(rows, settings.batch_sizes)
+    return Prepared(read_dictionary(spark, f"{out}/dictionary"), pairs, tokens, rows, batches)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from pairwright.config import Settings
-from pairwright.operators.generate import greedy_decode, next_token_table, table_scorer
+from pairwright.operators.generate import extend, extend_by_states, greedy_decode, next_token_table, table_scorer
 
 STOP = 50256
 
@@ -72,3 +72,59 @@ def test_next_token_counts(spark):
         expected.setdefault(prev, nxt)
     got = {r["prev"]: r["next"] for r in next_token_table(prompts(spark, rows)).collect()}
     assert got == expected
+
+
+def counting():
+    """A class that workers get by value."""
+
+    class Counting:
+        """Scores by a sum over all ids read so far; counts the ids it is handed."""
+
+        def __init__(self):
+            self.read = self.steps = 0
+            self.most = 0
+
+        def pick(self, states):
+            return np.array([-1 if s % 11 == 3 else s * 7 % 23 for s in states])
+
+        def start(self, prompts):
+            states = [int(np.sum(p)) for p in prompts]
+            self.most = len(states)
+            return self.pick(states), states
+
+        def step(self, tokens, states):
+            assert len(tokens) == len(states) <= self.most
+            self.most = len(states)
+            self.steps += 1
+            self.read += len(tokens)
+            states = [s + int(t) for s, t in zip(states, tokens)]
+            return self.pick(states), states
+
+    return Counting
+
+
+def test_states_are_handed_one_id_a_step_and_prompt():
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 5, 9, 3, 12, 7]
+    values = rng.integers(0, 20, sum(sizes)).astype(np.int32)
+    offsets = np.append(0, np.cumsum(sizes))
+    by_state = counting()()
+    got = extend_by_states(values, offsets, by_state, 100, 15, 22)
+    plain = counting()()
+    whole = lambda windows: plain.pick([int(w[w >= 0].sum()) for w in windows])
+    want = extend(values, offsets, whole, 100, 15, 22)
+    assert [g.tolist() for g in got] == [w.tolist() for w in want]
+    added = sum(len(g) - n for g, n in zip(got, sizes))
+    last = sum(len(g) - n == 15 for g, n in zip(got, sizes))
+    assert by_state.read == added - last and by_state.steps <= 14
+
+
+def test_a_scorer_with_states_on_spark(spark):
+    rows = [(i, [int(x) for x in range(i % 6)]) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, encoded_text array<int>")
+    settings = Settings(context_length=50, max_new_tokens=9, pad_id=22, rows_per_call=7)
+    pick = counting()().pick
+    windowed = lambda: lambda windows: pick([int(w[w >= 0].sum()) for w in windows])
+    want = greedy_decode(df, windowed, settings=settings)
+    got = greedy_decode(df, counting(), settings=settings)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

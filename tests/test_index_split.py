@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators.index import contiguous_index
-from pairwright.operators.split import exact_split
+from pairwright.operators.split import exact_split, split_at
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 64])
@@ -68,3 +68,31 @@ def test_split_rejects_null_and_repeated_keys(spark):
         exact_split(spark.createDataFrame([(i if i > 2 else None,) for i in range(50)], "k long"), "k")
     with pytest.raises(ValueError, match="several rows"):
         exact_split(spark.createDataFrame([(1,)] * 50, "k long"), "k")
+
+
+@pytest.mark.parametrize("digits,small", [(1, 1), (1, 7), (2, 3), (4, 10_000)])
+def test_several_cuts_are_those_of_a_full_ranking(spark, monkeypatch, digits, small):
+    monkeypatch.setattr("pairwright.operators.split._DIGITS", digits)
+    n = 700
+    df = spark.range(n).withColumnRenamed("id", "k").repartition(3)
+    fractions = [0.01, 0.25, 0.0625, 0.5]
+    parts = [[r[0] for r in p.collect()] for p in split_at(df, fractions, "k", seed=7, small=small)]
+    ranked = sorted(range(n), key=lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k))
+    bounds = [0, *(math.ceil(n * math.fsum(fractions[: i + 1])) for i in range(4)), n]
+    assert [set(p) for p in parts] == [set(ranked[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert sum(map(len, parts)) == n
+
+
+def test_ranking_is_bounded(spark, monkeypatch):
+    """No group over the set size is ever ranked, and repeated keys are told before."""
+    monkeypatch.setattr("pairwright.operators.split._DIGITS", 2)
+    rows = [(1,)] * 30 + [(i,) for i in range(2, 40)]
+    with pytest.raises(ValueError, match="several rows|rows have the k"):
+        split_at(spark.createDataFrame(rows, "k long"), [0.0001, 0.2, 0.2, 0.2, 0.2, 0.1], "k", small=5)
+
+
+def test_fractions_are_positive(spark):
+    with pytest.raises(ValueError):
+        split_at(spark.range(9), [], "id")
+    with pytest.raises(ValueError):
+        split_at(spark.range(9), [0.2, 0.0], "id")

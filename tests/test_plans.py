@@ -1,6 +1,7 @@
 """The three chains end to end on a small corpus, and the row-wise steps on a stream."""
 
 import math
+import time
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pairwright.config import Settings
 from pairwright.functions.prompt import render_prompt
 from pairwright.operators.generate import next_token_table, table_scorer
+from pairwright.operators.preview import RowCounts, batch_numbers, observe_rows, observe_stream
 from pairwright.plans.evaluate import model_inputs, model_loss
 from pairwright.plans.infer import answer
 from pairwright.plans.prepare import prepare
@@ -39,7 +41,8 @@ def test_prepare(spark, prepared):
     made, out, rows = prepared
     assert made.dictionary.count() == 24
     sizes = {r["split"]: r["n"] for r in made.tokens.groupBy("split").agg(F.count("*").alias("n")).collect()}
-    assert sizes == {"train": 40, "val": 5, "test": 15}
+    assert sizes == {"train": 40, "val": 5, "test": 15} == made.rows
+    assert made.batches == {"train": 5, "val": 2, "test": 4}
     for split, n in sizes.items():
         ords = [r["ord"] for r in made.tokens.where(F.col("split") == split).select("ord").orderBy("ord").collect()]
         assert ords == list(range(n))
@@ -108,3 +111,38 @@ def test_stream_gives_what_a_batch_gives(spark, prepared, tmp_path):
     expected = made.pairs.select("question", "sparql", prompt.alias("org_text"), F.col("sparql").alias("decoded_sparql"))
     order = ["org_text", "sparql"]
     assert got.select(expected.columns).orderBy(*order).collect() == expected.orderBy(*order).collect()
+
+
+def test_collating_prepared_tokens_needs_no_exchange(prepared, plan_of):
+    made, *_ = prepared
+    assert "Exchange" not in plan_of(model_inputs(made.tokens, "train"))
+
+
+def test_counts_take_no_scan_of_their_own(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "train" if i % 3 else "val") for i in range(50)], "i long, split string")
+    counted, found = observe_rows(rows, ["train", "val", "test"])
+    spark.sparkContext.setJobGroup("observed", "observed")
+    counted.write.parquet(str(tmp_path / "t"))
+    assert found.get == {"train": 33, "val": 17, "test": 0}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("observed")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert batch_numbers(found.get, {"train": 8, "val": 4, "test": 4}) == {"train": 5, "val": 5, "test": 0}
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    schema = "i long, split string"
+    rows = spark.createDataFrame([(i, "train" if i % 3 else "val") for i in range(50)], schema)
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = RowCounts()
+    spark.streams.addListener(counts)
+    try:
+        stream = observe_stream(read_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1), ["train", "val"])
+        write_stream(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        for _ in range(100):
+            if sum(counts.counts.values()) == 100:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counts)
+    assert counts.counts == {"train": 66, "val": 34}
