@@ -231,14 +231,18 @@ ORACLE["q_encode_joined"] = ORACLE["q_encode_ids"]
 ORACLE["q_decode_joined"] = ORACLE["q_decode_labels"]
 
 
-NORMAL = r"""normal AS (
-  SELECT doc_id, trim(regexp_replace(text, '[^\p{L}\p{N}\x21-\x7E]+', ' ', 'g'), ' ') AS t FROM documents
-)"""
+# White space of Unicode, as the pattern's flag has it, and a mark that stands in no text. A run of
+# white space gives its last character to what follows; the mark goes before that character, in
+# the place of the look-ahead that this engine's patterns do not have.
+WHITE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
-MERGED = rf"""{NORMAL},
+MERGED = rf"""marked AS (
+  SELECT doc_id, regexp_replace(text, '([{WHITE}]+)([{WHITE}][^{WHITE}])', '\1' || chr(57344) || '\2', 'g') AS t FROM documents
+),
 cut AS (
-  SELECT doc_id, regexp_extract_all(t, '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+') AS words
-  FROM normal
+  SELECT doc_id, regexp_extract_all(t,
+    '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}\x{{E000}}]+|[{WHITE}]+') AS words
+  FROM marked
 ),
 placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM cut),
 words AS MATERIALIZED (SELECT word, hex(encode(word)) AS h, count(*) AS uses FROM placed GROUP BY word),
@@ -271,9 +275,9 @@ codes AS (
 
 ORACLE["q_tokenize_merged"] = f"""WITH RECURSIVE {MERGED},
 texts AS (SELECT doc_id, string_agg(ids, ' ' ORDER BY place) AS ids FROM placed JOIN codes USING (word) GROUP BY doc_id)
-SELECT n.doc_id, CASE WHEN t IS NOT NULL THEN coalesce(ids, '') END AS encoded_text
-FROM normal n LEFT JOIN texts x ON x.doc_id = n.doc_id"""
-ORACLE["q_detokenize_merged"] = f"WITH {NORMAL} SELECT doc_id, t AS text FROM normal"
+SELECT n.doc_id, CASE WHEN n.text IS NOT NULL THEN coalesce(ids, '') END AS encoded_text
+FROM documents n LEFT JOIN texts x ON x.doc_id = n.doc_id"""
+ORACLE["q_detokenize_merged"] = ORACLE["q_detokenize"]
 
 RECORDS = f"""{PAIRS},
 records AS (

@@ -265,10 +265,9 @@ def q_detokenize(spark, sf_dir):
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[Vocabulary, DataFrame]:
-    """Documents with runs of other than letters, digits and printable ASCII as one space, and a
-    vocabulary of their most frequent runs of two and of three bytes inside words."""
-    even = F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}\x21-\x7E]+", " "))
-    rows = texts(spark, sf_dir, "documents").select("doc_id", even.alias("org_text"))
+    """Whole documents, and a vocabulary of their most frequent runs of two and of three bytes inside
+    words, white space among them."""
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("org_text"))
     word = F.explode(F.regexp_extract_all("org_text", F.lit(get_vocabulary(spark, "bytes").pattern), F.lit(0)))
     words = rows.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
     spelled = words.select(F.hex(F.encode("word", "utf-8")).alias("h"), "uses")
