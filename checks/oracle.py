@@ -358,6 +358,7 @@ for name, same in {
     "q_sliced_model_loss": "q_model_loss",
     "q_collate_stored": "q_collate",
     "q_record_stored": "q_record_at",
+    "q_batch_sink": "q_batch_export",
     "q_greedy_joined": "q_greedy_stop",
     "q_greedy_states": "q_greedy_stop",
 }.items():

@@ -44,6 +44,7 @@ from pairwright.operators.tokens import detokenize, token_texts, tokenize
 from pairwright.plans.evaluate import model_inputs, model_loss, stored_loss
 from pairwright.plans.infer import answer
 from pairwright.plans.prepare import token_records
+from pairwright.sources.batch_sink import read_batches, write_batches
 from pairwright.sources.batch_table import read_record, read_token_batches, write_token_batches
 from pairwright.sources.csv_blocks import read_csv_blocks
 from pairwright.sources.dictionary_files import read_dictionary, write_dictionary
@@ -385,6 +386,17 @@ def q_batch_export(spark, sf_dir):
     return matrices.select("batch_id", rows("inputs").alias("inputs"), rows("targets").alias("targets"))
 
 
+def q_batch_sink(spark, sf_dir):
+    """The matrices of ``q_batch_export``, written with a commit in two parts and read back."""
+    path = fresh_path(spark, "batches")
+    collated = materialize(collate(_batches(spark, sf_dir), SETTINGS), "collated")
+    for half in (0, 1):
+        write_batches(export_batches(collated.where(F.col("batch_id") % 2 == half), ["inputs", "targets"]), path)
+    rows = lambda name: F.array_join(F.transform(name, lambda row: joined(row)), ";")
+    matrices = read_batches(spark, path, "batch_id long, inputs array<array<int>>, targets array<array<int>>")
+    return matrices.select("batch_id", rows("inputs").alias("inputs"), rows("targets").alias("targets"))
+
+
 def _stored_turns(spark, sf_dir):
     """Turns as a table laid out by batches."""
     path = fresh_path(spark, "turns")
