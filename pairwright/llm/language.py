@@ -201,7 +201,7 @@ def fit_language(
     usable = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     n, frequency = document_frequencies(usable, settings.buckets)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    sample = labelled_sample(usable, id_column, label, settings.sample_rows).select("text", F.col(label).cast("string").alias("label"))
+    sample = labelled_sample(usable, [id_column, "text"], label, settings.sample_rows).select("text", F.col(label).cast("string").alias("label"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -170,8 +170,11 @@ def fit_quality(
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).groupBy(id_column).agg(
         F.min(label).cast("int").alias("label")
     )
-    sample = labelled_sample(known, id_column, "label", settings.sample_rows)
+    sample = labelled_sample(known, [id_column], "label", settings.sample_rows)
     texts = docs.select(id_column, F.col("text").cast("string").alias("text")).join(F.broadcast(sample), id_column)
+    # An id may have many rows.
+    if texts.select(id_column).limit(2 * settings.sample_rows + 1).count() > 2 * settings.sample_rows:
+        texts = texts.limit(settings.sample_rows)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ def remainder(id_column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(rows: DataFrame, id_column: str, label: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, as evenly over the labels as these have rows.
+def labelled_sample(rows: DataFrame, by: Sequence[str], label: str, most: int) -> DataFrame:
+    """About ``most`` rows, as evenly over the labels as these have rows, and twice ``most`` at most.
 
     Labels are counted over all rows; each then keeps the share of its rows, chosen by a hash of
-    the id, that is expected to give its part of ``most``.
+    the columns ``by``, that is expected to give its part of ``most``. Rows alike in these columns stand or
+    fall together; where that leaves none or too many, the first rows are taken.
     """
     counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(MAX_LABELS + 1).collect()}
     if len(counts) > MAX_LABELS:
@@ -30,5 +33,10 @@ def labelled_sample(rows: DataFrame, id_column: str, label: str, most: int) -> D
     keep = F.lit(0.0)
     for value, rate in share.items():
         keep = F.when(F.col(label) == F.lit(value), F.lit(rate)).otherwise(keep)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(F.col(label).isNotNull() & (draw < keep))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(1 << 30)) / float(1 << 30)
+    known = rows.where(F.col(label).isNotNull())
+    drawn = known.where(draw < keep)
+    found = drawn.limit(2 * most + 1).count()
+    if 0 < found <= 2 * most:
+        return drawn
+    return (drawn if found else known).limit(most)

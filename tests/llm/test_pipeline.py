@@ -68,3 +68,17 @@ def test_stages_keep_columns_and_clean_rows(spark, docs):
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_an_empty_table_goes_through(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
+
+
+def test_without_languages_nothing_is_rejected(spark):
+    rows = [(1, "some text", None, "a", 9), (2, None, None, None, None), (None, "12 34", None, "b", 5)]
+    got = dict(corpus_pipeline.STAGES)["language"](spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, spark.createDataFrame(rows, SCHEMA).collect()))
+
+
+def test_rows_of_one_id_are_judged_by_row(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "en", "a", 1), (1, "quite another text of other words", "en", "a", 1), (2, text, "de", "b", 2),
+            (1, text, "en", "a", 1), (None, text, "en", None, None), (None, text, "en", None, None)]
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, text), (0, text), (1, text), (1, "quite another text of other words")]
