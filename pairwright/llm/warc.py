@@ -325,13 +325,16 @@ def revisits(payloads: DataFrame, least_bytes: int, broadcast_rows: int = BROADC
 def train_dictionary(payloads: DataFrame, settings: WarcSettings) -> bytes:
     """A dictionary for records like these, or nothing if there are too few to train one.
 
-    The sample is bounded: the pages of the smallest hashes, of those that are not too long.
+    The sample is bounded: pages by a hash, as many as are expected to make up the set number and
+    twice that at most, of those that are not too long.
     """
-    usable = payloads.where(F.col("bytes").between(1, settings.sample_bytes)).select("payload", "digest", "check", F.col("id").cast("string").alias("id"))
-    sample = usable.orderBy("check", "digest", "id").limit(settings.sample_pages).drop("check")
+    draw = F.pmod(F.xxhash64("check", F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    usable = payloads.where(F.col("bytes").between(1, settings.sample_bytes))
+    usable = usable.where(draw < settings.sample_pages / max(1, payloads.count()))
+    sample = usable.select("payload", "digest", F.col("id").cast("string").alias("id")).limit(2 * settings.sample_pages)
     records = [record_bytes(r["id"], None, bytes(r["payload"]), r["digest"], None, settings.date) for r in sample.collect()]
     try:
-        return zstandard.train_dictionary(settings.dictionary_bytes, records).as_bytes()
+        return zstandard.train_dictionary(settings.dictionary_bytes, sorted(records)).as_bytes()
     except zstandard.ZstdError:
         return b""
 
