@@ -3,7 +3,10 @@
 Phrases are counted length by length. A phrase can be frequent only where both phrases one word
 shorter inside it are, so that only places where these are frequent are counted at the next
 length; which are frequent is told by a bitmap of checksums, of a size that is set and not by the
-data, whose false alarms cost time only. The last two lengths share a pass.
+data, whose false alarms cost time only. The last two lengths share a pass. Before pairs and
+triples are counted one by one they are counted by checksum, in one byte for each of a set number
+of buckets that stops at the bound: a phrase can be frequent only where its bucket is. Texts are
+read twice, to count words and to write their frequent words as ids; the rest reads the ids.
 
 Within a task counts stand in a HAT-trie: nodes by word id above, and below them containers, hash
 tables of the remaining ids, each of which bursts into a node when it gets too full. When the trie
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.shared import stored
-from pairwright.llm.texts import Words, binary, flat, slices
+from pairwright.llm.texts import Words, binary, flat, give_back, slices
 
 ID = 8
 #: Characters that end a piece of text, and those that end a word besides.
@@ -54,9 +57,10 @@ class CollocationSettings:
     top: int = 2000
     #: Entries of a container before it bursts, and of the trie before subtrees are written out.
     burst: int = 4096
-    held: int = 400_000
-    #: Bits of a bitmap of frequent phrases at most: 2 to this power.
+    held: int = 500_000
+    #: Bits of a bitmap of frequent phrases at most, and buckets for pairs and triples: 2 to this power.
     most_bits: int = 27
+    bucket_bits: int = 23
 
 
 class HatTrie:
@@ -64,36 +68,32 @@ class HatTrie:
 
     def __init__(self, width: int, burst: int = 4096):
         self.width, self.burst = width, burst
-        self.children: dict[bytes, _Subtree] = {}
+        self.children: dict[int, _Subtree] = {}
+        self.size = 0
 
     def __len__(self) -> int:
-        return sum(c.size for c in self.children.values())
+        return self.size
 
-    def add(self, grams: np.ndarray) -> int:
-        """Count the rows of a matrix of ids; returns how many entries were new."""
-        new = 0
+    def add(self, grams: np.ndarray) -> None:
+        """Count the rows of a matrix of ids."""
         for head, rest in _by_first(grams):
             child = self.children.get(head)
             if child is None:
                 child = self.children[head] = _Subtree(self.width - 1, self.burst)
-            before = child.size
+            self.size -= child.size
             child.add(rest)
-            new += child.size - before
-        return new
+            self.size += child.size
 
     def spill(self, entries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take out whole subtrees, the fullest first, until ``entries`` at most are left: sorted runs."""
-        left = len(self)
+        """Take out whole subtrees, the fullest first, until ``entries`` at most are left: sorted runs of
+        (ids, counts)."""
         for head, child in sorted(self.children.items(), key=lambda c: (-c[1].size, c[0])):
-            if left <= entries:
+            if self.size <= entries:
                 return
-            left -= child.size
+            self.size -= child.size
             del self.children[head]
-            keys, counts = [], []
-            for key, n in child.sorted_items():
-                keys.append(head + key)
-                counts.append(n)
-            yield np.frombuffer(b"".join(keys), np.uint8).reshape(-1, self.width * ID), np.array(counts, np.int64)
+            ids, counts = child.entries()
+            yield np.column_stack([np.full(len(ids), head, np.uint64), ids]), counts
 
 
 class _Subtree:
@@ -101,58 +101,70 @@ class _Subtree:
 
     def __init__(self, width: int, burst: int):
         self.width, self.burst = width, burst
-        self.held: Counter[bytes] | None = Counter()
-        self.children: dict[bytes, _Subtree] = {}
+        self.held: Counter | None = Counter()  # a single id as a number, several as bytes
+        self.children: dict[int, _Subtree] = {}
         self.size = 0
 
     def add(self, grams: np.ndarray) -> None:
         if self.held is None:
             for head, rest in _by_first(grams):
-                self._child(head).add(rest)
-            self.size = sum(c.size for c in self.children.values())
+                child = self._child(head)
+                self.size -= child.size
+                child.add(rest)
+                self.size += child.size
             return
-        self.held.update(_keys(grams))
+        self.held.update(self._keys(grams))
         self.size = len(self.held)
         if self.size > self.burst and self.width > 1:
-            for key, n in self.held.items():
-                child = self._child(key[:ID])
-                child.held[key[ID:]] = n
-                child.size += 1
+            ids, counts = self.entries()
             self.held = None
-
-    def _child(self, head: bytes) -> _Subtree:
+            edges = _edges(ids[:, 0])
+            for a, b in zip(edges[:-1], edges[1:]):
+                child = self._child(int(ids[a, 0]))
+                child.held = Counter(dict(zip(child._keys(ids[a:b, 1:]), counts[a:b].tolist())))
+                child.size = b - a
+
+    def _keys(self, grams: np.ndarray) -> list:
+        if self.width == 1:
+            return grams[:, 0].tolist()
+        line, size = np.ascontiguousarray(grams).tobytes(), self.width * ID
+        return [line[i : i + size] for i in range(0, len(line), size)]
+
+    def _child(self, head: int) -> _Subtree:
         child = self.children.get(head)
         if child is None:
             child = self.children[head] = _Subtree(self.width - 1, self.burst)
         return child
 
-    def sorted_items(self) -> Iterator[tuple[bytes, int]]:
-        if self.held is not None:
-            yield from sorted(self.held.items())
-            return
-        for head in sorted(self.children):
-            for key, n in self.children[head].sorted_items():
-                yield head + key, n
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts), sorted by the ids."""
+        if self.held is None:
+            parts = [(head, *self.children[head].entries()) for head in sorted(self.children)]
+            ids = [np.column_stack([np.full(len(i), head, np.uint64), i]) for head, i, _ in parts]
+            return np.concatenate(ids), np.concatenate([n for _, _, n in parts])
+        counts = np.fromiter(self.held.values(), np.int64, len(self.held))
+        if self.width == 1:
+            ids = np.fromiter(self.held.keys(), np.uint64, len(self.held))[:, None]
+        else:
+            ids = np.frombuffer(b"".join(self.held), np.uint64).reshape(-1, self.width)
+        order = np.lexsort(ids.T[::-1])
+        return ids[order], counts[order]
 
 
-def _keys(grams: np.ndarray) -> list[bytes]:
-    if grams.shape[1] == 0:
-        return [b""] * len(grams)
-    line, size = np.ascontiguousarray(grams).tobytes(), grams.shape[1] * ID
-    return [line[i : i + size] for i in range(0, len(line), size)]
+def _edges(values: np.ndarray) -> list[int]:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])).tolist()
 
 
-def _by_first(grams: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
+def _by_first(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(first id, the other columns) of the rows of each first id."""
     if not len(grams):
         return
-    order = np.argsort(grams[:, 0], kind="stable")
-    grams = grams[order]
-    edges = np.flatnonzero(np.concatenate([[True], grams[1:, 0] != grams[:-1, 0], [True]])).tolist()
-    heads = np.ascontiguousarray(grams[edges[:-1], 0]).tobytes()
+    grams = grams[np.argsort(grams[:, 0], kind="stable")]
+    edges = _edges(grams[:, 0])
     rest = grams[:, 1:]
-    for k in range(len(edges) - 1):
-        yield heads[k * ID : (k + 1) * ID], rest[edges[k] : edges[k + 1]]
+    for head, a, b in zip(grams[edges[:-1], 0].tolist(), edges[:-1], edges[1:]):
+        yield head, rest[a:b]
 
 
 def _mixed(ids: np.ndarray, width: int) -> np.ndarray:
@@ -175,7 +187,7 @@ class _Text:
         self.codes, self.word_ids = codes, np.array(held, np.uint64)
         self.ids = self.word_ids[codes]
         ends = np.cumsum(PIECE_ENDS[flat(texts)[0]])
-        row = np.repeat(np.arange(len(texts)), words.counts)
+        self.row = row = np.repeat(np.arange(len(texts)), words.counts)
         # A new piece begins with a new text, or behind a character that ends one.
         passed = ends[words.starts] if len(words) else np.empty(0, np.int64)
         opens = np.concatenate([[True], (np.diff(row) > 0) | (np.diff(passed) > 0)]) if len(words) else np.empty(0, bool)
@@ -184,6 +196,10 @@ class _Text:
         self.langs = names.dictionary.to_pylist()
         self.lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
 
+    def sums(self) -> np.ndarray:
+        """The checksum of the language of each word."""
+        return np.array([_lang_sum(x) for x in self.langs], np.uint64)[self.lang]
+
 
 def _lang_sum(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1) | 1)
@@ -217,15 +233,76 @@ def _frequent(grams: DataFrame, width: int, most_bits: int) -> Frequent:
         for batch in batches:
             ids = np.frombuffer(b"".join(batch.column("gram").to_pylist()), np.uint64).reshape(-1, width)
             sums = np.array([_lang_sum(x) for x in batch.column("lang").to_pylist()], np.uint64)
-            slots = np.array([empty.slots(row, s)[0] for row, s in zip(ids, sums)], np.uint64)  # numbers of bits from 1 on
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64) + 1)], ["slot"])
+            slots = np.array([empty.slots(row, s)[0] for row, s in zip(ids, sums)], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64))], ["slot"])
 
     slots = grams.select("lang", "gram").mapInArrow(run, "slot long")
-    chunks = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("held")
+    return Frequent(width, bits, _bitmap(slots))
+
+
+def _bitmap(slots: DataFrame) -> dict[int, bytes]:
+    """Chunks of 4 KB by number: at most one for each 32,768 bits of the set size."""
+    place = F.col("slot") + 1  # the engine numbers bits from 1
+    chunks = slots.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("held")
     )
-    # At most 2 ** most_bits / 32768 rows of 4 KB.
-    return Frequent(width, bits, {r["bucket"]: bytes(r["held"]) for r in chunks.collect()})
+    return {r["bucket"]: bytes(r["held"]) for r in chunks.collect()}
+
+
+_CHUNK = 1 << 16
+
+
+class _Buckets:
+    """Occurrences of phrases of one length by checksum, and where these are frequent over all tasks.
+
+    Each task hands on a byte for each bucket that stops at the bound; counts for a bound over 127
+    are first divided by a power of two and rounded up. Sums reach the bound wherever the true sums do.
+    """
+
+    def __init__(self, width: int, least: int, bits: int):
+        self.width, self.bits = width, bits
+        self.shift = max(0, least.bit_length() - 7)
+        self.most = -(-least >> self.shift)
+        self.blank = Frequent(width, 1 << bits, {})
+
+    def zeros(self) -> np.ndarray:
+        return np.zeros(1 << self.bits, np.int32)
+
+    def count(self, counts: np.ndarray, ids: np.ndarray, sums: np.ndarray, inside: np.ndarray) -> None:
+        found, n = np.unique(self.blank.slots(ids, sums)[inside], return_counts=True)
+        counts[found] += n.astype(np.int32)
+
+    def chunks(self, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        held = np.minimum(-(-counts >> self.shift), self.most).astype(np.uint8)
+        for number, begin in enumerate(range(0, len(held), _CHUNK)):
+            chunk = held[begin : begin + _CHUNK]
+            if chunk.any():
+                yield number, chunk.tobytes()
+
+    def frequent(self, chunks: DataFrame) -> Frequent:
+        """The bitmap of a table (chunk, held) of all tasks."""
+        most = self.most
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, total = None, None
+
+            def slots() -> pa.RecordBatch:
+                at = np.flatnonzero(total >= most) + number * _CHUNK
+                return pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], ["slot"])
+
+            for batch in batches:
+                for chunk, held in zip(batch.column("chunk").to_pylist(), batch.column("held")):
+                    if chunk != number:
+                        if number is not None:
+                            yield slots()
+                        number, total = chunk, np.zeros(_CHUNK, np.int64)
+                    part = np.frombuffer(held.as_buffer(), np.uint8)
+                    total[: len(part)] += part
+            if number is not None:
+                yield slots()
+
+        ordered = chunks.select("chunk", "held").repartition("chunk").sortWithinPartitions("chunk")
+        return Frequent(self.width, 1 << self.bits, _bitmap(ordered.mapInArrow(add, "slot long")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -256,60 +333,147 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
 
 
 def _clash(words: DataFrame, least: int) -> bool:
-    """Whether a word that is frequent in a language shares its id with another word."""
+    """Whether a word that is frequent in a language shares its id with another word, or with a break."""
     by_word = words.groupBy("gram", "word").agg(F.max("n").alias("n"))
     by_id = by_word.groupBy("gram").agg(F.count("*").alias("words"), F.max("n").alias("n"))
-    return not by_id.where((F.col("words") > 1) & (F.col("n") >= least)).isEmpty()
+    taken = (F.col("words") > 1) | (F.col("gram") == F.lit(bytes(ID)))  # 0 stands for a break
+    return not by_id.where(taken & (F.col("n") >= least)).isEmpty()
 
 
-def count_phrases(texts: DataFrame, widths: list[int], shorter: Frequent, seed: int, settings: CollocationSettings) -> DataFrame:
-    """(lang, gram, n) of the phrases of ``widths`` words all of whose parts as long as those of
-    ``shorter`` may be frequent, and that occur ``least`` times or more."""
-    sent = texts.sparkSession.sparkContext.broadcast(shorter)
-    burst, held = settings.burst, settings.held
+_ENCODED = "lang string, ids array<long>, chunk long, held binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        tries: dict[tuple[str, int], HatTrie] = {}
-        entries = 0
 
-        def runs(left: int) -> Iterator[pa.RecordBatch]:
-            """The fullest tries first, each down to its share of what may stay."""
-            for (lang, width), trie in sorted(tries.items()):
-                keep = left * len(trie) // max(1, entries)
-                for keys, n in trie.spill(keep):
-                    for a in range(0, len(n), 1 << 16):
-                        part, size = keys[a : a + (1 << 16)], width * ID
-                        grams = binary(np.arange(len(part) + 1) * size, part.ravel())
-                        columns = [pa.array([lang] * len(part), pa.string()), grams.cast(pa.binary()), pa.array(n[a : a + (1 << 16)])]
-                        yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+def encode(texts: DataFrame, words: Frequent, buckets: _Buckets, seed: int) -> DataFrame:
+    """Texts as (lang, ids): frequent words that stand beside another, with 0 where others or an end of a
+    piece come between, and rows (chunk, held) with the pairs of each task by bucket."""
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+    schema = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int64())), ("chunk", pa.int64()), ("held", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value, buckets.zeros()
         for batch in batches:
             for part in slices(batch, limit=_SLICE):
                 made = _Text(part.column("text"), part.column("lang"), seed)
-                if not len(made.ids):
+                if len(made.ids) < 2:
                     continue
-                sums = np.array([_lang_sum(x) for x in made.langs], np.uint64)[made.lang]
+                sums = made.sums()
                 whole = known(made.ids, sums)
-                for width in widths:
-                    n = len(made.ids) - width + 1
-                    if n < 1:
-                        continue
-                    inside = made.piece[:n] == made.piece[width - 1 :]
-                    for k in range(width - known.width + 1):
-                        inside &= whole[k : k + n]
-                    starts = np.flatnonzero(inside)
-                    of = made.lang[starts]
-                    for code in np.unique(of).tolist():
-                        rows = starts[of == code]
-                        trie = tries.setdefault((made.langs[code], width), HatTrie(width, burst))
-                        entries += trie.add(made.ids[rows[:, None] + np.arange(width)])
-                if entries > held:
-                    yield from runs(held // 2)
-                    entries = sum(map(len, tries.values()))
+                tied = (made.piece[:-1] == made.piece[1:]) & whole[:-1] & whole[1:]
+                buckets.count(counts, made.ids, sums, tied)
+                kept = np.flatnonzero(np.concatenate([tied, [False]]) | np.concatenate([[False], tied]))
+                if not len(kept):
+                    continue
+                # A word is followed by 0 if it is not tied to the next one.
+                ends = ~np.concatenate([tied, [False]])[kept]
+                at = np.arange(len(kept)) + np.cumsum(ends) - ends
+                line = np.zeros(len(kept) + int(ends.sum()), np.int64)
+                line[at] = made.ids[kept].view(np.int64)
+                row = made.row[kept]
+                first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
+                edges = np.append(at[first], len(line)).astype(np.int32)
+                langs = part.column("lang").take(pa.array(row[first]))
+                none = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(line))
+                yield pa.RecordBatch.from_arrays([langs, lists, *none], schema=schema)
+        for number, held in buckets.chunks(counts):
+            yield pa.RecordBatch.from_pylist([{"chunk": number, "held": held}], schema)
+
+    return texts.mapInArrow(run, _ENCODED)
+
+
+def _slices_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """(ids, whether the phrase may not go on behind a place, language of each place, names of languages)."""
+    for batch in batches:
+        sizes = batch.column("ids").value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + (1 << 19), "right")))
+            part = batch.slice(start, stop - start)
+            ids = part.column("ids").flatten().to_numpy().view(np.uint64)
+            names = part.column("lang").dictionary_encode()
+            lang = np.repeat(names.indices.to_numpy().astype(np.int64), sizes[start:stop])
+            yield ids, np.cumsum(ids == 0), lang, names.dictionary.to_pylist()
+            start = stop
+    give_back()
+
+
+def _lang_sums(langs: list[str], lang: np.ndarray) -> np.ndarray:
+    return np.array([_lang_sum(x) for x in langs], np.uint64)[lang]
+
+
+def _inside(ids: np.ndarray, breaks: np.ndarray, sums: np.ndarray, width: int, known: list[Frequent]) -> np.ndarray:
+    """Where a phrase of ``width`` ids begins whose parts may all be frequent."""
+    n = max(0, len(ids) - width + 1)
+    inside = (breaks[:n] == breaks[width - 1 :]) & (ids[:n] != 0) if n else np.zeros(0, bool)
+    for part in known:
+        found = part(ids, sums)
+        for k in range(width - part.width + 1):
+            inside &= found[k : k + n]
+    return inside
+
+
+def bucket_phrases(encoded: DataFrame, known: list[Frequent], buckets: _Buckets) -> Frequent:
+    """The buckets of phrases that occur often enough, among those whose parts may be frequent."""
+    sent = encoded.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = buckets.zeros()
+        for ids, breaks, lang, langs in _slices_of_ids(batches):
+            sums = _lang_sums(langs, lang)
+            inside = _inside(ids, breaks, sums, buckets.width, sent.value)
+            if inside.any():
+                buckets.count(counts, ids, sums, inside)
+        for number, held in buckets.chunks(counts):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held], pa.binary())], ["chunk", "held"])
+
+    return buckets.frequent(encoded.mapInArrow(run, "chunk long, held binary"))
+
+
+def count_phrases(encoded: DataFrame, widths: list[int], known: list[Frequent], settings: CollocationSettings) -> DataFrame:
+    """(lang, gram, n) of the phrases of ``widths`` words all of whose parts as long as those of
+    ``known`` may be frequent, and that occur ``least`` times or more."""
+    sent = encoded.sparkSession.sparkContext.broadcast(known)
+    burst, held = settings.burst, settings.held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries: dict[tuple[str, int], HatTrie] = {}
+
+        def runs(left: int) -> Iterator[pa.RecordBatch]:
+            """What is over the share of each trie in ``left`` entries, as rows."""
+            total = max(1, sum(map(len, tries.values())))
+            for (lang, width), trie in sorted(tries.items()):
+                waiting: list[tuple[np.ndarray, np.ndarray]] = []
+                for run in trie.spill(left * len(trie) // total):
+                    waiting.append(run)
+                    if sum(len(n) for _, n in waiting) >= 1 << 15:
+                        yield rows(lang, width, waiting)
+                        waiting = []
+                if waiting:
+                    yield rows(lang, width, waiting)
+
+        def rows(lang: str, width: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            ids = np.ascontiguousarray(np.concatenate([i for i, _ in parts]))
+            n = np.concatenate([n for _, n in parts])
+            grams = binary(np.arange(len(n) + 1) * width * ID, ids.view(np.uint8).ravel()).cast(pa.binary())
+            langs = pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64)))
+            return pa.RecordBatch.from_arrays([langs, grams, pa.array(n)], ["lang", "gram", "n"])
+
+        for ids, breaks, lang, langs in _slices_of_ids(batches):
+            sums = _lang_sums(langs, lang)
+            for width in widths:
+                starts = np.flatnonzero(_inside(ids, breaks, sums, width, sent.value))
+                of = lang[starts]
+                for code in np.unique(of).tolist():
+                    at = starts[of == code]
+                    trie = tries.setdefault((langs[code], width), HatTrie(width, burst))
+                    trie.add(ids[at[:, None] + np.arange(width)])
+            if sum(map(len, tries.values())) > held:
+                yield from runs(held // 2)
         yield from runs(0)
 
-    sorted_runs = texts.mapInArrow(run, "lang string, gram binary, n long").select(
+    sorted_runs = encoded.mapInArrow(run, "lang string, gram binary, n long").select(
         "lang",
         F.substring("gram", 1, ID).alias("head"),
         F.pmod(F.xxhash64(F.substring("gram", ID + 1, ID)), F.lit(_PARTS)).alias("part"),
@@ -404,8 +568,8 @@ def collocations(docs: DataFrame, settings: CollocationSettings = CollocationSet
     A null text is empty, a null language is ``und``, repeated rows count each time, an empty
     table gives an empty result; other columns are not read. Whole texts are counted.
     """
-    if settings.longest < 2 or settings.least < 1 or settings.most_bits < 15:
-        raise ValueError("phrases have two words or more, occur once or more, and a bitmap has 2 ** 15 bits or more")
+    if settings.longest < 2 or settings.least < 1 or min(settings.most_bits, settings.bucket_bits) < 16:
+        raise ValueError("phrases have two words or more, occur once or more, and a bitmap has 2 ** 16 bits or more")
     texts = _texts(docs)
     seed = 0
     while True:
@@ -416,13 +580,21 @@ def collocations(docs: DataFrame, settings: CollocationSettings = CollocationSet
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     often = words.where(F.col("n") >= settings.least)
     levels = [often.select("lang", "gram", "n")]
+    pairs = _Buckets(2, settings.least, settings.bucket_bits)
+    made = stored(encode(texts, _frequent(levels[0], 1, settings.most_bits), pairs, seed), "ids")
+    encoded = made.where(F.col("chunk").isNull()).select("lang", "ids")
+    known = [pairs.frequent(made.where(F.col("chunk").isNotNull()))]
     width = 1
     while width < settings.longest:
         # The last two lengths share a pass.
         widths = [width + 1] if width + 1 < settings.longest - 1 or settings.longest < 4 else list(range(width + 1, settings.longest + 1))
-        known = _frequent(levels[-1], width, settings.most_bits)
-        levels.append(stored(count_phrases(texts, widths, known, seed, settings), f"phrases-{widths[0]}"))
+        levels.append(stored(count_phrases(encoded, widths, known, settings), f"phrases-{widths[0]}"))
         width = widths[-1]
+        if width < settings.longest:
+            known = [_frequent(levels[-1], width, settings.most_bits)]
+            if width == 2:
+                triples = _Buckets(3, settings.least, settings.bucket_bits)
+                known.append(bucket_phrases(encoded, known, triples))
     counts = levels[0]
     for level in levels[1:]:
         counts = counts.unionByName(level)

@@ -69,10 +69,10 @@ def texts(seed, words, n, length):
 @pytest.mark.parametrize(
     "seed,settings",
     [
-        (1, CollocationSettings(least=5, burst=3, held=20, top=1000, most_bits=15)),
+        (1, CollocationSettings(least=5, burst=3, held=20, top=1000, most_bits=16, bucket_bits=16)),
         (2, CollocationSettings(least=8, burst=1, held=1, top=7)),
         (3, CollocationSettings(longest=3, least=4, absorb=50)),
-        (4, CollocationSettings(longest=2, least=3)),
+        (4, CollocationSettings(longest=2, least=3, bucket_bits=17)),
         (5, CollocationSettings(longest=6, least=3, absorb=80, burst=16, held=200)),
     ],
 )
@@ -85,7 +85,7 @@ def test_random_texts(spark, seed, settings):
 
 
 def test_hard_rows(spark):
-    settings = CollocationSettings(least=2)
+    settings = CollocationSettings(least=2, bucket_bits=16)
     rows = [(None, "en"), ("", "en"), (" \t\n.", "en"), (None, None), ("one", "en"), ("one two" * 1, "en"), ("one two", "en")]
     rows += [("long text of many words " * 4000, "de"), ("x" * 200_000 + " " + "y" * 200_000, "fr")] + [("y z", "fr")] * 2
     assert run(spark, rows, settings) == by_definition(rows, settings)
@@ -115,30 +115,60 @@ def test_which_ids_clash(spark):
     assert collocations._clash(spark.createDataFrame(words, schema), 5)
     assert not collocations._clash(spark.createDataFrame(words, schema), 6)
     assert not collocations._clash(spark.createDataFrame(words[2:], schema), 5)
+    assert collocations._clash(spark.createDataFrame([("en", "ij", bytes(8), 5)], schema), 5)
 
 
-@pytest.mark.parametrize("burst,width", [(1, 2), (4, 3), (10_000, 5)])
+@pytest.mark.parametrize("burst,width", [(1, 2), (4, 3), (10_000, 5), (2, 5)])
 def test_the_trie_counts_and_spills_sorted_subtrees(burst, width):
     rng = np.random.default_rng(burst)
     trie, want, got = HatTrie(width, burst), Counter(), Counter()
     runs = []
     for step in range(12):
-        grams = rng.integers(0, 5, (200, width)).astype(np.uint64)
-        want.update(g.tobytes() for g in grams)
-        before = len(trie)
-        assert trie.add(grams) == len(trie) - before
+        grams = rng.integers(0, 5, (200, width)).astype(np.uint64) * np.uint64(0x1111111111111111)
+        want.update(map(tuple, grams.tolist()))
+        trie.add(grams)
         if step % 4 == 3:
+            before = len(trie)
             runs += list(trie.spill(len(trie) // 2))
-    runs += list(trie.spill(0))
-    assert len(trie) == 0
-    for keys, counts in runs:
-        rows = [k.tobytes() for k in keys]
-        assert rows == sorted(rows) and len(set(rows)) == len(rows) and len({r[:8] for r in rows}) == 1
+            assert len(trie) <= before // 2
+    held = len(trie)
+    last = list(trie.spill(0))
+    assert sum(len(n) for _, n in last) == held and len(trie) == 0 and list(trie.spill(0)) == []
+    for ids, counts in runs + last:
+        rows = list(map(tuple, ids.tolist()))
+        assert rows == sorted(rows) and len(set(rows)) == len(rows) and len({r[0] for r in rows}) == 1
         for row, n in zip(rows, counts.tolist()):
             got[row] += n
     assert got == want
 
 
+@pytest.mark.parametrize("least", [1, 3, 100, 127, 128, 1000])
+def test_no_frequent_phrase_is_missed_by_buckets(spark, least):
+    """Bytes that stop early add up to the bound wherever the true counts do, over several tasks."""
+    rows = [("a b. " * least, "en"), ("c d. " * (least // 3), "en")] + [("e f g. " * (least // 4 + 1), "de")] * 4
+    texts = collocations._texts(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    words = collocations.word_counts(texts, 0)
+    often = collocations._frequent(words.where(f"n >= {least}"), 1, 16)
+    of_pairs = collocations._Buckets(2, least, 20)
+    made = collocations.stored(collocations.encode(texts, often, of_pairs, 0), "ids")
+    pairs = of_pairs.frequent(made.where("chunk is not null"))
+    triples = collocations.bucket_phrases(made.where("chunk is null").select("lang", "ids"), [pairs], collocations._Buckets(3, least, 20))
+    ids = {r["word"]: np.frombuffer(r["gram"], np.uint64) for r in words.collect()}
+    for phrase, lang, found, want in (("ab", "en", pairs, True), ("ef", "de", pairs, True), ("ba", "en", pairs, False), ("efg", "de", triples, True), ("fge", "de", triples, False)):
+        line = np.concatenate([ids[w] for w in phrase])
+        assert bool(found(line, np.full(len(line), collocations._lang_sum(lang)))[0]) == want
+
+
+def test_ids_keep_frequent_neighbours_only(spark):
+    rows = [("a b x a b c, a. b b y a", "en"), ("x y z", "en"), (None, "de"), ("a b " * 9, "fr")]
+    texts = collocations._texts(spark.createDataFrame(rows, "text string, lang string").coalesce(1))
+    words = collocations.word_counts(texts, 0)
+    often = collocations._frequent(words.where("word in ('a', 'b', 'c')"), 1, 16)
+    made = collocations.encode(texts, often, collocations._Buckets(2, 1, 16), 0).where("chunk is null").collect()
+    names = {int.from_bytes(r["gram"], "little", signed=True): r["word"] for r in words.collect()} | {0: "|"}
+    assert {r["lang"]: "".join(names[i] for i in r["ids"]) for r in made} == {"en": "ab|abc|bb|", "fr": "ab" * 9 + "|"}
+
+
 def test_the_query_of_whole_tables(spark):
     rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = by_definition(rows, CollocationSettings())
