@@ -7,6 +7,7 @@ with templates whose size allows the coefficient.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -113,7 +114,8 @@ class Scanner:
             longest = int(total * (2 - self.least) / self.least + 1e-9)
             for k, (start, _) in enumerate(own):
                 left, shared, best = dict(self.bags[i]), 0, None
-                for at, pair in own[k:]:
+                for j in range(k, len(own)):
+                    at, pair = own[j]
                     if at - start + 1 > longest:
                         break
                     if left.get(pair, 0):
@@ -124,11 +126,16 @@ class Scanner:
                         best = (dice, at + 2)
                 if best:
                     passages.append((-best[0], start, best[1], self.templates[i].name))
-        kept: list[dict] = []
+        starts: list[int] = []
+        kept: dict[int, dict] = {}
         for score, start, stop, name in sorted(passages):
-            if all(stop <= k["start"] or start >= k["stop"] for k in kept):
-                kept.append({"licence": name, "dice": -score, "start": start, "stop": stop})
-        return sorted(kept, key=lambda k: k["start"])
+            # Kept passages are apart, so only the neighbours can overlap.
+            place = bisect_right(starts, start)
+            if (place and kept[starts[place - 1]]["stop"] > start) or (place < len(starts) and starts[place] < stop):
+                continue
+            starts.insert(place, start)
+            kept[start] = {"licence": name, "dice": -score, "start": start, "stop": stop}
+        return [kept[start] for start in starts]
 
 
 @lru_cache(maxsize=2)

@@ -173,3 +173,30 @@ def test_the_query_of_whole_tables(spark):
     rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = by_definition(rows, CollocationSettings())
     assert {tuple(r) for r in QUERIES["op12_collocations"](spark, SF).collect()} == want
+
+
+def test_runs_are_dealt_and_merged():
+    rng = np.random.default_rng(3)
+    want, runs = Counter(), []
+    for _ in range(5):
+        ids = np.unique(rng.integers(0, 6, (150, 3)).astype(np.uint64), axis=0)
+        n = rng.integers(1, 9, len(ids))
+        for row, k in zip(ids.tolist(), n.tolist()):
+            want[tuple(row)] += k
+        runs.append(collocations._run_rows("en", ids, n, 7))
+    got, part_of = Counter(), {}
+    for part in range(7):
+        held = []
+        for run in runs:
+            for p, ids, n in zip(run.column("part").to_pylist(), run.column("ids").to_pylist(), run.column("counts").to_pylist()):
+                if p == part:
+                    rows = np.frombuffer(ids, np.uint64).reshape(-1, 3)
+                    assert rows.tolist() == sorted(rows.tolist())
+                    held.append((rows, np.frombuffer(n, np.int64)))
+        if held:
+            ids, n = collocations._summed(held)
+            assert len(np.unique(ids, axis=0)) == len(ids) and ids.tolist() == sorted(ids.tolist())
+            for row, k in zip(ids.tolist(), n.tolist()):
+                assert part_of.setdefault(tuple(row), part) == part
+                got[tuple(row)] += k
+    assert got == want
