@@ -10,9 +10,9 @@ read twice, to count words and to write their frequent words as ids; the rest re
 
 Within a task counts stand in a HAT-trie: nodes by word id above, and below them containers, hash
 tables of the remaining ids, each of which bursts into a node when it gets too full. When the trie
-as a whole is too large, its fullest subtrees are written out whole as sorted runs. Runs are dealt
-out by subtree (language, first word, and a few parts of the second, so that one frequent word is not
-one partition), where equal phrases are merged.
+as a whole is too large, its fullest subtrees are written out whole as sorted runs, one for each
+partition of prefixes (the first word and a few parts of the second, so that one frequent word is
+not one partition), where runs are merged and equal phrases become one.
 
 A word's id is a 64-bit checksum of it. That no frequent word shares its id with another word of
 the corpus is checked, and another seed is taken if one does, so counts are exact.
@@ -41,7 +41,7 @@ BREAKS = PIECE_ENDS.copy()
 BREAKS[[9, 32]] = True
 UNDETERMINED = "und"
 _SLICE = 2 << 20
-#: Slices of the second word into which the subtrees of a first word are dealt.
+#: Parts of the second word into which the subtree of a first word is dealt.
 _PARTS = 16
 #: Copies of the counts of single words and of words' texts in joins, which frequent words hit often.
 _SALTS = 16
@@ -436,29 +436,20 @@ def count_phrases(encoded: DataFrame, widths: list[int], known: list[Frequent],
     ``known`` may be frequent, and that occur ``least`` times or more."""
     sent = encoded.sparkSession.sparkContext.broadcast(known)
     burst, held = settings.burst, settings.held
+    partitions = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[tuple[str, int], HatTrie] = {}
 
         def runs(left: int) -> Iterator[pa.RecordBatch]:
-            """What is over the share of each trie in ``left`` entries, as rows."""
+            """What is over the share of each trie in ``left`` entries, as a sorted run for each prefix partition."""
             total = max(1, sum(map(len, tries.values())))
             for (lang, width), trie in sorted(tries.items()):
-                waiting: list[tuple[np.ndarray, np.ndarray]] = []
-                for run in trie.spill(left * len(trie) // total):
-                    waiting.append(run)
-                    if sum(len(n) for _, n in waiting) >= 1 << 15:
-                        yield rows(lang, width, waiting)
-                        waiting = []
-                if waiting:
-                    yield rows(lang, width, waiting)
-
-        def rows(lang: str, width: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            ids = np.ascontiguousarray(np.concatenate([i for i, _ in parts]))
-            n = np.concatenate([n for _, n in parts])
-            grams = binary(np.arange(len(n) + 1) * width * ID, ids.view(np.uint8).ravel()).cast(pa.binary())
-            langs = pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64)))
-            return pa.RecordBatch.from_arrays([langs, grams, pa.array(n)], ["lang", "gram", "n"])
+                spilled = list(trie.spill(left * len(trie) // total))
+                if spilled:
+                    ids, n = np.concatenate([i for i, _ in spilled]), np.concatenate([n for _, n in spilled])
+                    order = np.lexsort(ids.T[::-1])
+                    yield _run_rows(lang, ids[order], n[order], partitions)
 
         for ids, breaks, lang, langs in _slices_of_ids(batches):
             sums = _lang_sums(langs, lang)
@@ -473,16 +464,64 @@ def count_phrases(encoded: DataFrame, widths: list[int], known: list[Frequent],
                 yield from runs(held // 2)
         yield from runs(0)
 
-    sorted_runs = encoded.mapInArrow(run, "lang string, gram binary, n long").select(
-        "lang",
-        F.substring("gram", 1, ID).alias("head"),
-        F.pmod(F.xxhash64(F.substring("gram", ID + 1, ID)), F.lit(_PARTS)).alias("part"),
-        "gram",
-        "n",
-    )
-    subtree = ["lang", "head", "part"]
-    merged = sorted_runs.repartition(*subtree).groupBy(*subtree, "gram").agg(F.sum("n").alias("n"))
-    return merged.where(F.col("n") >= settings.least).select("lang", "gram", "n")
+    spilled = encoded.mapInArrow(run, _RUNS).repartition("part").sortWithinPartitions("part", "lang", "width")
+    least = settings.least
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, size = None, [], 0
+
+        def frequent() -> pa.RecordBatch:
+            ids, n = _summed(held)
+            ids, n = ids[n >= least], n[n >= least]
+            grams = binary(np.arange(len(n) + 1) * ids.shape[1] * ID, ids.view(np.uint8).ravel()).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([group[1]] * len(n), pa.string()), grams, pa.array(n)], ["lang", "gram", "n"])
+
+        for batch in batches:
+            columns = (batch.column(c) for c in ("part", "lang", "width", "ids", "counts"))
+            for part, lang, width, ids, counts in zip(*columns):
+                key = part.as_py(), lang.as_py(), width.as_py()
+                if key != group:
+                    if held:
+                        yield frequent()
+                    group, held, size = key, [], 0
+                rows = np.frombuffer(ids.as_buffer(), np.uint64).reshape(-1, key[2])
+                held.append((rows, np.frombuffer(counts.as_buffer(), np.int64)))
+                size += len(rows)
+                if size > _MERGED:  # equal phrases of runs so far become one
+                    held = [_summed(held)]
+                    size = min(len(held[0][1]), _MERGED // 2)
+        if held:
+            yield frequent()
+
+    return spilled.mapInArrow(merge, "lang string, gram binary, n long")
+
+
+_RUNS = "part int, lang string, width int, ids binary, counts binary"
+#: Entries of runs that are held before equal ones are merged.
+_MERGED = 1 << 20
+
+
+def _run_rows(lang: str, ids: np.ndarray, n: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Sorted entries as a run for each prefix partition: by the first id and a few parts of the second, so
+    that one frequent word is not one partition."""
+    slice_ = _mixed(ids[:, 1], 1) % np.uint64(_PARTS)
+    part = (_mixed(ids[:, 0] + slice_, 1) % np.uint64(partitions)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, ids, n = part[order], np.ascontiguousarray(ids[order]), np.ascontiguousarray(n[order])
+    edges = _edges(part)
+    cut = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+    size = len(edges) - 1
+    columns = [pa.array(part[edges[:-1]]), pa.array([lang] * size), pa.array(np.full(size, ids.shape[1], np.int32)), cut(ids), cut(n)]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _RUNS.split(", ")])
+
+
+def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of (ids, counts) as one, sorted, with equal ids once."""
+    ids, n = np.concatenate([i for i, _ in runs]), np.concatenate([n for _, n in runs])
+    order = np.lexsort(ids.T[::-1])
+    ids, n = ids[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+    return np.ascontiguousarray(ids[first]), np.add.reduceat(n, first)
 
 
 def _width(gram: str = "gram") -> Column:
