@@ -308,6 +308,42 @@ def test_seating_keeps_its_customers():
         assert np.allclose(np.bincount(restaurant, p), 1)  # the parent's probabilities sum to one
 
 
+def test_seating_moves_all_customers_of_a_dish():
+    """Numbers of tables follow their law, by the recursion of Stirling numbers, for a few customers and for many."""
+    settings = pitman_yor.PitmanYorSettings()
+    d, theta = settings.discount, settings.strength
+    for customers, others, parent, sweeps, copies in ((6, 20, 0.05, 20, 8000), (100, 300, 0.05, 60, 500)):
+        ways = np.eye(1, customers + 1)[0]
+        for n in range(customers):
+            ways = ways * (n - d * np.arange(customers + 1)) + np.append(0, ways[:-1])
+        weight = ways * np.cumprod(np.append(1, (theta + d * (others + np.arange(customers))) * parent))
+        law = weight / weight.sum()
+        mean = (law * np.arange(customers + 1)).sum()
+        rng = np.random.default_rng(3)
+        held = (np.ones(copies, np.int64), np.full(copies, customers))
+        for _ in range(sweeps):
+            whole = (others + held[0], np.full(copies, 1000))
+            sizes, number, _ = pitman_yor.sample_seating(
+                np.arange(copies), np.full(copies, customers), held, np.full(copies, parent), settings, rng, whole
+            )
+            held = (number, sizes)
+        assert abs(held[0].mean() - mean) < 0.05 * mean
+    # A frequent dish gets its tables in a sweep, not a handful of moves.
+    many = np.array([100_000])
+    sizes, number, _ = pitman_yor.sample_seating(np.zeros(1, np.int64), many, [many], np.full(1, 0.05), settings, rng, (np.array([5000]), many))
+    assert number[0] > 50 and sizes.sum() == 100_000 and len(sizes) == number[0]
+
+
+def test_counts_of_slices_are_added_up():
+    batches = [pa.RecordBatch.from_pydict({"word": [str(i % m) for i in range(40)], "n": list(range(40))}) for m in (7, 40, 3)]
+    for rows, size in ((1, 1 << 20), (50, 1 << 20), (1 << 18, 1)):
+        got = {}
+        for batch in pitman_yor._added_up(iter(batches), ["word"], rows, size):
+            for r in batch.to_pylist():
+                got[r["word"]] = got.get(r["word"], 0) + r["n"]
+        assert got == {str(k): sum(i for m in (7, 40, 3) for i in range(40) if i % m == k) for k in range(40)}
+
+
 def test_scores_beat_the_base_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select(F.col("doc_id").alias("id"), "text", (remainder("doc_id", 10) != 0).alias("train"))
