@@ -2,11 +2,13 @@ import json
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from pairwright.operators.preview import first_rows, record_at, shape
 from pairwright.sources.dictionary_files import read_dictionary, read_flat_object, write_dictionary
 from pairwright.sources.pairs import literal_pairs, read_csv, read_raw_pairs, rename_pairs, write_csv
+from pairwright.sources.token_table import SCHEMA, read_tokens, write_tokens
 from pairwright.workspace import fresh_path, materialize, release, released, shared_root
 
 FIELDS = ["a,b", "line\nbreak", 'say "hi"', "", "NA", "back\\slash", "  edges  ", "crlf\r\nend", "é→"]
@@ -22,6 +24,22 @@ def test_csv_round_trip(spark, tmp_path):
     assert [r["t"] for r in missing] == [None if f in ("", "NA") else f for f in FIELDS]
 
 
+def test_tokens_are_written_without_a_sort_by_split(spark, tmp_path, monkeypatch):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, write = spark.conf.get(name), DataFrameWriter.parquet
+
+    def noted(self, *args, **kwargs):
+        seen.append(int(spark.conf.get(name)))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    rows = [(i, i // 3, "t", [i, i], ["a", "b"], ("train", "val", "test")[i % 3]) for i in range(60)]
+    write_tokens(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "tokens"))
+    assert seen[0] >= 3 and spark.conf.get(name) == before
+    back = read_tokens(spark, str(tmp_path / "tokens")).select("row_id", "ord", "org_text", "encoded_text", "decoded_text", "split")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
 def test_raw_pairs_keep_file_order(spark, tmp_path):
     for part in range(3):
         lines = ["uid,paraphrased_question,other,sparql_wikidata"]
