@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pairwright.sources.vocabulary import Vocabulary
 
 #: Words whose codes a task keeps; beyond it, it begins anew.
 KNOWN_WORDS = 200_000
+#: Words that are encoded at a time, or one row if that has more.
+WORDS_AT_ONCE = 1 << 17
 
 
 def _quoted(literal: str) -> str:
@@ -89,6 +91,19 @@ def _encoder(
     return encode
 
 
+def word_slices(lists: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Cut an array of lists where its elements pass ``most``; every slice has a row, an empty array is one slice."""
+    ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends) or not len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lists.slice(start, stop - start)
+        if not len(ends):
+            return
+        start = stop
+
+
 def tokenize(
     df: DataFrame,
     vocabulary: Vocabulary,
@@ -98,16 +113,20 @@ def tokenize(
 ) -> DataFrame:
     """Add ``encoded_text`` (ids) and, with ``texts``, ``decoded_text`` (the text of each id).
 
-    One pass: words are split by expressions and encoded in Arrow batches where they stand, each
-    distinct word of a batch once, with the codes of words met before kept by the task.
+    One pass: words are split by expressions and encoded in slices of Arrow batches where they stand, each
+    distinct word of a slice once, with the codes of words met before kept by the task. What a task
+    holds of codes is a slice's, however many rows Spark puts into a batch.
     """
     ((special, special_id),) = vocabulary.special.items()
     encode = _encoder(df.sparkSession, vocabulary, texts)
 
-    def encode_lists(words: pa.Array) -> pa.Array:
-        lengths = pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)
-        ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
-        return pa.ListArray.from_arrays(ends, encode(words.flatten()))
+    def encode_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for words in word_slices(batch, WORDS_AT_ONCE):
+                lengths = pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+                yield pa.ListArray.from_arrays(ends, encode(words.flatten()))
+            pa.default_memory_pool().release_unused()
 
     # Not marked deterministic, so that no filter on its result runs it a second time.
     run = F.arrow_udf(encode_lists, f"array<{_code_type(texts)}>").asNondeterministic()

@@ -3,11 +3,13 @@
 import base64
 import random
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from pairwright.functions.bpe import merge_word
+from pairwright.operators import tokens
 from pairwright.operators.tokens import detokenize, token_texts, tokenize
 from pairwright.sources.vocabulary import GPT2_PATTERN, get_vocabulary
 
@@ -61,6 +63,18 @@ def test_ids_and_texts(spark, vocabulary, library):
     assert got[-1]["encoded_text"] is None
 
 
+def test_words_of_a_batch_are_encoded_in_bounded_slices(spark, vocabulary, library, monkeypatch):
+    lists = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c"], ["d"] * 4], pa.list_(pa.string()))
+    for most in (1, 4, 100):
+        parts = list(tokens.word_slices(lists, most))
+        assert pa.concat_arrays(parts).equals(lists)
+        assert all(len(p) == 1 or len(p.flatten()) <= most for p in parts)
+    assert len(list(tokens.word_slices(lists[:0], 4))) == 1
+    monkeypatch.setattr(tokens, "WORDS_AT_ONCE", 5)
+    got = tokenize(corpus(spark, [*TEXTS, None] * 3).coalesce(1), vocabulary).orderBy("id").collect()
+    assert [r["encoded_text"] for r in got] == [None if t is None else library.encode(t) for t in [*TEXTS, None] * 3]
+
+
 def test_special_token(spark, vocabulary, library):
     rows = [f"a the{END}{END} b  {END}", END, f"!{END}!", "plain"]
     df = corpus(spark, rows)
