@@ -20,6 +20,9 @@ from pairwright.workspace import materialize
 # id per prompt, negative where it has no continuation.
 Scorer = Callable[[np.ndarray], np.ndarray]
 
+#: Rows whose generated ids a task holds at a time, whatever Spark puts into a batch.
+ROWS_AT_ONCE = 1024
+
 
 class StatefulScorer(Protocol):
     """A scorer that keeps a state of each prompt, so that a step hands it one new id a prompt.
@@ -159,7 +162,7 @@ def greedy_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         grow = extend_by_states if hasattr(score, "step") else extend
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, len(b), ROWS_AT_ONCE)):
             lists = batch.column(ids)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
             sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from pairwright.config import Settings
+from pairwright.operators import generate
 from pairwright.operators.generate import extend, extend_by_states, greedy_decode, next_token_table, table_scorer
 
 STOP = 50256
@@ -128,3 +129,20 @@ def test_a_scorer_with_states_on_spark(spark):
     want = greedy_decode(df, windowed, settings=settings)
     got = greedy_decode(df, counting(), settings=settings)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_task_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(generate, "ROWS_AT_ONCE", 3)
+
+    def build():
+        def score(windows):
+            assert len(windows) <= 3
+            return windows[:, -1] + 1
+
+        return score
+
+    rows = [(i, None if i % 5 == 4 else [i]) for i in range(20)]
+    prompts = spark.createDataFrame(rows, "id long, encoded_text array<int>").coalesce(1)
+    settings = Settings(context_length=8, max_new_tokens=2)
+    got = {r["id"]: r["generated"] for r in generate.greedy_decode(prompts, build, settings=settings).collect()}
+    assert got == {i: None if ids is None else [i, i + 1, i + 2] for i, ids in rows}
