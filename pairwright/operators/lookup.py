@@ -74,18 +74,19 @@ def lookup(
     """Swap array column ``keys`` for ``out``: array<struct<key, value>>, value null if absent.
 
     ``row_key`` names columns that tell rows with keys apart and are not null, which is checked
-    for these rows; without them rows with keys are numbered and written once. There are as many salts as shuffle
+    for these rows; without them all rows are numbered and written once. With a ``row_key``, ``df`` is read three times. There are as many salts as shuffle
     partitions unless ``salts`` says how many.
     """
     entries = table.entries()
     value_type = entries.schema["value"].dataType.simpleString()
     others = [c for c in df.columns if c != keys]
+    if not row_key:
+        # All rows are written, so that what made them runs once, not again for the rows without keys.
+        df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+        row_key = ["_row"]
     asks = F.coalesce(F.exists(keys, lambda k: k.isNotNull()), F.lit(False))
     plain = df.where(~asks).select(*others, _null_pairs(keys, value_type).alias(out))
     open_ = df.where(asks)
-    if not row_key:
-        open_ = materialize(open_.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-        row_key = ["_row"]
     place = F.posexplode(keys).alias("place", "key")
     asked = open_.select(*row_key, place)
     if table.bytes() <= broadcast_bytes:

@@ -110,3 +110,19 @@ def test_a_table_too_large_to_hold(data):
     with pytest.raises(ValueError, match="too large"):
         lookup_held(frame, "keys", table, most_bytes=500 * 32)
     assert frame.where(F.size("keys") > 0).count() > 200
+
+
+def test_what_makes_the_rows_runs_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    kind = "id long, keys array<string>"
+    rows = spark.createDataFrame([(i, ["a", "b"] if i % 2 else []) for i in range(30)], kind).mapInArrow(counted, kind)
+    held = KeyTable(spark.createDataFrame([("a", "x")], "key string, value string"), "key", "value")
+    got = lookup(rows, "keys", held).collect()
+    assert len(got) == 30 and runs.value == 30
+    assert {len(r["pairs"]) for r in got} == {0, 2}
