@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -373,3 +374,30 @@ def test_words_too_long_for_a_double_keep_their_probability(spark, held_words):
     # Unseen words of one context differ in their spelling alone.
     assert got["long"] - got["short"] == pytest.approx(spelling["long"] - spelling["short"], abs=1e-6)
     assert got["long"] < spelling["long"]
+
+
+def test_pitman_yor_grams_are_ranges_of_bytes():
+    words = ["", "a", "abcdef", "aaaaaaa", "é", "日本語テキスト", "a😀b😀c", "x" * 40]
+    owner, codes, grams = pitman_yor.coded_grams(pa.array(words), 4)
+    names = [g.decode() for g in grams.to_pylist()]
+    assert len(set(names)) == len(names)
+    found = [[names[c] for c, o in zip(codes, owner) if o == i] for i in range(len(words))]
+    assert found == [pitman_yor.word_grams(w, 4) for w in words]
+    assert not len(pitman_yor.coded_grams(pa.array([], pa.string()), 4)[1])
+
+
+@pytest.mark.parametrize("rare", [3, 8, 40, 1 << 15])
+def test_pitman_yor_frequent_words_are_exact(spark, monkeypatch, rare):
+    """Words that are rare in a slice are not counted there; the most frequent ones are those of all counts, in order."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2]}{min(9, int(w))}" for w in rng.geometric(0.4, 60)) for i in range(60)]
+    texts += ["late " * 30, " ".join(f"r{i}" for i in range(200)), None, ""]
+    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "id long, text string, train boolean").repartition(5)
+    monkeypatch.setattr(pitman_yor, "RARE", rare)
+    monkeypatch.setattr(pitman_yor, "SLICE", 500)
+    counts = Counter(w for t in texts if t for w in t.split())
+    expected = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    for most in (1, 4, 11, 300):
+        assert pitman_yor._frequent_words(df, most) == expected[:most]
+    given = pitman_yor._plain_counts(df, 8).where("word != ''").count()
+    assert given < len(counts) / 4
