@@ -48,14 +48,26 @@ def batch_losses(
     return scored.groupBy(*by).agg(_mean("nll").alias("batch_loss"))
 
 
+def _counted(target: np.ndarray, ignore: int) -> slice | np.ndarray:
+    """Places that count: a range if they follow one another, which takes no copy of the logits."""
+    at = np.flatnonzero(target != ignore)
+    return slice(int(at[0]), int(at[-1]) + 1) if len(at) and at[-1] - at[0] + 1 == len(at) else at
+
+
+def _mass(rows: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Sum of exponentials below ``top`` of each row."""
+    below = rows - top[:, None]
+    return np.exp(below, out=below).sum(axis=1)
+
+
 def _row_loss(logits: np.ndarray, target: np.ndarray, ignore: int) -> tuple[float, int]:
-    counted = np.flatnonzero(target != ignore)
+    counted = _counted(target, ignore)
     wanted = target[counted]
     if ((wanted < 0) | (wanted >= logits.shape[-1])).any():
         raise ValueError(f"targets are from 0 to {logits.shape[-1] - 1}")
-    rows = logits[counted].astype(np.float64)
+    rows = logits[counted].astype(np.float64, copy=False)
     top = rows.max(axis=1, initial=-np.inf)
-    norm = top + np.log(np.exp(rows - top[:, None]).sum(axis=1))
+    norm = top + np.log(_mass(rows, top))
     return float((norm - rows[np.arange(len(rows)), wanted]).sum()), len(rows)
 
 
@@ -169,16 +181,16 @@ def sharded_batch_losses(
 
 def _sliced_loss(slices: Iterator[tuple[int, np.ndarray]], target: np.ndarray, ignore: int) -> tuple[float, int]:
     """(sum of losses, positions counted) of one row, whose logits come slice by slice."""
-    counted = np.flatnonzero(target != ignore)
+    counted = _counted(target, ignore)
     aim = target[counted]
     top, mass = np.full(len(aim), -np.inf), np.zeros(len(aim))
     wanted, end = np.full(len(aim), np.nan), 0
     for start, logits in slices:
-        rows = np.asarray(logits, np.float64)[counted]
+        rows = np.asarray(logits)[counted].astype(np.float64, copy=False)
         if not rows.shape[1]:
             continue
         higher = np.maximum(top, rows.max(axis=1))
-        mass = mass * np.exp(top - higher) + np.exp(rows - higher[:, None]).sum(axis=1)
+        mass = mass * np.exp(top - higher) + _mass(rows, higher)
         top, end = higher, start + rows.shape[1]
         here = np.flatnonzero((aim >= start) & (aim < end))
         wanted[here] = rows[here, aim[here] - start]

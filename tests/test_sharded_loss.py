@@ -1,10 +1,12 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from pairwright.operators.loss import batch_losses, sharded_batch_losses, sharded_position_losses, sliced_model_batch_losses
+from checks.queries import BYTES_AND_PAD, _formula_logits
+from pairwright.operators.loss import _mass, _row_loss, _sliced_loss, batch_losses, sharded_batch_losses, sharded_position_losses, sliced_model_batch_losses
 
 SCHEMA = "batch_id long, pos long, start int, logits array<float>, target int"
 
@@ -92,3 +94,28 @@ def test_a_model_in_slices(spark):
     with pytest.raises(Exception, match="targets are from 0 to 36"):
         bad = spark.createDataFrame([(0, [1], [37])], df.schema)
         sliced_model_batch_losses(bad, build, 37, 10).collect()
+
+
+def test_the_formula_is_that_of_all_ids():
+    ids, places = np.arange(BYTES_AND_PAD), np.arange(BYTES_AND_PAD)
+    assert np.array_equal(_formula_logits().take(ids % 11, axis=0), (ids[:, None] * 31 + places * 7) % 11 / 4)
+
+
+@pytest.mark.parametrize("counts", [[1, 1, 1, 0], [1, 0, 1, 0], [0, 1, 1, 1], [0, 0, 0, 0], [1, 1, 1, 1]])
+def test_logits_of_a_model_are_left_as_they_are(counts):
+    logits = np.random.default_rng(2).normal(size=(4, 9))
+    target = np.where(np.array(counts) > 0, [3, 0, 8, 5], -100)
+    held = logits.copy()
+    whole = _row_loss(logits, target, -100)
+    sliced = _sliced_loss(((a, logits[:, a : a + 4]) for a in (0, 4, 8)), target, -100)
+    want = sum(np.log(np.exp(row).sum()) - row[t] for row, t in zip(held, target) if t != -100)
+    assert whole == sliced == (pytest.approx(want), sum(counts)) and np.array_equal(logits, held)
+
+
+def test_exponentials_take_one_matrix_of_memory():
+    rows = np.zeros((1000, 500))
+    tracemalloc.start()
+    _mass(rows, np.zeros(1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.2 * rows.nbytes
