@@ -386,6 +386,38 @@ def test_pitman_yor_grams_are_ranges_of_bytes():
     assert not len(pitman_yor.coded_grams(pa.array([], pa.string()), 4)[1])
 
 
+def test_words_are_found_from_either_side():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 9), (9, 0), (30, 400), (400, 30), (50, 50)):
+        words, among = ([str(x).encode() for x in rng.permutation(500)[:k]] for k in (n, m))
+        got = pitman_yor._places(pa.array(words, pa.large_binary()), pa.array(among, pa.large_binary()))
+        assert got.dtype == np.int64 and got.tolist() == [among.index(w) if w in among else -1 for w in words]
+
+
+def test_word_counts_travel_once(spark, monkeypatch):
+    """Counts of all classes of a word are one row and one exchange; classes of held-out texts alone have a dish of none."""
+    texts = ["a b A c", "b b", None, "", " ", "c a x", "x", "y a y"] * 5
+    rows = [(i, t, i % 8 < 6) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, train boolean").repartition(3)
+    monkeypatch.setattr(pitman_yor, "SLICE", 6)
+    contexts = pitman_yor.Contexts({b"a": 1, b"b": 2}, 4)
+    counts = pitman_yor.word_counts(df, contexts)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    expected = {}
+    for _, text, train in rows:
+        last = 0
+        for word in [*(text or "").lower().split(), ""]:
+            dish = expected.setdefault(word, {}).setdefault(last, [0, 0])
+            dish[0] += train
+            dish[1] += 1
+            last = {"a": 1, "b": 2}.get(word, last)
+    got = {r["word"]: r for r in counts.collect()}
+    assert got.keys() == expected.keys()
+    for word, dishes in expected.items():
+        assert [(d["cls"], d["c"]) for d in got[word]["dishes"]] == [(c, dishes[c][0]) for c in sorted(dishes)]
+        assert (got[word]["train"], got[word]["total"]) == tuple(map(sum, zip(*dishes.values())))
+
+
 @pytest.mark.parametrize("rare", [3, 8, 40, 1 << 15])
 def test_pitman_yor_frequent_words_are_exact(spark, monkeypatch, rare):
     """Words that are rare in a slice are not counted there; the most frequent ones are those of all counts, in order."""
